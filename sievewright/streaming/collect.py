@@ -6,6 +6,7 @@ replayed after a failure replaces its own rows and nothing else.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
@@ -27,10 +28,10 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
 def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The sink so far; empty before the first batch."""
     full = StructType([*schema.fields]).add("batch", LongType())
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException:       # nothing written yet
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
