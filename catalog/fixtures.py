@@ -227,3 +227,7 @@ def with_audio(df: DataFrame) -> DataFrame:
     """Audio facts of rendered files, for manifests that only plan them."""
     return df.withColumns({"codec": F.lit("WAV/PCM_16"), "duration": F.lit(1.5),
                            "sha256": F.sha2(F.col("augmented_file_path"), 256)})
+
+# blocks of 50 events: rows of each user per block
+PROFILE_SQL = ("p AS (SELECT user_id, 'events.parquet' AS file, event_id // 50 AS block, count(*) AS num_rows "
+               "FROM events GROUP BY 1, 2, 3)")
