@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from sievewright import fixed_values as fixed
 from sievewright.functions import clean
@@ -26,8 +27,10 @@ def _joined(columns) -> Column:
 
 
 def tidy(df: DataFrame, metric: str, scope=(), values=()) -> DataFrame:
-    """One report line per scope and value column."""
-    items = F.array(*[F.struct(F.lit(v).alias("item"), text(v).alias("value")) for v in values])
+    """One report line per scope and value column; doubles with six decimals."""
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
+    items = F.array(*[F.struct(F.lit(v).alias("item"), text(F.round(v, 6) if v in doubles else v).alias("value"))
+                      for v in values])
     return df.select(F.lit(metric).alias("metric"), _joined(scope).alias("scope"), F.inline(items))
 
 
@@ -35,21 +38,20 @@ def _report(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _align(df: DataFrame, mapping: dict, origin: str) -> DataFrame:
+    speakers = {c: c for c in ("speaker_id", "target_speaker_id", "source_speaker_id")}
+    return conform.align_source(conform.unify_entity_id(df), {**mapping, **speakers}, origin)
+
+
 def build_master(sources: dict, mapping: dict, inventory: DataFrame, licenses: DataFrame) -> DataFrame:
     """Align and union the sources, probe their files, attach licences, fix the column order."""
-    frames = [_align(conform.unify_entity_id(df), mapping, f"metadata/{name}.csv")
-              for name, df in sources.items()]
+    frames = [_align(df, mapping, f"metadata/{name}.csv") for name, df in sources.items()]
     master = files.probe(joins.union_sources(frames), inventory, "file_path")
     name, status = fixed.UNKNOWN_LICENSE
     licensed = conform.attach_lookup(master, "source_dataset", licenses, {"license": name, "license_status": status})
     return conform.select_existing(licensed, fixed.MASTER_COLUMNS)
 
 
-def _align(df: DataFrame, mapping: dict, origin: str) -> DataFrame:
-    speakers = {c: c for c in ("speaker_id", "target_speaker_id", "source_speaker_id")}
-    return conform.align_source(df, {**mapping, **speakers}, origin)
-
-
 def audit_master(master: DataFrame, expected: DataFrame) -> DataFrame:
     """Integrity, counts, reconciliation, durations, declared values, speakers, leakage, shortcuts, licences."""
     m = settled(master, "master")

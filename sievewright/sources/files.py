@@ -18,11 +18,13 @@ def file_inventory(spark: SparkSession, path_glob: str, hashed: bool = True) ->
 
 
 def probe(df: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
-    """Add exists, file_bytes and sha256 of each referenced file."""
-    found = inventory.select(F.col("path").alias(path), F.col("length").alias("__len"), F.col("sha256").alias("__sha"))
+    """Add exists, file_bytes, sha256 and any further facts the inventory holds about each referenced file."""
+    facts = [c for c in inventory.columns if c not in ("path", "length", "sha256")]
+    found = inventory.select(F.col("path").alias(path), F.col("length").alias("__len"),
+                             F.col("sha256").alias("__sha"), *[F.col(c).alias(f"__{c}") for c in facts])
     return df.join(found, path, "left").select(
-        *df.columns, F.col("__len").isNotNull().alias("exists"),
-        F.coalesce("__len", F.lit(0)).alias("file_bytes"), F.col("__sha").alias("sha256"))
+        *df.columns, F.col("__len").isNotNull().alias("exists"), F.coalesce("__len", F.lit(0)).alias("file_bytes"),
+        F.col("__sha").alias("sha256"), *[F.col(f"__{c}").alias(c) for c in facts])
 
 
 def _int_le(content: Column, offset: int, size: int) -> Column:
