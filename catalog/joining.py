@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("c11_cross_label_text", with_(F2) + f"""
 , t AS (SELECT {norm('transcript')} AS text_key, CASE WHEN doc_key % 2 = 0 THEN 'real' ELSE 'fake' END AS label, split FROM f2)
-SELECT text_key, count(*) FILTER (WHERE label = 'real') AS real_rows, count(*) FILTER (WHERE label = 'fake') AS fake_rows,
+SELECT sha256(text_key) AS text_sha256, count(*) FILTER (WHERE label = 'real') AS real_rows, count(*) FILTER (WHERE label = 'fake') AS fake_rows,
  (SELECT count(*) FROM t a JOIN t b ON a.text_key = b.text_key AND a.label = 'real' AND b.label = 'fake' AND a.split <> b.split
   WHERE a.text_key = t.text_key) AS cross_split_pairs
 FROM t GROUP BY text_key HAVING count(*) FILTER (WHERE label = 'real') > 0 AND count(*) FILTER (WHERE label = 'fake') > 0""")
@@ -157,7 +157,7 @@ def _(spark, sf):
 , t AS (SELECT lower(transcript) AS text_key, label, split, count(*) AS n FROM f1 GROUP BY ALL),
  p AS (SELECT a.text_key, sum(a.n * b.n) AS pairs FROM t a JOIN t b USING (text_key)
        WHERE a.label = 'real' AND b.label = 'fake' AND a.split <> b.split GROUP BY 1)
-SELECT text_key, CAST(sum(n) FILTER (WHERE label = 'real') AS BIGINT) AS real_rows, CAST(sum(n) FILTER (WHERE label = 'fake') AS BIGINT) AS fake_rows,
+SELECT sha256(text_key) AS text_sha256, CAST(sum(n) FILTER (WHERE label = 'real') AS BIGINT) AS real_rows, CAST(sum(n) FILTER (WHERE label = 'fake') AS BIGINT) AS fake_rows,
  CAST(coalesce(any_value(pairs), 0) AS BIGINT) AS cross_split_pairs FROM t LEFT JOIN p USING (text_key) GROUP BY text_key
 HAVING count(DISTINCT label) = 2""")
 def _(spark, sf):

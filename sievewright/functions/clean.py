@@ -19,7 +19,7 @@ from sievewright.functions.keys import col, salted_hash, text
 
 __all__ = [
     "blank_to_null", "normalize_numeric_id", "normalize_alias", "normalize_category",
-    "normalize_text", "normalize_text_strict", "is_code_switched", "script_class",
+    "normalize_text", "text_digest", "normalize_text_strict", "is_code_switched", "script_class",
     "composite_group_id", "relativize_path", "path_tail", "path_part", "path_bucket",
     "map_label", "derive_family", "bit_depth", "bin_numeric", "redistribution_flag",
     "params_json", "salted_hash", "decompose_id", "name_template", "directory_of",
@@ -77,6 +77,11 @@ def normalize_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(text(c)), f"(?U){SPACE}+", " "))
 
 
+def text_digest(c) -> Column:
+    """sha256 of the normalised text: a short key, so that whole texts need not be shuffled."""
+    return F.sha2(normalize_text(c), 256)
+
+
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")

@@ -266,7 +266,7 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 def text_multiplicity(df: DataFrame, by, text_col: str = "transcript", group: str | None = None) -> DataFrame:
     """Clips per unique text, highest reuse; `vacuous` marks a grouping with one row per group."""
     by = list(by)
-    cells = df.where(F.col(text_col).isNotNull()).groupBy(*by, clean.normalize_text(text_col).alias("key")).agg(
+    cells = df.where(F.col(text_col).isNotNull()).groupBy(*by, clean.text_digest(text_col).alias("key")).agg(
         F.count("*").alias("n"))
     table = cells.groupBy(*by).agg(
         F.sum("n").alias("clips"), F.count("*").alias("unique_texts"), F.max("n").alias("max_reuse"),

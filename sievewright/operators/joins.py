@@ -42,8 +42,8 @@ def in_catalogue(df: DataFrame, files: DataFrame, texts: DataFrame,
 
 def not_seen(df: DataFrame, existing: DataFrame, text_col: str = "transcript") -> DataFrame:
     """Rows whose normalised text does not occur in `existing`."""
-    seen = existing.select(clean.normalize_text(text_col).alias("__text"))
-    return df.join(seen, clean.normalize_text(df[text_col]) == F.col("__text"), "left_anti")
+    seen = existing.select(clean.text_digest(text_col).alias("__text"))
+    return df.join(seen, clean.text_digest(df[text_col]) == F.col("__text"), "left_anti")
 
 
 def not_processed(df: DataFrame, ledger: DataFrame, keys) -> DataFrame:
@@ -120,26 +120,27 @@ def cross_label_text(df: DataFrame, text_col: str = "transcript", label: str = "
                      split: str = "split") -> DataFrame:
     """Normalised texts under both labels, with the number of real/fake pairs in different splits.
 
-    Pairs are counted from per-split counts and never listed.
+    Pairs are counted from per-split counts and never listed; texts are named by
+    the digest of their normal form.
     """
     n = {(v, s): F.count_if((F.col(label) == v) & (F.col(split) == s)) for v in ("real", "fake")
          for s in fixed.SPLITS}
-    per_text = df.where(F.col(text_col).isNotNull()).groupBy(clean.normalize_text(text_col).alias("text_key")).agg(
+    per_text = df.where(F.col(text_col).isNotNull()).groupBy(clean.text_digest(text_col).alias("text_sha256")).agg(
         F.count_if(F.col(label) == "real").alias("real_rows"),
         F.count_if(F.col(label) == "fake").alias("fake_rows"),
         *[c.alias(f"{v}_{s}") for (v, s), c in n.items()])
     same = reduce(lambda a, b: a + b, [F.col(f"real_{s}") * F.col(f"fake_{s}") for s in fixed.SPLITS])
     return per_text.where("real_rows > 0 AND fake_rows > 0").select(
-        "text_key", "real_rows", "fake_rows",
+        "text_sha256", "real_rows", "fake_rows",
         (F.col("real_rows") * F.col("fake_rows") - same).alias("cross_split_pairs"))
 
 
 def external_overlap(dev: DataFrame, external: DataFrame, dev_text: str, external_text: str,
                      split: str = "split") -> DataFrame:
     """Distinct normalised external texts, and how many occur in train/validation and in all of dev."""
-    ours = dev.groupBy(clean.normalize_text(dev_text).alias("key")).agg(
+    ours = dev.groupBy(clean.text_digest(dev_text).alias("key")).agg(
         F.bool_or(F.col(split).isin("train", "validation")).alias("seen"))
-    theirs = external.select(clean.normalize_text(external_text).alias("key")).distinct()
+    theirs = external.select(clean.text_digest(external_text).alias("key")).distinct()
     return theirs.join(ours, "key", "left").agg(
         F.count("*").alias("external_texts"), F.count_if("seen").alias("in_train_validation"),
         F.count("seen").alias("in_development"))

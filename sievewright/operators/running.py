@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievewright.functions.keys import col
 
-SAMPLE_KEYS = 4096          # expected number of cell borders
-SEARCH_STEPS = [1 << i for i in range(13, -1, -1)]
+CELL_ROWS = 1_000_000       # rows a cell should hold; session setting sievewright.cell.rows
+MAX_CELLS = 4096
+KEYS_PER_CELL = 16          # sampled order keys behind each border
 GROUP_LIMIT = 1000          # Spark prunes `row_number() <= k` before the shuffle up to this k
 HASH_DIGITS = 3
 
+_SEARCH_STEPS = [1 << i for i in range(MAX_CELLS.bit_length(), -1, -1)]
 _GROUP, _CELL, _KEY, _BORDERS = "__group", "__cell", "__key", "__borders"
 
 
@@ -27,20 +29,30 @@ def _group_struct(by) -> Column:
 
 
 def _borders(df: DataFrame, order) -> Column:
-    """Sorted array of about SAMPLE_KEYS order keys, chosen by hash: evaluated once, lazily."""
+    """Sorted array of cell borders, a lazy scalar.
+
+    The number of cells follows the row count. Keys are sampled by their hash, so
+    every evaluation yields the same borders, and duplicates collapse, so the
+    array stays below KEYS_PER_CELL * MAX_CELLS keys or so.
+    """
     keys = df.select(F.struct(*order).alias(_KEY))
-    total = keys.agg(F.count("*").alias("n")).scalar()
-    share = F.greatest(F.lit(1), F.floor(total / SAMPLE_KEYS))
-    chosen = keys.where(F.pmod(F.xxhash64(_KEY), share) == 0)
-    return chosen.agg(F.array_sort(F.collect_list(_KEY)).alias("b")).scalar()
+    rows = keys.agg(F.count("*").alias("n")).scalar()
+    cell_rows = int(df.sparkSession.conf.get("sievewright.cell.rows", str(CELL_ROWS)))
+    sampled = F.least(F.lit(MAX_CELLS), F.floor(rows / cell_rows)) * KEYS_PER_CELL
+    share = F.greatest(F.lit(1), F.floor(rows / F.greatest(sampled, F.lit(1))))
+    chosen = keys.where((sampled > 0) & (F.pmod(F.xxhash64(_KEY), share) == 0))
+    ordered = chosen.agg(F.array_sort(F.collect_set(_KEY)).alias("k"))
+    return ordered.select(F.filter("k", lambda _, i: i % KEYS_PER_CELL == KEYS_PER_CELL - 1).alias("b")).scalar()
 
 
 def _cell_of(key: Column, borders: Column) -> Column:
-    """How many borders are <= key, by binary search."""
+    """How many borders are <= key, by binary search over as many steps as the array needs."""
+    steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
+    needed = F.ceil(F.log2(F.size(borders) + F.lit(1))).cast("int")
     found = F.aggregate(
-        F.array(*[F.lit(s) for s in SEARCH_STEPS]), F.lit(0),
+        F.slice(steps, F.lit(len(_SEARCH_STEPS) + 1) - needed, needed), F.lit(0),
         lambda at, step: F.when(F.get(borders, at + step - 1) <= key, at + step).otherwise(at))
-    return F.coalesce(found, F.lit(0))
+    return F.coalesce(F.when(F.size(borders) > 0, found), F.lit(0))
 
 
 def _with_cells(df: DataFrame, by, order, hashed, keys_from=None) -> DataFrame:
@@ -53,27 +65,30 @@ def _with_cells(df: DataFrame, by, order, hashed, keys_from=None) -> DataFrame:
 
 
 def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool = False,
-                 keys_from: DataFrame | None = None) -> DataFrame:
+                 keys_from: DataFrame | None = None, totals: dict[str, str] | None = None) -> DataFrame:
     """Add inclusive running totals per group in the given ascending, total order.
 
     `hashed` says that the first order column is a uniform hexadecimal key, whose
     leading digits then serve as cells; otherwise cell borders are sampled, from
-    `keys_from` if a cheaper frame holds the same order columns.
+    `keys_from` if a cheaper frame holds the same order columns. `totals` names
+    columns for the group totals, `{new column: name in sums}`.
     """
-    by, order = list(by), list(order)
+    by, order, totals = list(by), list(order), totals or {}
     cells = _with_cells(df, by, order, hashed, keys_from)
     sizes = cells.groupBy(_GROUP, _CELL).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-    earlier = Window.partitionBy(_GROUP).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(_GROUP)
+    earlier = group.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col(_GROUP).alias("__g"), F.col(_CELL).alias("__c"),
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums])
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
+        *[F.sum(n).over(group).alias(t) for t, n in totals.items()])
     inside = (Window.partitionBy(_GROUP, _CELL).orderBy(*[col(o) for o in order])
               .rowsBetween(Window.unboundedPreceding, 0))
     local = cells.withColumns({f"__in_{n}": F.sum(v).over(inside) for n, v in sums.items()})
     joined = local.join(offsets, (F.col(_GROUP) == F.col("__g")) & (F.col(_CELL) == F.col("__c")))
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns if c not in sums],
-        *[(F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.col(f"__before_{n}")).alias(n) for n in sums])
+        *[(F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.col(f"__before_{n}")).alias(n) for n in sums], *totals)
 
 
 def rank(df: DataFrame, by, order, out: str = "rank", hashed: bool = False,
@@ -107,11 +122,10 @@ def exact_quantiles(df: DataFrame, by, value, probs: dict[str, float]) -> DataFr
     """
     by = list(by)
     keys = [f"k{i}" for i in range(len(by))]
-    named = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], col(value).cast("double").alias("v"))
-    counts = named.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("m"))
-    totals = counts.groupBy(_group_struct(keys).alias("__t")).agg(F.sum("m").alias("n"))
-    upto = running_sums(counts.withColumn("w", F.col("m")), keys, ["v"], {"upto": F.col("w")})
-    placed = upto.join(totals, _group_struct(keys) == F.col("__t"))
+    named = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], col(value).cast("double").alias("v")) \
+        .where("v IS NOT NULL")
+    counts = named.groupBy(*keys, "v").agg(F.count("*").alias("w"))
+    placed = running_sums(counts, keys, ["v"], {"upto": F.col("w")}, keys_from=named, totals={"n": "upto"})
     after, before = F.col("upto"), F.col("upto") - F.col("w")
     aggs = [F.max("n").alias("n")]
     for i, p in enumerate(probs.values()):

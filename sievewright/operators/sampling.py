@@ -109,18 +109,19 @@ def nested_round_robin(df: DataFrame, groups, spread: str, n: int, order) -> Dat
 def group_top_up(df: DataFrame, group, domain: str, need: int, order, seed=fixed.SEED) -> DataFrame:
     """Whole groups, one per domain and round, until `need` rows; the last group is trimmed.
 
-    A group belongs to the domain of its first record.
+    A group belongs to the domain of its first record, and is known by its shuffle
+    key, so long keys such as texts are not moved around.
     """
-    records = df.withColumn("__grp", col(group))
-    table = records.groupBy("__grp").agg(F.count("*").alias("__size"),
-                                         F.min_by(F.col(domain), F.struct(*order)).alias("__dom"))
-    turns = shuffled_rank(table, ["__dom"], "__grp", seed, "__round")
+    records = df.withColumn("__grp", hkey(group, seed))
+    table = settled(records.groupBy("__grp").agg(
+        F.count("*").alias("__size"), F.min_by(F.col(domain), F.struct(*order)).alias("__dom")), "groups")
+    turns = rank(table, ["__dom"], ["__grp"], "__round", hashed=True)
     total = running_sums(turns, [], ["__round", "__dom"], {"__upto": F.col("__size")})
     chosen = total.select(F.col("__grp").alias("__pick"), "__round", "__upto",
                           (F.col("__upto") - F.col("__size")).alias("__before")).where(F.col("__before") < need)
-    picked = records.join(chosen, F.col("__grp").eqNullSafe(F.col("__pick")))
-    whole = picked.where(F.col("__upto") <= need).withColumn("__pos", F.lit(1).cast("bigint"))
-    last = rank(picked.where(F.col("__upto") > need), ["__grp"], order, "__pos") \
+    picked = settled(records.join(chosen, F.col("__grp") == F.col("__pick")), "picked")
+    whole = picked.where(F.col("__upto") <= need)
+    last = rank(picked.where(F.col("__upto") > need), [], order, "__pos") \
         .where(F.col("__pos") <= need - F.col("__before"))
     return whole.select(*df.columns, F.col("__round").alias("round")).unionByName(
         last.select(*df.columns, F.col("__round").alias("round")))
@@ -197,7 +198,7 @@ def arrival_capped_sample(df: DataFrame, entity: str, n: int, order, payload: st
     taken = running_sums(seen, [], order, {"entities": first.cast("bigint")})
     allowed = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.greatest(F.lit(1), F.col("entities"))))
     picked = taken.where(usable & (first | ((F.col("usable_seen") > 1) & (F.col("seen") <= allowed))))
-    return rank(picked, [], order, "position").where(F.col("position") <= n).drop("usable_seen")
+    return rank(picked, [], order, "position", keys_from=seen).where(F.col("position") <= n).drop("usable_seen")
 
 
 def best_per_group(df: DataFrame, group, metric: str, tie_order) -> DataFrame:
@@ -219,14 +220,14 @@ def spread_evenly(df: DataFrame, order, n: int) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key, order) -> DataFrame:
-    """The first row of each key."""
-    keyed = df.withColumn("__key", col(key))
+    """The first row of each key; the key is hashed, so long texts are not shuffled as keys."""
+    keyed = df.withColumn("__key", F.sha2(text(key), 256))
     return first_per_group(keyed, ["__key"], order, 1).drop("__key")
 
 
 def dedup_report(df: DataFrame, key) -> DataFrame:
     return df.agg(F.count("*").alias("rows"),
-                  (F.countDistinct(F.coalesce(col(key), F.lit(""))).alias("kept"))) \
+                  (F.countDistinct(F.sha2(F.coalesce(text(key), F.lit("")), 256)).alias("kept"))) \
         .withColumn("removed", F.col("rows") - F.col("kept"))
 
 

@@ -101,13 +101,12 @@ def perfect_separator(df: DataFrame, features, by: str = "language_type", label:
 def _ladder(df: DataFrame, value, by, label: str, positive: str) -> DataFrame:
     """Distinct values with running positives and negatives, and the group totals."""
     by = list(by)
-    counts = df.where(col(value).isNotNull() & F.col(label).isNotNull()) \
-        .groupBy(*by, col(value).cast("double").alias("v")).agg(
-            F.count_if(F.col(label) == positive).alias("p"), F.count_if(F.col(label) != positive).alias("q"))
-    summed = running_sums(counts, by, ["v"], {"p_upto": F.col("p"), "q_upto": F.col("q")})
-    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    totals = counts.groupBy(key.alias("__k")).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
-    return summed.join(totals, key == F.col("__k")).drop("__k")
+    named = df.where(col(value).isNotNull() & F.col(label).isNotNull()).select(
+        *by, label, col(value).cast("double").alias("v"))
+    counts = named.groupBy(*by, "v").agg(
+        F.count_if(F.col(label) == positive).alias("p"), F.count_if(F.col(label) != positive).alias("q"))
+    return running_sums(counts, by, ["v"], {"p_upto": F.col("p"), "q_upto": F.col("q")}, keys_from=named,
+                        totals={"p_all": "p_upto", "q_all": "q_upto"})
 
 
 def _auc(p, q):
