@@ -94,7 +94,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", clean.normalize_text("text").alias("text_key"))
 
 
-@query("b10_normalize_text_strict")
+# the tables hold no compatibility characters, so NFC, which SQL has, equals NFKC here
+NO_PUNCTUATION = r"regexp_replace(nfc_normalize(text), '\pP', '', 'g')"
+
+
+@query("b10_normalize_text_strict", f"SELECT doc_id, {norm(NO_PUNCTUATION)} AS text_key FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", clean.normalize_text_strict("text").alias("text_key"))
 

@@ -65,9 +65,10 @@ def _(spark, sf):
 
 
 @query("d20_fingerprint", with_(F2) + """
-, leaf AS (SELECT substr(sha256(sample_id), 1, 4) AS leaf, count(*) AS n,
-  sha256(string_agg(sample_id || ':' || sha256 || chr(10), '' ORDER BY sample_id, sha256)) AS d FROM f2 GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(leaf || ':' || d || chr(10), '' ORDER BY leaf)) AS fingerprint FROM leaf""")
+, leaf AS (SELECT substr(sha256(sample_id), 1, 5) AS leaf, count(*) AS n,
+  sha256(string_agg(sample_id || ':' || sha256 || chr(10), '' ORDER BY sample_id, sha256)) AS d FROM f2 GROUP BY 1),
+ branch AS (SELECT substr(leaf, 1, 2) AS branch, sum(n) AS n, sha256(string_agg(leaf || ':' || d || chr(10), '' ORDER BY leaf)) AS d FROM leaf GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(branch || ':' || d || chr(10), '' ORDER BY branch)) AS fingerprint FROM branch""")
 def _(spark, sf):
     return gates.fingerprint(f2(spark, sf), "sample_id", "sha256")
 

@@ -62,7 +62,39 @@ def _(spark, sf):
     return splits.greedy_assignment(f1(spark, sf), "speaker_id", {"train": 1700, "validation": 600, "test": 300}, "source_dataset")
 
 
-@query("e15_greedy_split_multi")
+def multi_sql(attributes, shares) -> str:
+    """Sequential placement by (fit - overshoot / 2, fewer rows held), one group per recursion step."""
+    names, n = list(shares), range(len(attributes))
+    counts_ = ", ".join(f"count(*) FILTER (WHERE generator = '{a}') AS c{i}" for i, a in enumerate(attributes))
+    goals = ", ".join(f"sum(c{i}) OVER () * {p} AS g{s}{i}" for s, p in shares.items() for i in n)
+    state = [f"h{s}{i}" for s in names for i in n]
+    score = {s: "(" + " + ".join(f"least(c{i}, greatest(0.0, g{s}{i} - h{s}{i}))" for i in n) + ") - 0.5 * ("
+             + " + ".join(f"greatest(0.0, h{s}{i} + c{i} - g{s}{i})" for i in n) + ")" for s in names}
+    load = {s: " + ".join(f"h{s}{i}" for i in n) for s in names}
+    held = ", ".join(state)
+    after = ", ".join(f"h{s}{i} + CASE WHEN split = '{s}' THEN c{i} ELSE 0 END AS h{s}{i}" for s in names for i in n)
+    # a later split wins only with a strictly better (score, -load)
+    first, second, third = names
+    better = lambda a, b: f"(s{b} > s{a} OR (s{b} = s{a} AND l{b} < l{a}))"
+    pick = (f"CASE WHEN {better(first, second)} THEN CASE WHEN {better(second, third)} THEN '{third}' ELSE '{second}' END "
+            f"WHEN {better(first, third)} THEN '{third}' ELSE '{first}' END AS split")
+    scored = ", ".join(f"{score[s]} AS s{s}, {load[s]} AS l{s}" for s in names)
+    columns = f"k, i, total, {', '.join(f'c{j}' for j in n)}, {', '.join(f'g{s}{j}' for s in names for j in n)}, {held}"
+    return f""", g AS (SELECT entity AS k, count(*) AS total, {counts_} FROM f3 GROUP BY 1),
+ o AS (SELECT *, row_number() OVER (ORDER BY total DESC, k) AS i, {goals} FROM g),
+ f AS (SELECT {columns}, {pick} FROM (SELECT *, {scored} FROM (SELECT *, {', '.join(f'0 AS {h}' for h in state)} FROM o WHERE i = 1))
+  UNION ALL SELECT {columns}, {pick} FROM (SELECT *, {scored} FROM (
+   SELECT o.*, {', '.join(f'p.{h}' for h in state)} FROM (SELECT i, {after} FROM f) p JOIN o ON o.i = p.i + 1)))
+SELECT k AS group_key, total, split AS new_split FROM f"""
+
+
+@query("e15_greedy_split_multi", "WITH RECURSIVE " + F3 + multi_sql(
+    ["A", "N", "R"], {"train": 0.7, "validation": 0.15, "test": 0.15}))
+def _(spark, sf):
+    return splits.greedy_split_multi(f3(spark, sf), "entity", "generator", ["A", "N", "R"])
+
+
+@query("e15_greedy_split_multi_many")
 def _(spark, sf):
     return splits.greedy_split_multi(f1(spark, sf).where(F.col("generator").isNotNull()), "speaker_id", "generator",
                                      ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])

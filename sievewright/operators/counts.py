@@ -16,6 +16,12 @@ def _filled(c) -> Column:
     return F.coalesce(~text(c).rlike(BLANK), F.lit(False))
 
 
+def _beside(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """Join two tables with one row per group; a NULL key equals itself."""
+    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    return left.withColumn("__k", key).join(right.withColumn("__k", key).drop(*by), "__k").drop("__k")
+
+
 def value_counts(df: DataFrame, column: str, dropna: bool = True, skip_blank: bool = False) -> DataFrame:
     if skip_blank:
         df = df.where(_filled(column))
@@ -67,10 +73,7 @@ def duration_summary(df: DataFrame, by, value: str = "duration") -> DataFrame:
         F.round(F.sum(value) / 3600, 6).alias("hours"), F.min(value).alias("min_s"),
         F.round(F.avg(value), 6).alias("mean_s"), F.max(value).alias("max_s"))
     medians = exact_quantiles(df, by, value, {"median_s": 0.5})
-    if not by:
-        return stats.select("*", F.struct(*[F.lit(0).alias("k")]).alias("__k")).join(
-            medians.select("*", F.struct(F.lit(0).alias("k")).alias("__k")), "__k").drop("__k")
-    return stats.join(medians, by)
+    return _beside(stats, medians, by)
 
 
 def threshold_counts(df: DataFrame, value: str, cuts, by=()) -> DataFrame:
@@ -122,13 +125,11 @@ def drift(df: DataFrame, before: str, after: str, tolerance: float = fixed.DURAT
     """Absolute change of a value: max, mean, median and rows beyond tolerance."""
     by = list(by)
     delta = df.withColumn("__delta", F.abs(F.col(after) - F.col(before)))
-    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
     stats = delta.groupBy(*by).agg(F.max("__delta").alias("max_delta"), F.avg("__delta").alias("mean_delta"),
                                    F.count_if(F.col("__delta") > tolerance).alias("over_tolerance"))
     medians = exact_quantiles(delta, by, "__delta", {"median_delta": 0.5})
-    joined = stats.withColumn("__k", key).join(medians.select(key.alias("__k"), "n", "median_delta"), "__k")
-    return joined.select(*by, "n", "over_tolerance",
-                         *[F.round(c, 6).alias(c) for c in ("max_delta", "mean_delta", "median_delta")])
+    return _beside(stats, medians, by).select(*by, "n", "over_tolerance", *[
+        F.round(c, 6).alias(c) for c in ("max_delta", "mean_delta", "median_delta")])
 
 
 def before_after(df: DataFrame, before: str, after: str, by) -> DataFrame:
@@ -152,7 +153,7 @@ def concentration(df: DataFrame, entity: str, by) -> DataFrame:
     stats = sizes.groupBy(*by).agg(F.min("clips").alias("min_clips"), F.round(F.avg("clips"), 6).alias("mean_clips"),
                                    F.max("clips").alias("max_clips"), F.count("*").alias("entities"))
     medians = exact_quantiles(sizes, by, "clips", {"median_clips": 0.5}).drop("n")
-    return stats.join(medians, by)
+    return _beside(stats, medians, by)
 
 
 def diversity_grade(df: DataFrame, entity: str, by, grades=fixed.DIVERSITY_GRADES,
@@ -274,7 +275,7 @@ def text_multiplicity(df: DataFrame, by, text_col: str = "transcript", group: st
     if group is None:
         return table.withColumn("vacuous", F.col("clips") == F.col("unique_texts"))
     groups = df.where(F.col(text_col).isNotNull()).groupBy(*by).agg(F.countDistinct(group).alias("groups"))
-    return table.join(groups, by).withColumn("vacuous", F.col("clips") == F.col("groups"))
+    return _beside(table, groups, by).withColumn("vacuous", F.col("clips") == F.col("groups"))
 
 
 def script_profile(df: DataFrame, text_col: str, language_col: str, mixed_language: str,

@@ -108,19 +108,26 @@ def _digest(pairs) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(pairs), lambda p: _line(p["id"], p["h"])), ""), 256)
 
 
-def fingerprint(df: DataFrame, identifier: str, content: str, digits: int = 4) -> DataFrame:
+def fingerprint(df: DataFrame, identifier: str, content: str, digits: int = 5) -> DataFrame:
     """One digest of a whole (id, hash) collection, independent of row order.
 
     Rows fall into 16^digits leaves by the hash of their id. A leaf digest covers
-    its sorted `id:hash` lines, the root covers the sorted leaf digests, so no
-    task holds more than one leaf or the bounded list of leaf digests.
+    its sorted `id:hash` lines, a branch digest the leaves that share their first
+    two digits, the root the branches; no task holds more than one leaf or branch.
+    `digits` is part of the definition: 5 serves up to about 10^12 rows.
     """
     pair = F.struct(text(identifier).alias("id"), text(content).alias("h"))
-    leaves = df.groupBy(F.substring(F.sha2(text(identifier), 256), 1, digits).alias("leaf")).agg(
+
+    def fold(level: DataFrame, keep: int) -> DataFrame:
+        named = F.struct(F.col("node").alias("id"), F.col("digest").alias("h"))
+        return level.groupBy(F.substring("node", 1, keep).alias("node")).agg(
+            F.sum("rows").alias("rows"), _digest(F.collect_list(named)).alias("digest"))
+
+    leaves = df.groupBy(F.substring(F.sha2(text(identifier), 256), 1, digits).alias("node")).agg(
         F.count("*").alias("rows"), _digest(F.collect_list(pair)).alias("digest"))
-    return leaves.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        _digest(F.collect_list(F.struct(F.col("leaf").alias("id"), F.col("digest").alias("h")))).alias("fingerprint"))
+    root = F.struct(F.col("node").alias("id"), F.col("digest").alias("h"))
+    return fold(leaves, 2).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                               _digest(F.collect_list(root)).alias("fingerprint"))
 
 
 def line_fingerprint(df: DataFrame, identifier: str, content: str, max_rows: int = 1_000_000) -> DataFrame:

@@ -16,7 +16,7 @@ from sievewright.functions.keys import col
 CELL_ROWS = 1_000_000       # rows a cell should hold; session setting sievewright.cell.rows
 MAX_CELLS = 4096
 KEYS_PER_CELL = 16          # sampled order keys behind each border
-GROUP_LIMIT = 1000          # Spark prunes `row_number() <= k` before the shuffle up to this k
+GROUP_LIMIT = 100           # up to this k every task may send its first k rows of a group
 HASH_DIGITS = 3
 
 _SEARCH_STEPS = [1 << i for i in range(MAX_CELLS.bit_length(), -1, -1)]
@@ -101,8 +101,9 @@ def first_per_group(df: DataFrame, by, order, k: int, out: str | None = None,
                     hashed: bool = False) -> DataFrame:
     """The first k rows of every group.
 
-    Up to GROUP_LIMIT Spark keeps k rows per group and task before the shuffle
-    (WindowGroupLimit); beyond it the positions come from `rank`.
+    For small k Spark keeps k rows per group and task before the shuffle
+    (WindowGroupLimit), so a hot group arrives as tasks * k rows; beyond
+    GROUP_LIMIT the positions come from `rank`.
     """
     name = out or "__rn"
     if k <= GROUP_LIMIT:

@@ -134,7 +134,7 @@ def initial_cap(quota: int, groups, limit: int = fixed.INITIAL_ENTITY_CAP):
 
 def capped_quota(df: DataFrame, entity: str, cap: int, quota: int, by: str, order) -> DataFrame:
     """At most `cap` rows per entity, then at most `quota` per `by`, both in the given order."""
-    capped = first_per_group(df.where(F.col(entity).isNotNull()), [by, entity], order, cap, "entity_rank")
+    capped = settled(first_per_group(df.where(F.col(entity).isNotNull()), [by, entity], order, cap, "entity_rank"), "capped")
     return rank(capped, [by], order, "position").where(F.col("position") <= quota)
 
 
@@ -167,8 +167,8 @@ def escalating_cap(df: DataFrame, entity: str, cap0: int, quota: int, by: str, o
     tier = F.lit(len(caps) - 1)
     for i in reversed(range(len(caps))):
         tier = F.when(F.col("entity_rank") <= caps[i], F.lit(i)).otherwise(tier)
-    tiered = ranked.withColumn("tier", tier).join(reach, F.col(by).eqNullSafe(F.col("__by"))) \
-        .where(F.col("tier") <= F.col("level"))
+    tiered = settled(ranked.withColumn("tier", tier).join(reach, F.col(by).eqNullSafe(F.col("__by")))
+                     .where(F.col("tier") <= F.col("level")), "tiered")
     used = F.element_at(F.array(*[F.lit(c) for c in caps]), F.col("level") + 1).alias("cap_used")
     whole = tiered.where(F.col("tier") < F.col("level"))
     last = rank(tiered.where(F.col("tier") == F.col("level")), [by], order, "__place") \
