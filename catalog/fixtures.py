@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sievewright.operators.sampling import occurrence_index
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its footer is read once for the schema."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _fill(expr: str, spark: bool) -> str:

@@ -1,10 +1,12 @@
 """Exact ranks, running totals and quantiles that survive hot groups.
 
 `row_number() OVER (PARTITION BY g)` puts a group into one task, and one group
-may hold a third of all rows. Here every group is cut into cells whose borders
-respect the order: positions are counted inside a cell, and the sizes of the
-cells before it are added. The table of cell sizes is small, so the only large
-shuffle is by `(group, cell)`.
+may hold a third of all rows. The largest group is therefore counted first (one
+job over the group columns when the plan is built). While it fits a task, a
+plain window does. Otherwise every group is cut into cells whose borders respect
+the order: positions are counted inside a cell, and the sizes of the cells
+before it are added. The table of cell sizes is small, so the only large shuffle
+is by `(group, cell)`.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievewright.functions.keys import col
 
-CELL_ROWS = 1_000_000       # rows a cell should hold; session setting sievewright.cell.rows
+CELL_ROWS = 1_000_000       # rows of a group one task may sort; session setting sievewright.cell.rows
 MAX_CELLS = 4096
 KEYS_PER_CELL = 16          # sampled order keys behind each border
 GROUP_LIMIT = 100           # up to this k every task may send its first k rows of a group
@@ -28,19 +30,29 @@ def _group_struct(by) -> Column:
     return F.struct(*[col(b).alias(f"g{i}") for i, b in enumerate(by)]) if by else F.lit(0)
 
 
-def _borders(df: DataFrame, order) -> Column:
+def _cell_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("sievewright.cell.rows", str(CELL_ROWS)))
+
+
+def _extent(df: DataFrame, by) -> tuple[int, int]:
+    """Rows of the largest group, and of all groups."""
+    if not by:
+        rows = df.count()
+        return rows, rows
+    found = df.groupBy(*[col(b) for b in by]).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return found[0], found[1]
+
+
+def _borders(df: DataFrame, order, rows: int) -> Column:
     """Sorted array of cell borders, a lazy scalar.
 
-    The number of cells follows the row count. Keys are sampled by their hash, so
-    every evaluation yields the same borders, and duplicates collapse, so the
-    array stays below KEYS_PER_CELL * MAX_CELLS keys or so.
+    Keys are sampled by their hash, so every evaluation yields the same borders,
+    and duplicates collapse, so the array stays near KEYS_PER_CELL * MAX_CELLS keys.
     """
     keys = df.select(F.struct(*order).alias(_KEY))
-    rows = keys.agg(F.count("*").alias("n")).scalar()
-    cell_rows = int(df.sparkSession.conf.get("sievewright.cell.rows", str(CELL_ROWS)))
-    sampled = F.least(F.lit(MAX_CELLS), F.floor(rows / cell_rows)) * KEYS_PER_CELL
-    share = F.greatest(F.lit(1), F.floor(rows / F.greatest(sampled, F.lit(1))))
-    chosen = keys.where((sampled > 0) & (F.pmod(F.xxhash64(_KEY), share) == 0))
+    sampled = max(1, min(MAX_CELLS, rows // _cell_rows(df))) * KEYS_PER_CELL
+    chosen = keys.where(F.pmod(F.xxhash64(_KEY), F.lit(max(1, rows // sampled))) == 0)
     ordered = chosen.agg(F.array_sort(F.collect_set(_KEY)).alias("k"))
     return ordered.select(F.filter("k", lambda _, i: i % KEYS_PER_CELL == KEYS_PER_CELL - 1).alias("b")).scalar()
 
@@ -55,12 +67,13 @@ def _cell_of(key: Column, borders: Column) -> Column:
     return F.coalesce(F.when(F.size(borders) > 0, found), F.lit(0))
 
 
-def _with_cells(df: DataFrame, by, order, hashed, keys_from=None) -> DataFrame:
+def _with_cells(df: DataFrame, by, order, rows: int | None, keys_from: DataFrame) -> DataFrame:
+    """Add the group as a struct and the cell; without `rows` the first order column is a hash."""
     order = [col(o) for o in order]
     grouped = df.withColumn(_GROUP, _group_struct(by))
-    if hashed:
+    if rows is None:
         return grouped.withColumn(_CELL, F.substring(order[0], 1, HASH_DIGITS))
-    bordered = grouped.withColumn(_BORDERS, _borders(keys_from or df, order))
+    bordered = grouped.withColumn(_BORDERS, _borders(keys_from, order, rows))
     return bordered.withColumn(_CELL, _cell_of(F.struct(*order), F.col(_BORDERS))).drop(_BORDERS)
 
 
@@ -69,12 +82,24 @@ def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool
     """Add inclusive running totals per group in the given ascending, total order.
 
     `hashed` says that the first order column is a uniform hexadecimal key, whose
-    leading digits then serve as cells; otherwise cell borders are sampled, from
-    `keys_from` if a cheaper frame holds the same order columns. `totals` names
-    columns for the group totals, `{new column: name in sums}`.
+    leading digits then serve as cells and nothing need be counted first.
+    Otherwise groups are measured, and borders sampled, on `keys_from`: a cheaper
+    frame with the same group and order columns and at least the rows of `df`.
+    `totals` names columns for the group totals, `{new column: name in sums}`.
     """
     by, order, totals = list(by), list(order), totals or {}
-    cells = _with_cells(df, by, order, hashed, keys_from)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in sums]
+    ordered = [col(o) for o in order]
+    upto = (Window.unboundedPreceding, 0)
+    measured, rows = keys_from or df, None
+    if not hashed:
+        largest, rows = _extent(measured, by)
+        if largest <= _cell_rows(df):
+            group = Window.partitionBy(*[col(b) for b in by])
+            plain = group.orderBy(*ordered).rowsBetween(*upto)
+            return df.select(*others, *[F.coalesce(F.sum(v).over(plain), F.lit(0)).alias(n) for n, v in sums.items()],
+                             *[F.sum(sums[n]).over(group).alias(t) for t, n in totals.items()])
+    cells = _with_cells(df, by, order, rows, measured)
     sizes = cells.groupBy(_GROUP, _CELL).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     group = Window.partitionBy(_GROUP)
     earlier = group.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,13 +107,11 @@ def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool
         F.col(_GROUP).alias("__g"), F.col(_CELL).alias("__c"),
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
         *[F.sum(n).over(group).alias(t) for t, n in totals.items()])
-    inside = (Window.partitionBy(_GROUP, _CELL).orderBy(*[col(o) for o in order])
-              .rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(_GROUP, _CELL).orderBy(*ordered).rowsBetween(*upto)
     local = cells.withColumns({f"__in_{n}": F.sum(v).over(inside) for n, v in sums.items()})
     joined = local.join(offsets, (F.col(_GROUP) == F.col("__g")) & (F.col(_CELL) == F.col("__c")))
     return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in sums],
-        *[(F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.col(f"__before_{n}")).alias(n) for n in sums], *totals)
+        *others, *[(F.coalesce(F.col(f"__in_{n}"), F.lit(0)) + F.col(f"__before_{n}")).alias(n) for n in sums], *totals)
 
 
 def rank(df: DataFrame, by, order, out: str = "rank", hashed: bool = False,

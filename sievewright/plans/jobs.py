@@ -177,7 +177,7 @@ def publish(master: DataFrame, augmented: DataFrame, robustness: DataFrame, salt
     made = {"development": conform.redact_master(master, salt),
             "augmented": conform.redact_derived(augmented, "augmentation_id", salt),
             "robustness": conform.redact_derived(robustness, "robustness_id", salt)}
-    return {name: conform.assert_publishable(df) for name, df in made.items()}
+    return {name: conform.assert_publishable(settled(df, name)) for name, df in made.items()}
 
 
 def select_speech(segments: DataFrame, texts: DataFrame, speakers: DataFrame, wavs: DataFrame, n: int,
