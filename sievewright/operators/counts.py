@@ -17,8 +17,11 @@ def _filled(c) -> Column:
 
 
 def _beside(left: DataFrame, right: DataFrame, by) -> DataFrame:
-    """Join two tables with one row per group; a NULL key equals itself."""
-    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    """Put two tables with one row per group side by side; a NULL key equals itself."""
+    if not by:
+        row = right.select(F.struct(*right.columns).alias("r")).scalar()
+        return left.withColumn("__r", row).select(*left.columns, "__r.*")
+    key = F.struct(*[F.col(b) for b in by])
     return left.withColumn("__k", key).join(right.withColumn("__k", key).drop(*by), "__k").drop("__k")
 
 

@@ -208,15 +208,17 @@ def best_per_group(df: DataFrame, group, metric: str, tie_order) -> DataFrame:
 
 def spread_evenly(df: DataFrame, order, n: int) -> DataFrame:
     """Rows at positions floor(i * N / n) of the order; all rows when n >= N."""
-    total = df.agg(F.count("*").alias("n")).scalar()
-    placed = rank(df, [], order, "__pos").withColumns({"__total": total, "__i": F.col("__pos") - 1})
+    total = df.count()
+    placed = rank(df, [], order, "__pos").withColumn("position", F.col("__pos") - 1).drop("__pos")
+    if n >= total:
+        return placed
     # some index i has floor(i * step) = position only near i = position / step
-    step = F.col("__total") / n
-    chosen = F.lit(n) >= F.col("__total")
+    step = F.lit(total / n)
+    chosen = F.lit(False)
     for shift in (-1, 0, 1):
-        i = F.ceil(F.col("__i") / step) + shift
-        chosen = chosen | ((F.floor(i * step) == F.col("__i")) & (i >= 0) & (i < n))
-    return placed.where(chosen).withColumn("position", F.col("__i")).drop("__pos", "__total", "__i")
+        i = F.ceil(F.col("position") / step) + shift
+        chosen = chosen | ((F.floor(i * step) == F.col("position")) & (i >= 0) & (i < n))
+    return placed.where(chosen)
 
 
 def dedup_keep_first(df: DataFrame, key, order) -> DataFrame:

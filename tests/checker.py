@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import decimal
 import math
+import os
 
 import duckdb
 
+EXACT = bool(os.environ.get("CHECK_EXACT"))     # compare doubles bit by bit
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -33,7 +35,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         return ("decimal", float(value))
     if isinstance(value, float):
-        return ("float", "nan" if math.isnan(value) else float(f"{value:.9g}"))
+        return ("float", "nan" if math.isnan(value) else value if EXACT else float(f"{value:.9g}"))
     if isinstance(value, (list, tuple)):
         return ("list", tuple(plain(v) for v in value))
     return (kind(value), value)
