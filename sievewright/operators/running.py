@@ -21,7 +21,6 @@ KEYS_PER_CELL = 16          # sampled order keys behind each border
 GROUP_LIMIT = 100           # up to this k every task may send its first k rows of a group
 HASH_DIGITS = 3
 
-_SEARCH_STEPS = [1 << i for i in range(MAX_CELLS.bit_length(), -1, -1)]
 _GROUP, _CELL, _KEY, _BORDERS = "__group", "__cell", "__key", "__borders"
 
 
@@ -44,37 +43,36 @@ def _extent(df: DataFrame, by) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def _borders(df: DataFrame, order, rows: int) -> Column:
+def _borders(df: DataFrame, order, rows: int, cells: int) -> Column:
     """Sorted array of cell borders, a lazy scalar.
 
     Keys are sampled by their hash, so every evaluation yields the same borders,
-    and duplicates collapse, so the array stays near KEYS_PER_CELL * MAX_CELLS keys.
+    and duplicates collapse, so the array stays near KEYS_PER_CELL * cells keys.
     """
     keys = df.select(F.struct(*order).alias(_KEY))
-    sampled = max(1, min(MAX_CELLS, rows // _cell_rows(df))) * KEYS_PER_CELL
-    chosen = keys.where(F.pmod(F.xxhash64(_KEY), F.lit(max(1, rows // sampled))) == 0)
+    share = max(1, rows // (cells * KEYS_PER_CELL))
+    chosen = keys.where(F.pmod(F.xxhash64(_KEY), F.lit(share)) == 0)
     ordered = chosen.agg(F.array_sort(F.collect_set(_KEY)).alias("k"))
     return ordered.select(F.filter("k", lambda _, i: i % KEYS_PER_CELL == KEYS_PER_CELL - 1).alias("b")).scalar()
 
 
-def _cell_of(key: Column, borders: Column) -> Column:
-    """How many borders are <= key, by binary search over as many steps as the array needs."""
-    steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
-    needed = F.ceil(F.log2(F.size(borders) + F.lit(1))).cast("int")
-    found = F.aggregate(
-        F.slice(steps, F.lit(len(_SEARCH_STEPS) + 1) - needed, needed), F.lit(0),
-        lambda at, step: F.when(F.get(borders, at + step - 1) <= key, at + step).otherwise(at))
-    return F.coalesce(F.when(F.size(borders) > 0, found), F.lit(0))
-
-
 def _with_cells(df: DataFrame, by, order, rows: int | None, keys_from: DataFrame) -> DataFrame:
-    """Add the group as a struct and the cell; without `rows` the first order column is a hash."""
+    """Add the group as a struct and the cell; without `rows` the first order column is a hash.
+
+    The cell is the number of borders up to the key. The binary search is one
+    projection per step, which Spark compiles; a higher-order function would be
+    interpreted and is ten times slower.
+    """
     order = [col(o) for o in order]
     grouped = df.withColumn(_GROUP, _group_struct(by))
     if rows is None:
         return grouped.withColumn(_CELL, F.substring(order[0], 1, HASH_DIGITS))
-    bordered = grouped.withColumn(_BORDERS, _borders(keys_from, order, rows))
-    return bordered.withColumn(_CELL, _cell_of(F.struct(*order), F.col(_BORDERS))).drop(_BORDERS)
+    cells = max(1, min(MAX_CELLS, rows // _cell_rows(df)))
+    found = grouped.withColumns({_BORDERS: _borders(keys_from, order, rows, cells), _KEY: F.struct(*order), _CELL: F.lit(0)})
+    for step in [1 << i for i in reversed(range((2 * cells).bit_length()))]:
+        reached = F.get(_BORDERS, F.col(_CELL) + (step - 1)) <= F.col(_KEY)
+        found = found.withColumn(_CELL, F.when(reached, F.col(_CELL) + step).otherwise(F.col(_CELL)))
+    return found.drop(_BORDERS, _KEY)
 
 
 def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool = False,
