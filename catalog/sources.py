@@ -104,6 +104,14 @@ def _(spark, sf):
     return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
 
 
+@query("a10_probe_paths")
+def _(spark, sf):
+    listed = files.file_inventory(spark, f"{sf}/*.parquet", hashed=False).select("path")
+    gone = listed.select(F.concat("path", F.lit(".gone")).alias("path"))
+    found = files.probe_paths(listed.unionByName(gone), tasks=8)
+    return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+
+
 @query("a10_probe", with_(F2) + """
 SELECT sample_id, coalesce(bytes, 0) AS file_bytes, sha256, doc_key % 3 <> 0 AS "exists"
 FROM (SELECT sample_id, doc_key, CASE WHEN doc_key % 3 <> 0 THEN bytes END AS bytes,

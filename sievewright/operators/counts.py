@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sievewright import fixed_values as fixed
 from sievewright.functions import clean
@@ -324,8 +324,9 @@ def empty_splits(df: DataFrame, by: str = "source_dataset", split: str = "split"
     """Sources that a split lacks; `skip_absent` ignores a split nobody has."""
     counts = df.groupBy(by).agg(*[F.count_if(F.col(split) == s).alias(s) for s in splits])
     listed = counts.select(by, F.inline(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("n"))
-                                                  for s in splits])))
+                                                  for s in splits]))).where("n = 0")
     if skip_absent:
-        listed = listed.withColumn("total", F.sum("n").over(Window.partitionBy("split"))) \
-            .where("total > 0").drop("total")
-    return listed.where("n = 0").select(by, "split")
+        used = F.array_compact(F.array(*[F.when(F.bool_or(F.col(split) == s), F.lit(s)) for s in splits]))
+        listed = listed.withColumn("__used", df.agg(used.alias("u")).scalar()) \
+            .where(F.array_contains("__used", F.col("split")))
+    return listed.select(by, "split")

@@ -82,7 +82,7 @@ def take_rounds(ranked: DataFrame, group, round_col: str, n: int, group_order=No
 def round_robin_sample(df: DataFrame, group: str, n: int, identifier: str = "sample_id", seed=fixed.SEED,
                        strict: bool = False) -> DataFrame:
     """n rows, one from each group per round; `round` tells which. Fewer rows than n are an error if strict."""
-    if strict and df.limit(n).count() < n:
+    if strict and df.count() < n:
         raise ValueError(f"fewer than {n} usable rows")
     ranked = shuffled_rank(df, [group], identifier, seed, "round")
     return take_rounds(ranked, group, "round", n,

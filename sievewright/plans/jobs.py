@@ -113,6 +113,7 @@ def audit_canonical(master: DataFrame, results: DataFrame) -> DataFrame:
 
 def audit_shortcuts(master: DataFrame, augmented: DataFrame, robustness: DataFrame) -> DataFrame:
     """Shortcut tables before and after canonicalisation, and the balance of dealt conditions."""
+    augmented, robustness = settled(augmented, "augmented"), settled(robustness, "robustness")
     featured = master.withColumns({"duration_bin": clean.bin_numeric("duration"),
                                    "bit_depth": clean.bit_depth("codec"),
                                    "processed_bit_depth": clean.bit_depth("processed_codec")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,7 +27,8 @@ def _probe_one(path: str, hashed: bool):
     """(exists, length, sha256, error) of one file, read in 1 MB pieces."""
     from pyarrow import fs
     try:
-        system, name = fs.FileSystem.from_uri(path)
+        # Hadoop writes file:/x and s3a://x for file:///x and s3://x
+        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path).replace("s3a://", "s3://", 1))
         info = system.get_file_info(name)
         if info.type != fs.FileType.File:
             return False, 0, None, None
