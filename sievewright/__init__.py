@@ -3,3 +3,11 @@
 Every operator takes DataFrames and returns a DataFrame. Nothing is collected
 to the driver and no operator needs a whole group in one task.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# the few functions that run in Python workers travel with their tasks, so
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
