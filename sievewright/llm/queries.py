@@ -32,3 +32,14 @@ def op10_bpe(spark, sf_dir):
     """Token counts and digests of ids and decoded text of every document."""
     from sievewright.llm import bpe
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query()
+def op2_language_id(spark, sf_dir):
+    """Predicted language of every document; trained on documents outside the held-out fold."""
+    from pyspark.sql import functions as F
+    from sievewright.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs.where(langid.fold() != 1))
+    folded = docs.select("doc_id", (langid.fold() == 1).alias("held_out"), "text")
+    return langid.narrow_predict(folded, net, keep=("doc_id", "held_out"))
