@@ -43,3 +43,10 @@ def op2_language_id(spark, sf_dir):
     net = langid.train(docs.where(langid.fold() != 1))
     folded = docs.select("doc_id", (langid.fold() == 1).alias("held_out"), "text")
     return langid.narrow_predict(folded, net, keep=("doc_id", "held_out"))
+
+
+@query()
+def op5_mix(spark, sf_dir):
+    """How many words of every document the mix takes."""
+    from sievewright.llm import mixing
+    return mixing.Mixer(table(spark, sf_dir, "documents")).per_document()
