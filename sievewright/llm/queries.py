@@ -50,3 +50,16 @@ def op5_mix(spark, sf_dir):
     """How many words of every document the mix takes."""
     from sievewright.llm import mixing
     return mixing.Mixer(table(spark, sf_dir, "documents")).per_document()
+
+
+@query("""
+    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+    FROM (SELECT doc_id, text_sha256, max(doc_id) OVER (PARTITION BY normal) AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size
+          FROM (SELECT doc_id, normal, sha256(normal) AS text_sha256
+                FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+                      FROM documents)))
+""")
+def op4_exact_dedup(spark, sf_dir):
+    """Which row of each group of equal texts stays."""
+    from sievewright.llm import exact
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
