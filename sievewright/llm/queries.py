@@ -63,3 +63,40 @@ def op4_exact_dedup(spark, sf_dir):
     """Which row of each group of equal texts stays."""
     from sievewright.llm import exact
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_ngram_join(spark, sf_dir):
+    """Class and number of links of every document at a five-word Jaccard of 0.8."""
+    from sievewright.llm import ngram_join
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH RECURSIVE lines AS (
+        SELECT doc_id, pos, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS filled
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, filled ORDER BY pos) AS ord FROM lines),
+    names AS (
+        SELECT 1::BIGINT AS depth, doc_id, ord, md5(line) AS name FROM numbered WHERE filled
+        UNION ALL
+        SELECT a.depth * 2, a.doc_id, a.ord, md5(a.name || b.name)
+        FROM names a JOIN names b ON a.doc_id = b.doc_id AND b.ord = a.ord + a.depth),
+    later AS (SELECT *, row_number() OVER (PARTITION BY depth, name ORDER BY doc_id, ord) > 1 AS copy FROM names),
+    depths AS (SELECT doc_id, max(depth) AS run_depth FROM later WHERE copy GROUP BY doc_id),
+    marked AS (SELECT n.*, coalesce(l.copy, false) AS gone FROM numbered n
+               LEFT JOIN later l ON n.filled AND l.depth = 1 AND l.doc_id = n.doc_id AND l.ord = n.ord),
+    stretches AS (SELECT doc_id, island, count(*) AS n FROM (
+                      SELECT doc_id, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM marked WHERE gone) GROUP BY ALL),
+    runs AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM stretches GROUP BY doc_id),
+    kept AS (SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id)
+    SELECT doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run,
+           coalesce(run_depth, 0) AS run_depth, kept_sha256
+    FROM kept LEFT JOIN runs USING (doc_id) LEFT JOIN depths USING (doc_id)
+""")
+def op3_line_dedup(spark, sf_dir):
+    """What line de-duplication leaves of every document."""
+    from sievewright.llm import line_dedup
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
