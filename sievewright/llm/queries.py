@@ -100,3 +100,11 @@ def op3_line_dedup(spark, sf_dir):
     """What line de-duplication leaves of every document."""
     from sievewright.llm import line_dedup
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_secrets(spark, sf_dir):
+    """Spans of secrets in every document."""
+    from sievewright.llm import secrets
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.digests(found, [r.kind for r in secrets.BASE_RULES])
