@@ -108,3 +108,11 @@ def op9_secrets(spark, sf_dir):
     from sievewright.llm import secrets
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return secrets.digests(found, [r.kind for r in secrets.BASE_RULES])
+
+
+@query()
+def op1_personal_data(spark, sf_dir):
+    """Spans of personal data in every document."""
+    from sievewright.llm import pii, secrets
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(pii.find_personal_data(docs, pii.train(docs)), pii.KINDS)

@@ -64,8 +64,9 @@ def digests(spans: DataFrame, base: list[str], id_col: str = "doc_id") -> DataFr
         for batch in batches:
             found = [f or [] for f in batch.column("found").to_pylist()]
             written = [[f"{s['kind']}:{s['start']}:{s['end']}" for s in f] for f in found]
-            basic = [",".join(w for s, w in zip(f, ws) if s["kind"] in base) for f, ws in zip(found, written)]
-            counts = [pa.array([sum(s["kind"] == k for s in f) for f in found], pa.int64()) for k in base]
+            plain = [[s.get("base", s["kind"] in base) for s in f] for f in found]
+            basic = [",".join(w for w, p in zip(ws, ps) if p) for ws, ps in zip(written, plain)]
+            counts = [pa.array([sum(s["kind"] == k and p for s, p in zip(f, ps)) for f, ps in zip(found, plain)], pa.int64()) for k in base]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), *counts, pa.array([sha256_hex(b.encode()) for b in basic]), pa.array([",".join(w) for w in written])],
                 names=[id_col, *[f"n_{k}" for k in base], "base_sha256", "spans"])
