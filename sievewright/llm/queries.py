@@ -116,3 +116,10 @@ def op1_personal_data(spark, sf_dir):
     from sievewright.llm import pii, secrets
     docs = table(spark, sf_dir, "documents")
     return secrets.digests(pii.find_personal_data(docs, pii.train(docs)), pii.KINDS)
+
+
+@query()
+def op7_nearest(spark, sf_dir):
+    """The five nearest rows of every fiftieth vector."""
+    from sievewright.llm import neighbours
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
