@@ -123,3 +123,10 @@ def op7_nearest(spark, sf_dir):
     """The five nearest rows of every fiftieth vector."""
     from sievewright.llm import neighbours
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_substring_dedup(spark, sf_dir):
+    """What removing copied windows of twenty words leaves of every document."""
+    from sievewright.llm import recompression
+    return recompression.dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
