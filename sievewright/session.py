@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def build_session(app: str = "sievewright", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf) -> SparkSession:
@@ -52,6 +53,12 @@ def settled(df, name: str = "table"):
     Used where a later step would evaluate an expensive input several times; it
     cuts the lineage, survives lost executors and keeps column pruning.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")     # nothing reads the shuffle files of this write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
