@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
 
     Lines count without blank ones. A run here is a stretch of deleted lines with nothing but blank lines between.
     """
-    marks = settled(copied_lines(docs, min_lines, text, id_col), "marks").withColumnsRenamed({"doc": "__doc", "text_key": "__key"})
+    marks = settled(copied_lines(docs, min_lines, text, id_col), "marks").withColumnsRenamed(
+        {"doc": "__doc", "text_key": "__key", "removed": "__gone", "run_depth": "__depth"})
     whole = F.col(f"`{text}`")
     keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(whole, F.lit(""))))
     joined = keyed.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
@@ -118,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
     starts = F.filter("__removed", lambda o, i: (i == 0) | (F.get("__removed", i - 1) != o - 1))
     ends = F.filter("__removed", lambda o, i: (i == F.size("__removed") - 1) | (F.get("__removed", i + 1) != o + 1))
     longest = F.array_max(F.zip_with(starts, ends, lambda a, b: b - a + 1))
-    arrays = joined.withColumn("__removed", F.coalesce("removed", F.array().cast("array<int>"))) \
+    arrays = joined.withColumn("__removed", F.coalesce("__gone", F.array().cast("array<int>"))) \
         .withColumn("__lines", lines).withColumn("__filled", filled)
     touched = F.size("__removed") > 0
     return arrays.select(
@@ -126,7 +127,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
         F.when(touched, F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), LINE_BREAK)).otherwise(whole).alias(text),
         F.size("__filled").cast("long").alias("__n_lines"), F.size("__removed").cast("long").alias("__n_removed"),
         F.size(ends).cast("long").alias("__n_runs"), F.coalesce(longest, F.lit(0)).cast("long").alias("__longest_run"),
-        F.coalesce("run_depth", F.lit(0)).cast("long").alias("__run_depth"))
+        F.coalesce("__depth", F.lit(0)).cast("long").alias("__run_depth"))
 
 
 def line_report(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
