@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
@@ -140,12 +141,13 @@ class Mixer:
         names, counts = [r["source"] for r in quotas], np.array([r["n"] for r in quotas], np.int64)
         shards, seed = self.shards, self.seed
 
-        def leaves(frames):
-            for frame in frames:
-                for shard in frame["id"]:
-                    start, count = split_quotas(counts, shards, int(shard), seed)
-                    yield pd.DataFrame({"shard": np.int64(shard), "source": names, "start": start, "count": count})
-        return self.spark.range(shards).mapInPandas(leaves, "shard long, source string, start long, count long").where("count > 0")
+        def leaves(batches):
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    start, count = split_quotas(counts, shards, shard, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int64()), pa.array(names, pa.string()),
+                                                      pa.array(start), pa.array(count)], names=["shard", "source", "start", "count"])
+        return self.spark.range(shards).mapInArrow(leaves, "shard long, source string, start long, count long").where("count > 0")
 
     def taken(self) -> DataFrame:
         """(doc_id, source, size, words, place, shard, pass): one row for every time the mix takes `words` words of a document."""

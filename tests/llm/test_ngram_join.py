@@ -76,7 +76,7 @@ def test_against_brute_force(spark, monkeypatch):
 def test_rows_grow_with_the_group_not_its_square(spark):
     rows = planted()
     _, counts, edges = ngram_join.links(cases.documents(spark, rows))
-    assert counts.agg(F.sum("n_links")).first()[0] > 20_000
+    assert counts.agg(F.sum("n_links")).first()[0] > 10_000
     assert edges.count() < 40 * len(rows)
 
 
