@@ -158,7 +158,11 @@ def copied_windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame
             new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
             first = np.flatnonzero(new)
             head = np.repeat(first, np.diff(np.append(first, len(start))))
-            later = (uid[doc] != uid[doc[head]]) | (lo != lo[head])
+            copy = (uid[doc] != uid[doc[head]]) | (lo != lo[head])
+            # back in the order of the text, where ids and positions take little room
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            name, check, doc, lo, later = name[back], check[back], doc[back], lo[back], copy[back]
             send = ~later
             yield pa.RecordBatch.from_arrays(
                 [pa.array(name[send].view(np.int64)), pa.array(check[send].view(np.int32)), pa.array(uid[doc[send]]), pa.array(lo[send]),
