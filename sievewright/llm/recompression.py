@@ -126,14 +126,20 @@ def shared_windows(docs: DataFrame, window: int) -> DataFrame:
             new[1:] = (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, len(start)))
+            name, owner, lo = name[at], uid[doc[at]], (start[at] - words.first[doc[at]]).astype(np.int32)
+            # a name that the slice holds several times is sent once; the others need no company and are spread
+            _, first, number, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            known = times[number] > 1
+            spread = known & (first[number] != np.arange(len(name)))
+            name[spread] = mix(owner[spread].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo[spread].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name[at].view(np.int64)), pa.array(uid[doc[at]]), pa.array((start[at] - words.first[doc[at]]).astype(np.int32)),
-                 pa.array(count.astype(np.int32))], names=["name", "uid", "lo", "n"])
-    found = docs.select("uid", "text").mapInArrow(run, "name long, uid long, lo int, n int")
+                [pa.array(name.view(np.int64)), pa.array(owner), pa.array(lo), pa.array(count.astype(np.int32)), pa.array(known)],
+                names=["name", "uid", "lo", "n", "known"])
+    found = docs.select("uid", "text").mapInArrow(run, "name long, uid long, lo int, n int, known boolean")
     # another place with the same name stands next to it in this order
     order = Window.partitionBy("name").orderBy("uid", "lo")
     beside = F.lag("uid").over(order).isNotNull() | F.lead("uid").over(order).isNotNull()
-    return found.withColumn("shared", beside).where("shared").select("uid", "lo", "n")
+    return found.withColumn("shared", beside).where("shared OR known").select("uid", "lo", "n")
 
 
 def copied_windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
