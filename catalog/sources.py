@@ -98,18 +98,18 @@ def _(spark, sf):
     return blocks.block_report(_profile(spark, sf), "event_type", "user_id")
 
 
-@query("a10_file_inventory")
+@query("a10_file_inventory", "SELECT url AS path, strlen(html) AS length, sha256(html) AS sha256 FROM pages")
 def _(spark, sf):
-    found = files.file_inventory(spark, f"{sf}/*.parquet")
-    return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+    return files.row_inventory(table(spark, sf, "pages"), "url", "html")
 
 
-@query("a10_probe_paths")
+@query("a10_probe_paths", """
+SELECT url || gone AS path, gone = '' AS "exists", CASE WHEN gone = '' THEN strlen(html) ELSE 0 END AS file_bytes,
+ CASE WHEN gone = '' THEN sha256(html) END AS sha256 FROM pages CROSS JOIN (VALUES ('', ), ('.gone', )) AS v(gone)""")
 def _(spark, sf):
-    listed = files.file_inventory(spark, f"{sf}/*.parquet", hashed=False).select("path")
-    gone = listed.select(F.concat("path", F.lit(".gone")).alias("path"))
-    found = files.probe_paths(listed.unionByName(gone), tasks=8)
-    return found.withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+    pages = table(spark, sf, "pages")
+    listed = pages.select(F.explode(F.array("url", F.concat("url", F.lit(".gone")))).alias("path"))
+    return files.probe(listed, files.row_inventory(pages, "url", "html"))
 
 
 @query("a10_probe", with_(F2) + """

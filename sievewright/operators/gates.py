@@ -111,37 +111,30 @@ def _digest(pairs) -> Column:
 def fingerprint(df: DataFrame, identifier: str, content: str, digits: int = 5) -> DataFrame:
     """One digest of a whole (id, hash) collection, independent of row order.
 
-    Rows fall into 16^digits leaves by the hash of their id. A leaf digest covers
-    its sorted `id:hash` lines, a branch digest the leaves that share their first
-    two digits, the root the branches; no task holds more than one leaf or branch.
-    `digits` is part of the definition: 5 serves up to about 10^12 rows.
+    Equal pairs are counted first. A line is `length of id:id:hash:count`, the length `-` for a
+    missing id, and falls into one of 16^digits leaves by the hash of id and content, so missing and
+    repeated ids spread. A leaf digest covers its sorted lines, a branch digest the leaves that
+    share their first two digits, the root the branches; no task holds more than one
+    leaf or branch. `digits` is part of the definition: 5 serves up to about 10^12 rows.
     """
-    pair = F.struct(text(identifier).alias("id"), text(content).alias("h"))
+    name = text(identifier)
+    line = F.concat_ws(":", F.coalesce(F.length(name).cast("string"), F.lit("-")), F.coalesce(name, F.lit("")),
+                       F.coalesce(text(content), F.lit("")))
+    lines = df.groupBy(line.alias("id")).agg(F.count("*").alias("n"))
+    pair = F.struct("id", F.col("n").cast("string").alias("h"))
 
     def fold(level: DataFrame, keep: int) -> DataFrame:
         named = F.struct(F.col("node").alias("id"), F.col("digest").alias("h"))
         return level.groupBy(F.substring("node", 1, keep).alias("node")).agg(
             F.sum("rows").alias("rows"), _digest(F.collect_list(named)).alias("digest"))
 
-    leaves = df.groupBy(F.substring(F.sha2(text(identifier), 256), 1, digits).alias("node")).agg(
-        F.count("*").alias("rows"), _digest(F.collect_list(pair)).alias("digest"))
+    leaves = lines.groupBy(F.substring(F.sha2("id", 256), 1, digits).alias("node")).agg(
+        F.sum("n").alias("rows"), _digest(F.collect_list(pair)).alias("digest"))
     root = F.struct(F.col("node").alias("id"), F.col("digest").alias("h"))
     return fold(leaves, 2).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
                                _digest(F.collect_list(root)).alias("fingerprint"))
 
 
-def line_fingerprint(df: DataFrame, identifier: str, content: str, max_rows: int = 1_000_000) -> DataFrame:
-    """The flat digest over all sorted lines, for comparing with digests published that way.
-
-    It is one sequential hash, so it is refused above `max_rows`; use `fingerprint` there.
-    """
-    pair = F.struct(text(identifier).alias("id"), text(content).alias("h"))
-    bounded = df.select(pair.alias("p")).limit(max_rows + 1).agg(F.collect_list("p").alias("ps"))
-    guard = F.assert_true(F.size("ps") <= max_rows, f"more than {max_rows} rows: use fingerprint")
-    return bounded.select(guard.alias("g"), F.size("ps").cast("bigint").alias("rows"),
-                          _digest(F.col("ps")).alias("fingerprint")).where("g IS NULL").drop("g")
-
-
 def verify_hashes(df: DataFrame, inventory: DataFrame, identifier: str = "sample_id", path: str = "path",
                   content: str = "sha256") -> DataFrame:
     """State of every row: missing, zero_byte, mismatch or verified."""

@@ -13,9 +13,6 @@ from sievewright.functions.keys import text
 from sievewright.operators.running import rank
 from sievewright.operators.sampling import shuffled_rank
 
-SHARD_GROUPS = 100_000      # groups per sequential fold of `greedy_split_multi`
-
-
 def group_shuffle_split(df: DataFrame, group: str, seed=fixed.SEED, missing: str = "UNKNOWN_SPEAKER",
                         out: str = "split") -> DataFrame:
     """70/15/15 of the groups (not rows) in shuffled order; missing keys form one group."""
@@ -129,60 +126,113 @@ def greedy_split(df: DataFrame, group: str, targets: dict | None = None, by: str
 
 # ---- greedy over several attributes ----
 
-def _fold_groups(attributes, percent):
-    names = list(percent)
-
-    def fold(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values(["total", "group_key"], ascending=[False, True], kind="stable")
-        counts = groups[attributes].to_numpy(dtype=float)
-        wanted = [counts.sum(axis=0) * (p / 100) for p in percent.values()]
-        held = [counts[0] * 0 for _ in names]
-        chosen = []
-        for row in counts:
-            scores = []
-            for goal, have in zip(wanted, held):
-                room = (goal - have).clip(min=0)
-                over = (have + row - goal).clip(min=0)
-                gain = sum(min(a, b) for a, b in zip(row, room)) - 0.5 * sum(over)
-                scores.append((gain, -have.sum()))
-            best = max(range(len(names)), key=lambda i: scores[i])
-            chosen.append(best)
-            held[best] = held[best] + row
-        _supply_missing(counts, chosen, held)
-        return pd.DataFrame({"group_key": groups["group_key"], "total": groups["total"],
-                             "new_split": [names[i] for i in chosen]})
+class _Placement:
+    """Splits being filled with groups that count in several attributes.
 
-    return fold
+    All amounts are integers in hundredths of a row, so that no score is rounded.
+    """
 
+    def __init__(self, sums: list[int], percent: list[int]):
+        self.goals = [[total * p for total in sums] for p in percent]
+        self.held = [[0] * len(sums) for _ in percent]
+
+    def merit(self, split: int, vector: tuple, before: int = 0):
+        """What a group is worth to a split that took `before` more like it: (fit - overshoot / 2, fewer rows), doubled."""
+        fit = over = load = 0
+        for goal, held, amount in zip(self.goals[split], self.held[split], vector):
+            held += before * amount
+            fit += min(100 * amount, max(0, goal - 100 * held))
+            over += max(0, 100 * (held + amount) - goal)
+            load += held
+        return 2 * fit - over, -load
+
+    def run(self, vector: tuple, count: int) -> tuple[int, int]:
+        """The split that takes the next group of this vector, and how many it takes in a row.
+
+        Taking a group lowers a split's own merit and no other's, so the length of
+        the row is found by bisection.
+        """
+        merits = [self.merit(s, vector) for s in range(len(self.goals))]
+        best = max(range(len(merits)), key=lambda s: (merits[s], -s))
+        rivals = [(merits[s], -s) for s in range(len(merits)) if s != best]
+        low, high = 1, count
+        while low < high:
+            middle = (low + high + 1) // 2
+            if all((self.merit(best, vector, middle - 1), -best) > r for r in rivals):
+                low = middle
+            else:
+                high = middle - 1
+        self.add(best, vector, low)
+        return best, low
+
+    def add(self, split: int, vector: tuple, times: int):
+        self.held[split] = [h + times * v for h, v in zip(self.held[split], vector)]
+
+
+def _lend(placement: _Placement, vectors: list[tuple], pieces: list[list]) -> None:
+    """Give every split that holds nothing of an attribute one group from a split that keeps some.
+
+    The lender is the smallest class (by total, then vector) that can spare a
+    group, from its earliest split; the last group of the class there moves.
+    """
+    smallest = sorted(range(len(vectors)), key=lambda c: vectors[c])
+    for split, attribute in ((s, a) for s in range(len(placement.held)) for a in range(len(placement.held[0]))):
+        if placement.held[split][attribute]:
+            continue
+        offers = ((c, piece) for c in smallest if vectors[c][1 + attribute] for piece in sorted(pieces[c], key=lambda p: (p[2], -p[1]))
+                  if piece[2] != split and placement.held[piece[2]][attribute] > vectors[c][1 + attribute])
+        found = next(offers, None)
+        if found is None:
+            continue
+        c, piece = found
+        placement.add(piece[2], vectors[c][1:], -1)
+        placement.add(split, vectors[c][1:], 1)
+        piece[1] -= 1
+        pieces[c].append([piece[1], piece[1] + 1, split])
+
+
+def _fold_vectors(columns, percent):
+    def fold(classes: pd.DataFrame) -> pd.DataFrame:
+        classes = classes.sort_values(["total", *columns], ascending=[False] + [True] * len(columns))
+        vectors = list(classes[["total", *columns]].itertuples(index=False, name=None))
+        members = classes["members"].tolist()
+        placement = _Placement([sum(v[1 + a] * m for v, m in zip(vectors, members)) for a in range(len(columns))], list(percent.values()))
+        pieces: list[list] = []
+        for vector, count in zip(vectors, members):
+            at, mine = 0, []
+            while at < count:
+                split, length = placement.run(vector[1:], count - at)
+                mine.append([at, at + length, split])
+                at += length
+            pieces.append(mine)
+        _lend(placement, vectors, pieces)
+        names = list(percent)
+        return pd.DataFrame([(*v, a, b, names[s]) for v, mine in zip(vectors, pieces) for a, b, s in mine if a < b],
+                            columns=["total", *columns, "start", "end", "new_split"])
 
-def _supply_missing(counts, chosen, held):
-    """Move the smallest group that can be spared to a split lacking an attribute."""
-    for split in range(len(held)):
-        for a in range(counts.shape[1]):
-            if held[split][a] > 0:
-                continue
-            spare = [g for g in range(len(chosen)) if counts[g][a] > 0 and chosen[g] != split
-                     and held[chosen[g]][a] > counts[g][a]]
-            if spare:
-                donor = min(spare, key=lambda g: counts[g].sum())
-                held[chosen[donor]] = held[chosen[donor]] - counts[donor]
-                held[split] = held[split] + counts[donor]
-                chosen[donor] = split
+    return fold
 
 
 def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
                        percent: dict = fixed.SPLIT_PERCENT) -> DataFrame:
     """`(group_key, total, new_split)`: whole groups placed so that each attribute value nears its share.
 
-    Score per split is (fit - overshoot/2, fewer rows); a final pass supplies
-    splits that lack a value. The fold is sequential over groups, so the compact
-    group table is folded in hash shards of about SHARD_GROUPS groups, each with
-    its own targets; below that bound there is a single shard.
+    Groups go by total descending, then by their counts of the values, then by
+    key; each to the split with the best (fit - overshoot / 2, fewer rows), ties to the
+    earlier split. A last pass supplies splits that lack a value. Rows without a group
+    form one group with a NULL key. Groups with equal counts are interchangeable, so the fold
+    runs over distinct vectors of counts, of which N rows have at most about
+    N^((k + 1) / (k + 2)) for k values; each group finds its split from its place in its class.
     """
     columns = [f"a{i}" for i in range(len(values))]
-    groups = df.where(F.col(group).isNotNull()).groupBy(text(group).alias("group_key")).agg(
+    groups = df.groupBy(text(group).alias("group_key")).agg(
         F.count("*").alias("total"), *[F.count_if(F.col(attribute) == v).alias(c) for v, c in zip(values, columns)])
-    shards = groups.agg(F.ceil(F.count("*") / SHARD_GROUPS).alias("n")).scalar()
-    sharded = groups.withColumn("shard", F.pmod(F.xxhash64("group_key"), F.greatest(F.lit(1), shards)))
-    return sharded.groupBy("shard").applyInPandas(
-        _fold_groups(columns, percent), "group_key string, total bigint, new_split string")
+    vector = ["total", *columns]
+    classes = groups.groupBy(*vector).agg(F.count("*").alias("members"))
+    kinds = ", ".join(f"{c} bigint" for c in vector)
+    pieces = classes.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(
+        _fold_vectors(columns, percent), f"{kinds}, start bigint, end bigint, new_split string")
+    patterns = pieces.groupBy(*vector).agg(F.collect_list(F.struct("start", "end", "new_split")).alias("pieces"))
+    placed = rank(groups, vector, [F.col("group_key").isNotNull(), F.col("group_key")], "__place").join(patterns, vector)
+    piece = F.filter("pieces", lambda p: (p["start"] < F.col("__place")) & (F.col("__place") <= p["end"]))[0]
+    return placed.select("group_key", "total", piece["new_split"].alias("new_split"))

@@ -23,12 +23,33 @@ def file_inventory(spark: SparkSession, path_glob: str, hashed: bool = True) ->
     return files.select(*columns, F.sha2("content", 256).alias("sha256")) if hashed else files.select(*columns)
 
 
-def _probe_one(path: str, hashed: bool):
-    """(exists, length, sha256, error) of one file, read in 1 MB pieces."""
+def row_inventory(df: DataFrame, path: str, content: str) -> DataFrame:
+    """The inventory of contents that a table holds: path, length in bytes and sha256."""
+    return df.select(F.col(path).alias("path"), F.octet_length(content).cast("bigint").alias("length"),
+                     F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
+def _probe_batch(paths, hashed: bool):
+    """(exists, length, sha256, error) of each path; one filesystem serves all paths of a scheme and host.
+
+    `exists` is missing, not false, where storage gave no answer.
+    """
+    import pyarrow
     from pyarrow import fs
-    try:
+    systems = {}
+
+    def look(path):
+        if path is None:
+            return False, 0, None, None
         # Hadoop writes file:/x and s3a://x for file:///x and s3://x
-        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path).replace("s3a://", "s3://", 1))
+        uri = re.sub(r"^file:/(?!/)", "file:///", path).replace("s3a://", "s3://", 1)
+        place = re.match(r"([a-z0-9+.-]+://[^/]*)(.*)", uri, re.S)
+        scheme = place.group(1) if place else ""
+        if scheme not in systems:
+            systems[scheme] = (fs.LocalFileSystem(), None) if scheme in ("", "file://") else fs.FileSystem.from_uri(uri)
+        system, name = systems[scheme][0], uri if not place else place.group(2)
+        if scheme not in ("", "file://"):       # stores name a file by bucket and key
+            name = (place.group(1).split("://")[1] + place.group(2)).lstrip("/") if scheme.startswith(("s3", "gs")) else place.group(2)
         info = system.get_file_info(name)
         if info.type != fs.FileType.File:
             return False, 0, None, None
@@ -38,15 +59,23 @@ def _probe_one(path: str, hashed: bool):
                 while piece := stream.read(1 << 20):
                     digest.update(piece)
         return True, info.size, digest.hexdigest() if hashed else None, None
-    except (OSError, ValueError) as error:
-        return False, 0, None, str(error)[:120]
+
+    for path in paths:
+        try:
+            yield look(path)
+        except FileNotFoundError:
+            yield False, 0, None, None
+        except (OSError, ValueError, pyarrow.ArrowException) as error:
+            yield None, None, None, f"{type(error).__name__}: {error}"
 
 
 def probe_paths(df: DataFrame, path: str = "path", hashed: bool = True, tasks: int | None = None) -> DataFrame:
     """Look up every path (absolute or URI) and add exists, length, sha256 and probe_error.
 
     Files are hashed where the row is, in pieces, so size does not matter and empty
-    files are seen. `tasks` spreads a compact list of paths over more tasks.
+    files are seen. A missing file has exists = false; where storage failed (no
+    permission, no answer) exists is NULL and probe_error says why. `tasks` spreads a compact list of
+    paths over more tasks.
     """
     added = [StructField("exists", BooleanType()), StructField("length", LongType()),
              StructField("sha256", StringType()), StructField("probe_error", StringType())]
@@ -54,8 +83,8 @@ def probe_paths(df: DataFrame, path: str = "path", hashed: bool = True, tasks: i
 
     def look(batches):
         for batch in batches:
-            found = [_probe_one(p, hashed) for p in batch[path]]
-            facts = pd.DataFrame(found, columns=[f.name for f in added], index=batch.index)
+            facts = pd.DataFrame(list(_probe_batch(batch[path], hashed)), columns=[f.name for f in added], index=batch.index)
+            facts["exists"], facts["length"] = facts["exists"].astype("boolean"), facts["length"].astype("Int64")
             yield pd.concat([batch, facts], axis=1)
 
     spread = kept.repartition(tasks) if tasks else kept

@@ -16,13 +16,14 @@ def one(df):
     return df.collect()[0].asDict()
 
 
-def test_flat_fingerprint_equals_hashlib(spark):
-    pairs = [("b", "2"), ("a:1", "3"), ("a", "9"), ("a", "1"), ("é", "4")]
-    df = spark.createDataFrame(pairs, "id string, h string").repartition(3)
-    want = hashlib.sha256("".join(f"{i}:{h}\n" for i, h in sorted(pairs)).encode()).hexdigest()
-    assert one(gates.line_fingerprint(df, "id", "h")) == {"rows": 5, "fingerprint": want}
-    with pytest.raises(Exception, match="use fingerprint"):
-        gates.line_fingerprint(df, "id", "h", max_rows=4).collect()
+def test_fingerprint_spreads_missing_and_repeated_ids(spark):
+    """Ids that are missing or equal do not share a leaf, and a missing id is not the empty one."""
+    rows = [(None, f"h{k}") for k in range(300)] + [("same", f"h{k}") for k in range(300)] + [("a:1", "2"), ("a", "1:2")]
+    df = spark.createDataFrame(rows, "id string, h string")
+    first = one(gates.fingerprint(df, "id", "h"))
+    assert first["rows"] == 602 and one(gates.fingerprint(df.repartition(5), "id", "h")) == first
+    for other in ([("", "h0")] + rows[1:], rows[:-1] + [("a:1", "2")], rows + rows[:1]):
+        assert one(gates.fingerprint(spark.createDataFrame(other, "id string, h string"), "id", "h"))["fingerprint"] != first["fingerprint"]
 
 
 def test_tree_fingerprint_sees_any_change(spark):

@@ -155,13 +155,13 @@ def test_greedy_multi_equals_sequential(spark):
     for g, a in rows:
         counts[g][a] += 1
     totals = Counter(a for _, a in rows)
-    shares = {"train": 0.7, "validation": 0.15, "test": 0.15}
+    shares = {"train": Fraction(7, 10), "validation": Fraction(3, 20), "test": Fraction(3, 20)}
     held, out = {s: Counter() for s in shares}, {}
-    for g in sorted(counts, key=lambda g: (-sum(counts[g].values()), g)):
+    for g in sorted(counts, key=lambda g: (-sum(counts[g].values()), counts[g]["a"], counts[g]["b"], g)):
         def score(s):
-            fit = sum(min(counts[g][a], max(0.0, totals[a] * shares[s] - held[s][a])) for a in "ab")
-            over = sum(max(0.0, held[s][a] + counts[g][a] - totals[a] * shares[s]) for a in "ab")
-            return fit - 0.5 * over, -sum(held[s].values())
+            fit = sum(min(counts[g][a], max(0, totals[a] * shares[s] - held[s][a])) for a in "ab")
+            over = sum(max(0, held[s][a] + counts[g][a] - totals[a] * shares[s]) for a in "ab")
+            return fit - over / 2, -sum(held[s].values())
         best = max(shares, key=score)
         out[g] = best
         held[best].update(counts[g])
@@ -170,6 +170,16 @@ def test_greedy_multi_equals_sequential(spark):
     assert got == out
 
 
+def test_greedy_multi_at_many_groups(spark):
+    """Far more groups than count vectors, rows without a group among them: one path at every size."""
+    df = spark.range(60_000).select(F.expr("CASE WHEN id % 50 > 0 THEN concat('g', id % 6001) END").alias("g"),
+                                    F.expr("CASE WHEN id % 7 = 0 THEN 'b' ELSE 'a' END").alias("a"))
+    split = splits.greedy_split_multi(df, "g", "a", ["a", "b"])
+    assert split.count() == df.select("g").distinct().count()
+    got = {r.new_split: r.n for r in split.groupBy("new_split").agg(F.sum("total").alias("n")).collect()}
+    assert abs(got["train"] - 42_000) < 1500 and abs(got["validation"] - 9_000) < 1500
+
+
 def test_greedy_multi_supplies_a_missing_value(spark):
     rows = [(f"g{i}", "common") for i in range(20) for _ in range(10)] + [(f"r{i}", "rare") for i in range(3)]
     df = spark.createDataFrame(rows, "g string, a string")
