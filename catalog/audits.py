@@ -111,6 +111,16 @@ def _(spark, sf):
     return counts.declared_vs_actual(f1(spark, sf))
 
 
+@query("d10_declared_not_a_number", with_(F1) + """
+, t AS (SELECT CASE order_key % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'x' WHEN 2 THEN CAST(duration + 1 AS VARCHAR) ELSE CAST(duration AS VARCHAR) END AS declared,
+         order_key % 4 AS k, duration, declared_sample_rate AS r, original_sample_rate AS o FROM f1)
+SELECT count(*) FILTER (WHERE r IS NOT NULL) AS rates_compared, count(*) FILTER (WHERE r IS NOT NULL AND TRY_CAST(r AS DOUBLE) IS DISTINCT FROM o) AS rate_mismatch,
+ count(declared) AS durations_compared, count(*) FILTER (WHERE k = 2) AS duration_mismatch FROM t WHERE duration IS NOT NULL""")
+def _(spark, sf):
+    declared = F.expr("CASE order_key % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'x' WHEN 2 THEN CAST(duration + 1 AS STRING) ELSE CAST(duration AS STRING) END")
+    return counts.declared_vs_actual(f1(spark, sf).where("duration IS NOT NULL").withColumn("declared_duration", declared))
+
+
 @query("d11_majority_accuracy", with_(F1) + """
 SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(m) / sum(n), 6) AS majority_accuracy FROM (SELECT voice, max(k) AS m, sum(k) AS n
  FROM (SELECT voice, label, count(*) AS k FROM f1 GROUP BY 1, 2) GROUP BY 1)""")
@@ -189,6 +199,18 @@ def _(spark, sf):
     return counts.drift(f1(spark, sf), "duration", "processed_duration", by=["codec"])
 
 
+@query("d18_drift_missing_groups", with_(F1) + """
+, d AS (SELECT codec, CASE WHEN codec <> (SELECT min(codec) FROM f1) AND order_key % 6 <> 0 THEN abs(processed_duration - duration) END AS x FROM f1)
+SELECT codec, count(x) AS n, count(*) FILTER (WHERE x > 0.05) AS over_tolerance, round(max(x), 6) AS max_delta, round(avg(x), 6) AS mean_delta,
+ round(median(x), 6) AS median_delta FROM d GROUP BY 1""")
+def _(spark, sf):
+    """One codec has no value at all, another sixth of the rows holds NaN."""
+    rows = f1(spark, sf)
+    least = rows.agg(F.min("codec")).scalar()
+    after = F.when(F.col("codec") != least, F.when(F.col("order_key") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("processed_duration").cast("double")))
+    return counts.drift(rows.withColumn("processed_duration", after), "duration", "processed_duration", by=["codec"])
+
+
 @query("d18_drift_all", with_(F1) + """
 , d AS (SELECT abs(processed_duration - duration) AS x FROM f1)
 SELECT count(*) AS n, count(*) FILTER (WHERE x > 0.05) AS over_tolerance, round(max(x), 6) AS max_delta, round(avg(x), 6) AS mean_delta,
@@ -367,6 +389,16 @@ def _(spark, sf):
     return found.select("label", "n", *[F.round(c, 6).alias(c) for c in ("q_min", "q10", "q50", "q90", "q_max")])
 
 
+@query("d41_quantiles_beside_nan", with_(F1) + """
+, v AS (SELECT label, duration AS x FROM f1 WHERE order_key % 5 <> 0)
+SELECT label, count(*) AS n, round(min(x), 6) AS q_min, round(quantile_cont(x, 0.1), 6) AS q10, round(quantile_cont(x, 0.5), 6) AS q50,
+ round(quantile_cont(x, 0.9), 6) AS q90, round(max(x), 6) AS q_max FROM v GROUP BY 1""")
+def _(spark, sf):
+    value = F.when(F.col("order_key") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("duration").cast("double"))
+    found = counts.quantile_table(f1(spark, sf).withColumn("duration", value), ["label"], "duration")
+    return found.select("label", "n", *[F.round(c, 6).alias(c) for c in ("q_min", "q10", "q50", "q90", "q_max")])
+
+
 @query("d42_rule_precision", with_(F1) + """
 , c AS (SELECT language_type, contains(codec, 'PCM_16') AS hit, label = 'fake' AS pos FROM f1),
  k AS (SELECT language_type, count(*) AS n, count(*) FILTER (WHERE hit AND pos) AS tp, count(*) FILTER (WHERE hit AND NOT pos) AS fp,

@@ -157,6 +157,12 @@ def bit_depth(codec) -> Column:
                   F.lit(fixed.BIT_DEPTH_OTHER))
 
 
+def number(c) -> Column:
+    """The value as a double; what is no number, NaN among it, is missing."""
+    value = col(c).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def bin_numeric(c, edges=fixed.DURATION_EDGES, labels=fixed.DURATION_LABELS) -> Column:
     """Left-closed bins; unparsable or uncovered values become the category 'nan'."""
     value = col(c).try_cast("double")

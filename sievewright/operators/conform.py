@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 from sievewright import fixed_values as fixed
 from sievewright.functions import clean
 from sievewright.functions.keys import col, text
+from sievewright.operators.guards import once
 from sievewright.operators.running import rank
 
 
@@ -38,8 +39,8 @@ def select_existing(df: DataFrame, order) -> DataFrame:
 
 
 def attach_lookup(df: DataFrame, key: str, table: DataFrame, defaults: dict) -> DataFrame:
-    """Left join on `key`; unmatched keys take the defaults. Columns named in `defaults` are replaced."""
-    looked = table.select(key, *[F.col(c).alias(f"__{c}") for c in defaults])
+    """Left join on `key`; unmatched keys take the defaults, a repeated key is an error. Columns named in `defaults` are replaced."""
+    looked = once(table.select(key, *[F.col(c).alias(f"__{c}") for c in defaults]), key)
     kept = df.drop(*[c for c in defaults if c in df.columns])
     joined = kept.join(looked, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.lit(d)) for c, d in defaults.items()}) \

@@ -17,12 +17,12 @@ def _filled(c) -> Column:
 
 
 def _beside(left: DataFrame, right: DataFrame, by) -> DataFrame:
-    """Put two tables with one row per group side by side; a NULL key equals itself."""
+    """Put two tables with one row per group side by side; a NULL key equals itself, no group of `left` is lost."""
     if not by:
         row = right.select(F.struct(*right.columns).alias("r")).scalar()
         return left.withColumn("__r", row).select(*left.columns, "__r.*")
     key = F.struct(*[F.col(b) for b in by])
-    return left.withColumn("__k", key).join(right.withColumn("__k", key).drop(*by), "__k").drop("__k")
+    return left.withColumn("__k", key).join(right.withColumn("__k", key).drop(*by), "__k", "left").drop("__k")
 
 
 def value_counts(df: DataFrame, column: str, dropna: bool = True, skip_blank: bool = False) -> DataFrame:
@@ -114,9 +114,9 @@ def duplicate_rows(df: DataFrame, column: str, drop_null: bool = False) -> DataF
 
 def declared_vs_actual(df: DataFrame, tolerance: float = fixed.DURATION_TOLERANCE) -> DataFrame:
     """An unparsable declared rate counts as a mismatch, an unparsable duration does not."""
-    rate = F.col("declared_sample_rate").try_cast("double")
+    rate = clean.number("declared_sample_rate")
     both_rates = F.col("declared_sample_rate").isNotNull() & F.col("original_sample_rate").isNotNull()
-    gap = F.abs(F.col("declared_duration").try_cast("double") - F.col("duration"))
+    gap = F.abs(clean.number("declared_duration") - clean.number("duration"))
     return df.agg(
         F.count_if(both_rates).alias("rates_compared"),
         F.count_if(both_rates & ~rate.eqNullSafe(F.col("original_sample_rate").cast("double"))).alias("rate_mismatch"),
@@ -125,13 +125,13 @@ def declared_vs_actual(df: DataFrame, tolerance: float = fixed.DURATION_TOLERANC
 
 
 def drift(df: DataFrame, before: str, after: str, tolerance: float = fixed.DURATION_TOLERANCE, by=()) -> DataFrame:
-    """Absolute change of a value: max, mean, median and rows beyond tolerance."""
+    """Absolute change of a value: max, mean, median and rows beyond tolerance; a group without a value has n = 0."""
     by = list(by)
-    delta = df.withColumn("__delta", F.abs(F.col(after) - F.col(before)))
+    delta = df.withColumn("__delta", F.abs(clean.number(after) - clean.number(before)))
     stats = delta.groupBy(*by).agg(F.max("__delta").alias("max_delta"), F.avg("__delta").alias("mean_delta"),
                                    F.count_if(F.col("__delta") > tolerance).alias("over_tolerance"))
     medians = exact_quantiles(delta, by, "__delta", {"median_delta": 0.5})
-    return _beside(stats, medians, by).select(*by, "n", "over_tolerance", *[
+    return _beside(stats, medians, by).select(*by, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "over_tolerance", *[
         F.round(c, 6).alias(c) for c in ("max_delta", "mean_delta", "median_delta")])
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievewright import fixed_values as fixed
+from sievewright.functions import clean
 from sievewright.functions.keys import col, text
+from sievewright.operators.guards import once
 
 PAIRS = [("train", "validation"), ("train", "test"), ("validation", "test")]
 
@@ -87,7 +89,7 @@ def value_set_equals(df: DataFrame, expectations: dict) -> DataFrame:
 def conditional_rules(df: DataFrame, label: str = "label") -> DataFrame:
     """Fake rows start at 0 and have an end, real rows have neither, no row has time labels."""
     fake, real = F.col(label) == "fake", F.col(label) == "real"
-    start, end = F.col("fake_start").try_cast("double"), F.col("fake_end").try_cast("double")
+    start, end = clean.number("fake_start"), clean.number("fake_end")
     blank = F.trim(F.coalesce(text("fake_start"), F.lit(""))).eqNullSafe(F.lit("")) & \
         F.trim(F.coalesce(text("fake_end"), F.lit(""))).eqNullSafe(F.lit(""))
     whole = F.coalesce(start == 0, F.lit(False)) & end.isNotNull()
@@ -138,7 +140,7 @@ def fingerprint(df: DataFrame, identifier: str, content: str, digits: int = 5) -
 def verify_hashes(df: DataFrame, inventory: DataFrame, identifier: str = "sample_id", path: str = "path",
                   content: str = "sha256") -> DataFrame:
     """State of every row: missing, zero_byte, mismatch or verified."""
-    actual = inventory.select(F.col("path").alias(path), F.col("length").alias("__len"), F.col("sha256").alias("__sha"))
+    actual = once(inventory.select(F.col("path").alias(path), F.col("length").alias("__len"), F.col("sha256").alias("__sha")), path)
     joined = df.join(actual, path, "left")
     stored = F.coalesce(text(content), F.lit(""))
     state = (F.when(F.col("__len").isNull(), "missing").when(F.col("__len") == 0, "zero_byte")

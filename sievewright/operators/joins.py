@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievewright import fixed_values as fixed
 from sievewright.functions import clean
 from sievewright.functions.keys import col, text
+from sievewright.operators.guards import once
 
 
 def assemble_segments(segments: DataFrame, texts: DataFrame, speakers: DataFrame, wavs: DataFrame) -> DataFrame:
@@ -53,14 +54,15 @@ def not_processed(df: DataFrame, ledger: DataFrame, keys) -> DataFrame:
 def apply_assignment(df: DataFrame, assignment: DataFrame, key: str, only: Column | None = None,
                      split: str = "split") -> DataFrame:
     """Set the split from `(key, new_split)`, for the rows in `only`; others keep theirs."""
-    joined = df.join(assignment.select(key, "new_split"), key, "left")
+    joined = df.join(once(assignment.select(key, "new_split"), key), key, "left")
     new = F.coalesce(F.col("new_split"), F.col(split))
     return joined.withColumn(split, F.when(only, new).otherwise(F.col(split)) if only is not None else new) \
         .drop("new_split")
 
 
 def merge_results(df: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    return df.join(results, key, "left")
+    """Results beside the rows they belong to; a key with two results is an error."""
+    return df.join(once(results, key), key, "left")
 
 
 def check_inheritance(child: DataFrame, parent: DataFrame, allowed: str) -> DataFrame:

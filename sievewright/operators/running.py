@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sievewright.functions.clean import number
 from sievewright.functions.keys import col
 
 CELL_ROWS = 1_000_000       # rows of a group one task may sort; session setting sievewright.cell.rows
@@ -140,11 +141,12 @@ def exact_quantiles(df: DataFrame, by, value, probs: dict[str, float]) -> DataFr
     """Interpolated quantiles per group: equal to `percentile`, without a group in one buffer.
 
     Values are counted first, so the order statistics are read off the running
-    counts of distinct values. Also returns `n`, the number of values.
+    counts of distinct values. Also returns `n`, the number of values
+    (NaN is none).
     """
     by = list(by)
     keys = [f"k{i}" for i in range(len(by))]
-    named = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], col(value).cast("double").alias("v")) \
+    named = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], number(value).alias("v")) \
         .where("v IS NOT NULL")
     counts = named.groupBy(*keys, "v").agg(F.count("*").alias("w"))
     placed = running_sums(counts, keys, ["v"], {"upto": F.col("w")}, keys_from=named, totals={"n": "upto"})

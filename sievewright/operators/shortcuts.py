@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sievewright import fixed_values as fixed
+from sievewright.functions import clean
 from sievewright.functions.keys import col, text
 from sievewright.operators.counts import BLANK
 from sievewright.operators.running import running_sums
@@ -101,8 +102,7 @@ def perfect_separator(df: DataFrame, features, by: str = "language_type", label:
 def _ladder(df: DataFrame, value, by, label: str, positive: str) -> DataFrame:
     """Distinct values with running positives and negatives, and the group totals."""
     by = list(by)
-    named = df.where(col(value).isNotNull() & F.col(label).isNotNull()).select(
-        *by, label, col(value).cast("double").alias("v"))
+    named = df.where(F.col(label).isNotNull()).select(*by, label, clean.number(value).alias("v")).where("v IS NOT NULL")
     counts = named.groupBy(*by, "v").agg(
         F.count_if(F.col(label) == positive).alias("p"), F.count_if(F.col(label) != positive).alias("q"))
     return running_sums(counts, by, ["v"], {"p_upto": F.col("p"), "q_upto": F.col("q")}, keys_from=named,

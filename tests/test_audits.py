@@ -224,3 +224,16 @@ def test_block_purity(spark):
     spark.createDataFrame([("x", "1"), ("x", "1"), ("x", "2"), ("y", "2")], "g string, e string").coalesce(1).write.parquet(path)
     profile = blocks.block_profile(blocks.with_block_position(spark.read.parquet(path), 2), ["g", "e"]).orderBy("block").collect()
     assert [(r.num_rows, r.pure_g, r.pure_e, r.pure) for r in profile] == [(2, True, True, True), (2, False, True, False)]
+
+
+@pytest.mark.parametrize("join", [
+    lambda d, t: joins.merge_results(d, t, "k"), lambda d, t: joins.apply_assignment(d, t.withColumn("new_split", F.lit("s")), "k"),
+    lambda d, t: conform.attach_lookup(d, "k", t, {"v": "none"}),
+    lambda d, t: gates.verify_hashes(d.withColumn("path", F.col("k")).withColumn("sha256", F.lit("")),
+                                     t.select(F.col("k").alias("path"), F.lit(1).alias("length"), F.lit("h").alias("sha256")), "k")])
+def test_repeated_keys_are_refused(spark, join):
+    rows = spark.createDataFrame([("a", "t"), ("b", "t"), (None, "t")], "k string, split string")
+    once = spark.createDataFrame([("a", "1"), ("c", "2"), (None, "3"), (None, "4")], "k string, v string")
+    assert join(rows, once).count() == 3
+    with pytest.raises(Exception, match="repeated key"):
+        join(rows, once.union(spark.createDataFrame([("a", "5")], "k string, v string"))).collect()
