@@ -146,7 +146,7 @@ def _(spark, sf):
 
 @query("i6_plan_robustness", with_(F1, LICENSED, ROBUSTNESS) + "SELECT * FROM rob")
 def _(spark, sf):
-    return derive.plan_robustness(licensed(spark, sf))
+    return derive.plan_robustness(licensed(spark, sf), strict=False)
 
 
 _STATS = {"n": "z.n", "distinct_values": "z.distinct_values", "majority_accuracy": "z.majority_accuracy", "cramers_v": "z.cramers_v",
@@ -170,7 +170,7 @@ _AUG_ROWS = shortcut_sql("SELECT s.scope, 'augmentation_condition' AS feature, a
     lines("robustness by class", "SELECT augmentation_condition, label, count(*) AS n FROM rob GROUP BY 1, 2", ("augmentation_condition", "label"), same("n"))))
 def _(spark, sf):
     m = licensed(spark, sf).withColumn("gender_normalized", clean.normalize_category("gender"))
-    return jobs.audit_shortcuts(m, derive.plan_train(m), derive.plan_robustness(m))
+    return jobs.audit_shortcuts(m, derive.plan_train(m), derive.plan_robustness(m, strict=False))
 
 
 def _rule(part: str, rule: str, observed: str, expected) -> str:
@@ -198,7 +198,7 @@ _LEAK = ("SELECT 2 * count(*) FROM (SELECT group_id FROM m GROUP BY 1 HAVING boo
     _rule("overlap", "parents in both sets", "SELECT count(DISTINCT parent_sample_id) FROM aug WHERE parent_sample_id IN (SELECT parent_sample_id FROM rob)", 0)) + ")")
 def _(spark, sf):
     m = licensed(spark, sf)
-    return jobs.freeze(m, derive.plan_train(m), derive.plan_robustness(m), {"master": 15000, "augmented": 10000, "robustness": 5000})
+    return jobs.freeze(m, derive.plan_train(m), derive.plan_robustness(m, strict=False), {"master": 15000, "augmented": 10000, "robustness": 5000})
 
 
 _PUBLIC = "'{n}' AS manifest, {i} AS sample_id, label, split, coalesce(generator, '') AS generator, substr(sha256('pepper|' || group_id), 1, 16) AS group_id, {p} AS path"
@@ -210,7 +210,7 @@ _PUBLIC = "'{n}' AS manifest, {i} AS sample_id, label, split, coalesce(generator
     f"SELECT {_PUBLIC.format(n='robustness', i='robustness_id', p='augmented_file_path')} FROM rob"))
 def _(spark, sf):
     m = licensed(spark, sf)
-    made = jobs.publish(m, with_audio(derive.plan_train(m)), with_audio(derive.plan_robustness(m)), "pepper")
+    made = jobs.publish(m, with_audio(derive.plan_train(m)), with_audio(derive.plan_robustness(m, strict=False)), "pepper")
     return reduce(lambda a, b: a.unionByName(b), [
         df.select(F.lit(n).alias("manifest"), "sample_id", "label", "split", "generator", "group_id", "path") for n, df in made.items()])
 
@@ -221,7 +221,7 @@ def _(spark, sf):
  pk AS (SELECT * FROM rr ORDER BY round, sha256('42|' || speaker_id), speaker_id LIMIT 200)""" + greedy_sql("pk", "speaker_id", "''", _PERCENT) + """
 SELECT utt_id, speaker_id, round, f.split FROM pk JOIN f ON f.k = pk.speaker_id""")
 def _(spark, sf):
-    return jobs.select_speech(*kaldi(spark, sf), 200).select("utt_id", "speaker_id", "round", "split")
+    return jobs.select_speech(*kaldi(spark, sf), 200, strict=False).select("utt_id", "speaker_id", "round", "split")
 
 
 @query("i11_select_external_eval", with_(F1) + """
@@ -236,7 +236,7 @@ def _(spark, sf):
     index = f1(spark, sf).select("sample_id", "order_key", F.expr("CASE label WHEN 'real' THEN 'bonafide' ELSE 'spoof' END").alias("label"),
                                  F.col("upstream_dataset").alias("source_dataset"), F.col("source_dataset").alias("corpus"),
                                  "generator", "voice", "session_id")
-    picked = jobs.select_external_eval(index, 600, ["corpus_b"], {"real": ["corpus"], "fake": ["generator", "voice"]}, "session_id", ["order_key"])
+    picked = jobs.select_external_eval(index, 600, ["corpus_b"], {"real": ["corpus"], "fake": ["generator", "voice"]}, "session_id", ["order_key"], strict=False)
     return picked.select("sample_id", "project_label", "round")
 
 

@@ -63,7 +63,8 @@ def plan_train(master: DataFrame, seed=fixed.SEED, split: str = "train") -> Data
     return derive_manifest(planned, "aug", "augmentation_id", "data/augmented")
 
 
-def plan_robustness(master: DataFrame, per_stratum: int = 100, seed=fixed.SEED + 1, split: str = "test") -> DataFrame:
-    """The same test parents under every robustness condition."""
-    parents = stratified_take(master.where(F.col("split") == split), ["language_type", "label"], per_stratum, seed=seed)
+def plan_robustness(master: DataFrame, per_stratum: int = 100, seed=fixed.SEED + 1, split: str = "test",
+                    strict: bool = True) -> DataFrame:
+    """The same test parents under every robustness condition; short strata are an error unless not strict."""
+    parents = stratified_take(master.where(F.col("split") == split), ["language_type", "label"], per_stratum, seed=seed, strict=strict)
     return derive_manifest(expand_conditions(parents), "rob", "robustness_id", "data/robustness")

@@ -53,6 +53,35 @@ def _fill_level(sizes: DataFrame, n: int):
                                    (spare % F.col("open")).alias("extra"))).alias("cut")).scalar()
 
 
+def shortfall(df: DataFrame, by, wanted, per_entity: tuple[str, int] | None = None) -> DataFrame:
+    """`(by..., wanted, got)` of every group that cannot supply what is wanted of it.
+
+    `wanted` is a number or a table `(by, quota)`, whose groups count even if they
+    have no row. `per_entity` is (entity, cap): no entity supplies more than the cap.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    if per_entity:
+        entity, cap = per_entity
+        sizes = df.where(F.col(entity).isNotNull()).groupBy(*by, entity).agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+    else:
+        sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    supply = sizes.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("got"))
+    if isinstance(wanted, DataFrame):
+        named = wanted.select(*by, F.col("quota").cast("bigint").alias("wanted"))
+        joined = named.join(supply, by, "left") if by else named.withColumn("got", supply.scalar())
+        joined = joined.withColumn("got", F.coalesce("got", F.lit(0)).cast("bigint"))
+    else:
+        joined = supply.withColumn("wanted", F.lit(wanted).cast("bigint"))
+    return joined.where(F.col("got") < F.col("wanted")).select(*by, "wanted", "got")
+
+
+def _require(strict: bool, short) -> None:
+    """Stop if a group is short; `short` makes the table that says which."""
+    if strict and not (found := short()).isEmpty():
+        groups, missing = found.agg(F.count("*"), F.sum(F.col("wanted") - F.col("got"))).first()
+        raise ValueError(f"{groups} groups are short of {missing} rows, for example {found.first().asDict()}; see sampling.shortfall")
+
+
 def take_rounds(ranked: DataFrame, group, round_col: str, n: int, group_order=None, hashed: bool = False,
                 sizes_from: DataFrame | None = None) -> DataFrame:
     """First n rows of the order (round, group): one of each group per round.
@@ -80,21 +109,22 @@ def take_rounds(ranked: DataFrame, group, round_col: str, n: int, group_order=No
 
 
 def round_robin_sample(df: DataFrame, group: str, n: int, identifier: str = "sample_id", seed=fixed.SEED,
-                       strict: bool = False) -> DataFrame:
-    """n rows, one from each group per round; `round` tells which. Fewer rows than n are an error if strict."""
-    if strict and df.count() < n:
-        raise ValueError(f"fewer than {n} usable rows")
+                       strict: bool = True) -> DataFrame:
+    """n rows, one from each group per round; `round` tells which. Fewer rows than n are an error unless not strict."""
+    _require(strict, lambda: shortfall(df, [], n))
     ranked = shuffled_rank(df, [group], identifier, seed, "round")
     return take_rounds(ranked, group, "round", n,
                        lambda names: [hkey(names[0], seed), F.coalesce(text(names[0]), F.lit(""))],
                        hashed=True, sizes_from=df)
 
 
-def nested_round_robin(df: DataFrame, groups, spread: str, n: int, order) -> DataFrame:
+def nested_round_robin(df: DataFrame, groups, spread: str, n: int, order, strict: bool = True) -> DataFrame:
     """Round robin across groups; inside a group, round robin across `spread` in the given order.
 
-    Missing keys count as 'unknown'.
+    Missing keys count as 'unknown'. Fewer rows than n are an error unless not strict.
     """
+    _require(strict, lambda: shortfall(df, [], n))
+
     def known(c):
         filled = F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
         return F.when(F.coalesce(filled, F.lit("")) == "", F.lit("unknown")).otherwise(filled)
@@ -146,12 +176,13 @@ def cap_sequence(cap0: int, limit: int = fixed.ENTITY_CAP_LIMIT) -> list[int]:
 
 
 def escalating_cap(df: DataFrame, entity: str, cap0: int, quota: int, by: str, order,
-                   limit: int = fixed.ENTITY_CAP_LIMIT) -> DataFrame:
+                   limit: int = fixed.ENTITY_CAP_LIMIT, strict: bool = True) -> DataFrame:
     """Smallest cap of the doubling sequence that reaches the quota, then rows by (tier, order).
 
-    Tiers below the last are taken whole; only the last tier is ranked. Groups
-    that even the highest cap leaves short give what they have: check `cap_used`.
+    Tiers below the last are taken whole; only the last tier is ranked. A group
+    that even the highest cap leaves short is an error; if not strict it gives what it has.
     """
+    _require(strict, lambda: shortfall(df, by, quota, (entity, max(limit, cap0))))
     usable = df.where(F.col(entity).isNotNull())
     caps = cap_sequence(cap0, limit)
     ranked = first_per_group(usable, [by, entity], order, caps[-1], "entity_rank")
@@ -176,8 +207,12 @@ def escalating_cap(df: DataFrame, entity: str, cap0: int, quota: int, by: str, o
     return whole.unionByName(last).select(*df.columns, "entity_rank", "tier", used)
 
 
-def quota_sample(df: DataFrame, by: str, quotas: DataFrame, order) -> DataFrame:
-    """The first rows of each group up to its own quota; groups without a quota are dropped."""
+def quota_sample(df: DataFrame, by: str, quotas: DataFrame, order, strict: bool = True) -> DataFrame:
+    """The first rows of each group up to its own quota; groups without a quota are dropped.
+
+    A group with fewer rows than its quota is an error unless not strict.
+    """
+    _require(strict, lambda: shortfall(df, by, quotas))
     wanted = df.join(quotas.select(by, "quota"), by)
     return rank(wanted, [by], order, "position").where(F.col("position") <= F.col("quota")).drop("quota")
 
@@ -233,8 +268,10 @@ def dedup_report(df: DataFrame, key) -> DataFrame:
         .withColumn("removed", F.col("rows") - F.col("kept"))
 
 
-def stratified_take(df: DataFrame, strata, n: int, identifier: str = "sample_id", seed=fixed.SEED + 1) -> DataFrame:
-    """n shuffled rows per stratum; a short stratum gives all it has."""
+def stratified_take(df: DataFrame, strata, n: int, identifier: str = "sample_id", seed=fixed.SEED + 1,
+                    strict: bool = True) -> DataFrame:
+    """n shuffled rows per stratum; a short stratum is an error, or gives all it has if not strict."""
+    _require(strict, lambda: shortfall(df, strata, n))
     keyed = df.withColumn(_H, hkey(identifier, seed))
     return first_per_group(keyed, strata, [_H, identifier], n, "position", hashed=True).drop(_H)
 

@@ -182,20 +182,20 @@ def publish(master: DataFrame, augmented: DataFrame, robustness: DataFrame, salt
 
 
 def select_speech(segments: DataFrame, texts: DataFrame, speakers: DataFrame, wavs: DataFrame, n: int,
-                  lo: float = 1.0, hi: float = 30.0, seed=fixed.SEED) -> DataFrame:
+                  lo: float = 1.0, hi: float = 30.0, seed=fixed.SEED, strict: bool = True) -> DataFrame:
     """Assemble, filter, sample evenly over speakers, and split by speaker."""
     usable = conform.usable_filter(joins.assemble_segments(segments, texts, speakers, wavs),
                                    ["speaker_id", "transcript", "wav_name"], "duration", lo, hi)
-    picked = settled(sampling.round_robin_sample(usable, "speaker_id", n, "utt_id", seed), "picked")
+    picked = settled(sampling.round_robin_sample(usable, "speaker_id", n, "utt_id", seed, strict), "picked")
     return splits.greedy_split(picked, "speaker_id")
 
 
-def select_external_eval(index: DataFrame, per_label: int, excluded, groups, spread: str, order) -> DataFrame:
+def select_external_eval(index: DataFrame, per_label: int, excluded, groups, spread: str, order, strict: bool = True) -> DataFrame:
     """Both labels sampled evenly over attack groups and voices; excluded sources left out of the real half."""
     labelled = index.withColumn("project_label", clean.map_label("label"))
     kept = settled(conform.exclude_upstream(labelled, "real", excluded, "project_label", "source_dataset"), "index")
     halves = [sampling.nested_round_robin(kept.where(F.col("project_label") == label), groups[label], spread,
-                                          per_label, order) for label in ("real", "fake")]
+                                          per_label, order, strict) for label in ("real", "fake")]
     return reduce(lambda a, b: a.unionByName(b), halves)
 
 

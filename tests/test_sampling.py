@@ -40,12 +40,12 @@ def test_round_robin(df, n):
             if turn < len(pools[g]) and len(picked) < n:
                 picked.add(pools[g][turn])
         turn += 1
-    assert {r.sample_id for r in sampling.round_robin_sample(df, "g", n).collect()} == picked
+    assert {r.sample_id for r in sampling.round_robin_sample(df, "g", n, strict=False).collect()} == picked
 
 
 def test_round_robin_strict(df):
     with pytest.raises(ValueError):
-        sampling.round_robin_sample(df, "g", 401, strict=True)
+        sampling.round_robin_sample(df, "g", 401)
 
 
 @pytest.mark.parametrize("n", [1, 40, 150, 400])
@@ -214,3 +214,12 @@ def test_null_group_is_one_group(spark):
 def test_row_split_sizes(spark):
     out = splits.row_split(spark.range(101).selectExpr("CAST(id AS STRING) AS i"), "i")
     assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 70, "validation": 15, "test": 16}
+
+
+def test_short_supply_speaks(df):
+    quotas = df.sparkSession.createDataFrame([("nobody", 1)], "label string, quota int")
+    for draw in (lambda: sampling.nested_round_robin(df, ["label"], "g", 500, ["sample_id"]), lambda: sampling.quota_sample(df, "label", quotas, ["sample_id"]),
+                 lambda: sampling.escalating_cap(df, "g", 1, 390, "label", ["sample_id"], limit=2), lambda: sampling.stratified_take(df, ["label"], 401)):
+        with pytest.raises(ValueError, match="short"):
+            draw()
+    assert sampling.shortfall(df, "label", quotas).first().asDict() == {"label": "nobody", "wanted": 1, "got": 0}
