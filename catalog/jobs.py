@@ -8,7 +8,7 @@ from catalog import query
 from catalog.audits import _FEATURED, shortcut_sql
 from catalog.cleaning import norm
 from catalog.fixtures import (AUGMENTED, F1, F2, F5, LICENSED, LICENSES_SQL, ROBUSTNESS, f1, f2, f5, licensed,
-                              licenses, with_, with_audio)
+                              licenses, table, with_, with_audio)
 from catalog.joining import SEGMENTS, kaldi
 from catalog.splitting import _PERCENT, greedy_sql
 from sievewright.functions import clean
@@ -64,7 +64,9 @@ _G = "language_type, label, source_dataset"
     lines("integrity", """SELECT count(*) AS rows, count(*) FILTER (WHERE NOT "exists") AS missing_files, count(*) FILTER (WHERE file_bytes = 0) AS zero_byte,
       count(probe_error) AS probe_errors, CAST(sum(file_bytes) AS BIGINT) AS total_bytes, count(DISTINCT sha256) AS unique_sha256 FROM m""", (),
           same("rows", "missing_files", "zero_byte", "probe_errors", "total_bytes", "unique_sha256")),
-    "SELECT 'duplicates', c, i, '0' FROM (VALUES ('sample_id'), ('file_path'), ('sha256')) a(c), (VALUES ('members'), ('surplus')) b(i)",
+    *[lines("duplicates", f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS members, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM "
+            f"(SELECT count(*) AS n FROM m WHERE {'sha256 IS NOT NULL' if c == 'sha256' else 'true'} GROUP BY {c} HAVING count(*) > 1)", (f"'{c}'",),
+            same("members", "surplus")) for c in ("sample_id", "file_path", "sha256")],
     lines("distribution", f"SELECT {_G}, count(*) AS n FROM m GROUP BY ALL", ("'language_type+label+source_dataset'", "label", "language_type", "source_dataset", "''"), same("n")),
     lines("distribution", "SELECT split, count(*) AS n FROM m GROUP BY ALL", ("'split'", "''", "''", "''", "split"), same("n")),
     lines("distribution", "SELECT label, split, count(*) AS n FROM m GROUP BY ALL", ("'label+split'", "label", "''", "''", "split"), same("n")),
@@ -85,7 +87,12 @@ _G = "language_type, label, source_dataset"
        count(*) FILTER (WHERE r AND k) = 0 AS perfect FROM (SELECT language_type AS l, f, v, bool_or(label = 'real') AS r, bool_or(label = 'fake') AS k, count(*) AS n
         FROM m, LATERAL (VALUES ('codec', codec), ('original_sample_rate', CAST(original_sample_rate AS VARCHAR)), ('channels', CAST(channels AS VARCHAR))) u(f, v) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
           ("l", "f"), same("shared_values", "ambiguous_rows", "perfect")),
-    lines("licence", "SELECT license_status, count(*) AS clips FROM m GROUP BY 1", ("license_status",), same("clips"))))
+    *[lines("values", f"SELECT {c}, count(*) AS n FROM m WHERE {c} IS NOT NULL GROUP BY 1", (f"'{c}'", c), same("n")) for c in ("codec", "channels")],
+    lines("split by source", """SELECT source_dataset, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation,
+      count(*) FILTER (WHERE split = 'test') AS n_test FROM m GROUP BY 1""", ("source_dataset",), same("n_train", "n_validation", "n_test")),
+    lines("licence", "SELECT license_status, count(*) AS clips FROM m GROUP BY 1", ("license_status",), same("clips")),
+    lines("licence by source", "SELECT source_dataset, license, license_status, count(*) AS clips FROM m GROUP BY ALL",
+          ("source_dataset", "license", "license_status"), same("clips"))))
 def _(spark, sf):
     m = licensed(spark, sf)
     expected = m.groupBy(*jobs.GROUP).agg((F.count("*") + F.max((F.col("label") == "real").cast("int"))).alias("expected"))
@@ -122,8 +129,12 @@ _CHANGES = ("n", "over_tolerance", "max_delta", "mean_delta", "median_delta")
 
 
 @query("i4_audit_canonical", with_(F1, "c AS (SELECT *, abs(processed_duration - duration) AS x FROM f1 WHERE order_key % 10 <> 3)") + report(
-    lines("uniform", "SELECT * FROM (VALUES ('processed_sample_rate'), ('processed_channels'), ('processed_codec')) v(k)", ("k",),
-          {"distinct_values": "1", "uniform": "true"}),
+    lines("processing", """SELECT source_dataset, count(*) AS rows, count(*) FILTER (WHERE order_key % 10 <> 3) AS processed,
+      count(*) FILTER (WHERE order_key % 10 = 3) AS unprocessed FROM f1 GROUP BY 1""", ("source_dataset",), same("rows", "processed", "unprocessed")),
+    lines("integrity", """SELECT count(*) AS rows, count(*) FILTER (WHERE NOT "exists") AS missing_files, count(*) FILTER (WHERE file_bytes = 0) AS zero_byte,
+      count(probe_error) AS probe_errors FROM c""", (), same("rows", "missing_files", "zero_byte", "probe_errors")),
+    *[lines("uniform", f"SELECT count(DISTINCT {c}) AS distinct_values, count(*) = count(*) FILTER (WHERE CAST({c} AS VARCHAR) = '{v}') AS uniform FROM c",
+            (f"'{c}'",), same("distinct_values", "uniform")) for c, v in (("processed_sample_rate", "16000"), ("processed_channels", "1"), ("processed_codec", "WAV/PCM_16"))],
     lines("codec", """SELECT source_dataset, v, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM (SELECT source_dataset, codec AS v, 1 AS b, 0 AS a FROM c
       UNION ALL SELECT source_dataset, processed_codec, 0, 1 FROM c) GROUP BY 1, 2""", ("source_dataset", "v"), {"before": "z.b", "after": "z.a"}),
     lines("sample rate", """SELECT source_dataset, v, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM (SELECT source_dataset, original_sample_rate AS v, 1 AS b, 0 AS a FROM c
@@ -132,7 +143,8 @@ _CHANGES = ("n", "over_tolerance", "max_delta", "mean_delta", "median_delta")
     lines("drift by source", f"SELECT source_dataset, {_DRIFT} FROM c GROUP BY 1", ("source_dataset",), same(*_CHANGES)),
     lines("duration", """SELECT split, count(*) AS n, round(sum(processed_duration) / 3600, 6) AS hours, round(median(processed_duration), 6) AS median_s FROM c GROUP BY 1""",
           ("split",), same("n", "hours", "median_s")),
-    "SELECT 'duplicates', 'all', i, '0' FROM (VALUES ('members'), ('surplus')) b(i)"))
+    lines("duplicates", """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS members, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus
+      FROM (SELECT count(*) AS n FROM c GROUP BY processed_sha256 HAVING count(*) > 1)""", (), same("members", "surplus"))))
 def _(spark, sf):
     m = f1(spark, sf)
     done = [c for c in m.columns if c.startswith("processed_")]
@@ -174,20 +186,44 @@ def _(spark, sf):
 
 
 def _rule(part: str, rule: str, observed: str, expected) -> str:
-    return f"SELECT '{part}' AS part, '{rule}' AS rule, CAST(({observed}) AS VARCHAR) AS observed, '{expected}' AS expected"
+    return f"SELECT '{part}' AS part, '{rule}' AS rule, CAST(({observed}) AS VARCHAR) AS observed, CAST(({expected}) AS VARCHAR) AS expected"
+
+
+def _facts(part: str, rule: str, observed: str, rows: str) -> str:
+    return f"SELECT '{part}' AS part, {rule} AS rule, CAST({observed} AS VARCHAR) AS observed, NULL AS expected FROM {rows}"
+
+
+def _print(rows: str, identifier: str, content: str) -> str:
+    """The tree fingerprint of a table as a table of one column."""
+    line = f"CAST(length({identifier}) AS VARCHAR) || ':' || {identifier} || ':' || {content}"
+    return f"""(SELECT sha256(string_agg(b || ':' || d || chr(10), '' ORDER BY b)) AS f FROM (
+      SELECT substr(l, 1, 2) AS b, sha256(string_agg(l || ':' || d || chr(10), '' ORDER BY l)) AS d FROM (
+       SELECT substr(sha256(line), 1, 5) AS l, sha256(string_agg(line || ':' || CAST(n AS VARCHAR) || chr(10), '' ORDER BY line)) AS d
+       FROM (SELECT {line} AS line, count(*) AS n FROM {rows} GROUP BY 1) GROUP BY 1) GROUP BY 1))"""
+
+
+def _uniform(column: str, value: str) -> str:
+    return f"SELECT bool_and(CAST({column} AS VARCHAR) = '{value}') FROM m"
+
+
+# of the master's files some are absent, some empty, some changed
+_STORED = """stored AS (SELECT processed_file_path AS path, CASE WHEN order_key % 50 = 2 THEN 0 ELSE 1000 + order_key % 7 END AS length,
+   CASE WHEN order_key % 50 = 3 THEN 'changed' ELSE processed_sha256 END AS sha256 FROM m WHERE order_key % 50 <> 1
+  UNION ALL SELECT augmented_file_path, 700, sha256(augmented_file_path) FROM aug UNION ALL SELECT augmented_file_path, 600, sha256(augmented_file_path) FROM rob)"""
+_LOST = "SELECT count(*) FROM {t} LEFT JOIN stored ON path = {p} WHERE {w}"
 
 
 _SURPLUS = "SELECT count(*) - count(DISTINCT {c}) FROM {t}"
 _LEAK = ("SELECT 2 * count(*) FROM (SELECT group_id FROM m GROUP BY 1 HAVING bool_or(split = '{a}') AND bool_or(split = '{b}'))")
 
 
-@query("i8_freeze", with_(F1, LICENSED, AUGMENTED, ROBUSTNESS) + "SELECT *, observed IS NOT DISTINCT FROM expected AS ok FROM (" + report(
-    _rule("master", "master rows", "SELECT count(*) FROM m", 15000), _rule("master", "uniform rate", "true", "true"),
-    _rule("master", "uniform channels", "true", "true"), _rule("master", "uniform codec", "true", "true"),
+@query("i8_freeze", with_(F1, LICENSED, AUGMENTED, ROBUSTNESS, _STORED) + ", rules AS (SELECT *, observed IS NOT DISTINCT FROM expected AS ok FROM (" + report(
+    _rule("master", "master rows", "SELECT count(*) FROM m", "SELECT count(*) FROM orders"), _rule("master", "uniform rate", _uniform("processed_sample_rate", "16000"), "true"),
+    _rule("master", "uniform channels", _uniform("processed_channels", "1"), "true"), _rule("master", "uniform codec", _uniform("processed_codec", "WAV/PCM_16"), "true"),
     _rule("master", "repeated sample_id", _SURPLUS.format(c="sample_id", t="m"), 0), _rule("master", "repeated path", _SURPLUS.format(c="processed_file_path", t="m"), 0),
-    _rule("augmented", "augmented rows", "SELECT count(*) FROM aug", 10000), _rule("augmented", "repeated id", _SURPLUS.format(c="augmentation_id", t="aug"), 0),
+    _rule("augmented", "augmented rows", "SELECT count(*) FROM aug", "SELECT count(*) FROM m WHERE split = 'train'"), _rule("augmented", "repeated id", _SURPLUS.format(c="augmentation_id", t="aug"), 0),
     _rule("augmented", "repeated path", _SURPLUS.format(c="augmented_file_path", t="aug"), 0),
-    _rule("robustness", "robustness rows", "SELECT count(*) FROM rob", 5000), _rule("robustness", "repeated id", _SURPLUS.format(c="robustness_id", t="rob"), 0),
+    _rule("robustness", "robustness rows", "SELECT count(*) FROM rob", "SELECT 5 * sum(least(n, 100)) FROM (SELECT count(*) AS n FROM m WHERE split = 'test' GROUP BY language_type, label)"), _rule("robustness", "repeated id", _SURPLUS.format(c="robustness_id", t="rob"), 0),
     _rule("robustness", "repeated path", _SURPLUS.format(c="augmented_file_path", t="rob"), 0),
     *[_rule("group leakage", f"{a}/{b}", _LEAK.format(a=a, b=b), 0) for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))],
     *[_rule(f"{p} inheritance", r, f"SELECT count(*) FROM {t} c LEFT JOIN m ON m.sample_id = c.parent_sample_id WHERE {w}", 0)
@@ -195,10 +231,31 @@ _LEAK = ("SELECT 2 * count(*) FROM (SELECT group_id FROM m GROUP BY 1 HAVING boo
       for r, w in (("orphans", "m.sample_id IS NULL"), ("split_differs", "m.split IS DISTINCT FROM c.split"),
                    ("wrong_parent_split", f"c.parent_split <> '{s}'"), ("parent_outside_split", f"m.split IS DISTINCT FROM '{s}'"))],
     _rule("augmented inheritance", "repeated_parents", _SURPLUS.format(c="parent_sample_id", t="aug"), 0),
-    _rule("overlap", "parents in both sets", "SELECT count(DISTINCT parent_sample_id) FROM aug WHERE parent_sample_id IN (SELECT parent_sample_id FROM rob)", 0)) + ")")
+    _rule("overlap", "parents in both sets", "SELECT count(DISTINCT parent_sample_id) FROM aug WHERE parent_sample_id IN (SELECT parent_sample_id FROM rob)", 0),
+    *[_rule(f"{n} content", rule, _LOST.format(t=t, p=p, w=w), 0)
+      for n, t, p, h in (("master", "m", "processed_file_path", "processed_sha256"), ("augmented", "aug", "augmented_file_path", "sha256(augmented_file_path)"),
+                         ("robustness", "rob", "augmented_file_path", "sha256(augmented_file_path)"))
+      for rule, w in (("missing", "path IS NULL"), ("zero_byte", "length = 0"), ("hash_mismatches", f"length > 0 AND stored.sha256 <> {h}"))]) + """))
+ SELECT * FROM rules UNION ALL SELECT 'verdict', 'frozen', CAST(bool_and(ok) AS VARCHAR), 'true', bool_and(ok) FROM rules
+ UNION ALL SELECT *, NULL FROM (""" + report(
+    _facts("parameters", "augmentation_condition || ' | ' || augmentation_parameters", "count(*)", "aug GROUP BY 2"),
+    _facts("terms", "source_dataset || ' | ' || license || ' | ' || license_status", "count(*)", "m GROUP BY 2"),
+    _facts("storage", "CASE WHEN grouping(d) = 1 THEN '(total)' ELSE d END", "CAST(sum(length) AS BIGINT)",
+           "(SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS d, length FROM stored) GROUP BY ROLLUP (d)"),
+    _facts("master content", "'fingerprint'", "f", _print("m", "sample_id", "processed_sha256")),
+    _facts("augmented content", "'fingerprint'", "f", _print("aug", "augmentation_id", "sha256(augmented_file_path)")),
+    _facts("robustness content", "'fingerprint'", "f", _print("rob", "robustness_id", "sha256(augmented_file_path)"))) + ")")
 def _(spark, sf):
     m = licensed(spark, sf)
-    return jobs.freeze(m, derive.plan_train(m), derive.plan_robustness(m, strict=False), {"master": 15000, "augmented": 10000, "robustness": 5000})
+    a, r = with_audio(derive.plan_train(m)), with_audio(derive.plan_robustness(m, strict=False))
+    stored = m.where("order_key % 50 <> 1").selectExpr(
+        "processed_file_path AS path", "CAST(CASE WHEN order_key % 50 = 2 THEN 0 ELSE 1000 + order_key % 7 END AS BIGINT) AS length",
+        "CASE WHEN order_key % 50 = 3 THEN 'changed' ELSE processed_sha256 END AS sha256").unionByName(
+        a.selectExpr("augmented_file_path AS path", "700L AS length", "sha256")).unionByName(
+        r.selectExpr("augmented_file_path AS path", "600L AS length", "sha256"))
+    tests = m.where("split = 'test'").groupBy("language_type", "label").count().agg(F.sum(F.least("count", F.lit(100)))).first()[0]
+    sizes = {"master": table(spark, sf, "orders").count(), "augmented": m.where("split = 'train'").count(), "robustness": 5 * tests}
+    return jobs.freeze(m, a, r, sizes, stored)
 
 
 _PUBLIC = "'{n}' AS manifest, {i} AS sample_id, label, split, coalesce(generator, '') AS generator, substr(sha256('pepper|' || group_id), 1, 16) AS group_id, {p} AS path"

@@ -72,7 +72,11 @@ def audit_master(master: DataFrame, expected: DataFrame) -> DataFrame:
         tidy(shortcuts.perfect_separator(m, ["codec", "original_sample_rate", "channels"]), "separator",
              ["scope", "feature"], ["shared_values", "ambiguous_rows", "perfect"]),
         tidy(counts.empty_splits(m, skip_absent=True), "empty split", ["source_dataset", "split"], ["split"]),
-        tidy(m.groupBy("license_status").agg(F.count("*").alias("clips")), "licence", ["license_status"], ["clips"]))
+        *[tidy(counts.value_counts(m, c), "values", (F.lit(c), c), ["n"]) for c in ("codec", "channels")],
+        tidy(counts.crosstab(m, "source_dataset", "split", fixed.SPLITS), "split by source", ["source_dataset"], [f"n_{s}" for s in fixed.SPLITS]),
+        tidy(m.groupBy("license_status").agg(F.count("*").alias("clips")), "licence", ["license_status"], ["clips"]),
+        tidy(m.groupBy("source_dataset", "license", "license_status").agg(F.count("*").alias("clips")), "licence by source",
+             ["source_dataset", "license", "license_status"], ["clips"]))
 
 
 def repair_splits(df: DataFrame, source: str, key_by_source: dict, default_key: str, targets: dict | None = None,
@@ -94,11 +98,16 @@ def repair_report(repaired: DataFrame) -> DataFrame:
 
 
 def audit_canonical(master: DataFrame, results: DataFrame) -> DataFrame:
-    """Formats, before/after, duration drift and storage of the canonicalised files."""
-    m = settled(joins.merge_results(master, results, "sample_id").where("processed_file_path IS NOT NULL"), "canonical")
+    """Rows with and without a processed file, then integrity, formats, before/after and duration drift of the processed ones."""
+    every = settled(joins.merge_results(master, results, "sample_id"), "canonical")
+    m = every.where("processed_file_path IS NOT NULL")
+    integrity = ["rows", "missing_files", "zero_byte", "probe_errors"]
     uniform = {"processed_sample_rate": ["16000"], "processed_channels": ["1"], "processed_codec": ["WAV/PCM_16"]}
     changes = ["n", "over_tolerance", "max_delta", "mean_delta", "median_delta"]
     return _report(
+        tidy(every.groupBy("source_dataset").agg(F.count("*").alias("rows"), F.count("processed_file_path").alias("processed"))
+             .withColumn("unprocessed", F.col("rows") - F.col("processed")), "processing", ["source_dataset"], ["rows", "processed", "unprocessed"]),
+        tidy(counts.integrity(m), "integrity", (), integrity),
         tidy(gates.value_set_equals(m, uniform), "uniform", ["column_name"], ["distinct_values", "uniform"]),
         tidy(counts.before_after(m, "codec", "processed_codec", ["source_dataset"]), "codec",
              ["source_dataset", "value"], ["before", "after"]),
@@ -135,11 +144,14 @@ def audit_shortcuts(master: DataFrame, augmented: DataFrame, robustness: DataFra
         tidy(counts.condition_by_class(robustness), "robustness by class", ["augmentation_condition", "label"], ["n"]))
 
 
-def freeze(master: DataFrame, augmented: DataFrame, robustness: DataFrame, sizes: dict) -> DataFrame:
-    """Every rule of the freeze with its observation; frozen iff all hold.
+def freeze(master: DataFrame, augmented: DataFrame, robustness: DataFrame, sizes: dict, inventory: DataFrame) -> DataFrame:
+    """Every rule of the freeze with its observation, the facts to record, and one verdict.
 
-    One aggregate per manifest, plus leakage, inheritance and overlap checks.
+    One aggregate per manifest, plus leakage, inheritance and overlap checks; the
+    files of all three collections are compared with the inventory. Facts (fingerprints, parameters, terms,
+    storage) expect nothing and have no `ok`; frozen is true iff all rules hold.
     """
+    files_seen = settled(inventory, "inventory")
     m, a, r = settled(master, "master"), settled(augmented, "augmented"), settled(robustness, "robustness")
     leak = gates.split_leakage(m, "group_id").agg(
         *[F.sum(f"{x}_{y}").alias(f"{x}_{y}") for x, y in gates.PAIRS])
@@ -169,8 +181,27 @@ def freeze(master: DataFrame, augmented: DataFrame, robustness: DataFrame, sizes
         parts.append((gates.rule_gate(found, {c: (F.sum(c), 0) for c in rules}), f"{name} inheritance"))
     shared = joins.key_intersection(a, r, "parent_sample_id", "parent_sample_id")
     parts.append((gates.rule_gate(shared, {"parents in both sets": (F.sum("shared"), 0)}), "overlap"))
-    return reduce(lambda x, y: x.unionByName(y), [p.withColumn("part", F.lit(n)) for p, n in parts]) \
-        .select("part", "rule", "observed", "expected", "ok")
+    facts = [_fact("parameters", counts.condition_params(a), ["augmentation_condition", "augmentation_parameters"], "n"),
+             _fact("terms", m.groupBy("source_dataset", "license", "license_status").agg(F.count("*").alias("n")),
+                   ["source_dataset", "license", "license_status"], "n"),
+             _fact("storage", counts.storage_by_dir(files_seen), ["directory"], "bytes")]
+    for df, name, identifier, path, content in ((m, "master", "sample_id", "processed_file_path", "processed_sha256"),
+                                                (a, "augmented", "augmentation_id", "augmented_file_path", "sha256"),
+                                                (r, "robustness", "robustness_id", "augmented_file_path", "sha256")):
+        checked = gates.verify_hashes(df.select(identifier, path, F.col(content).alias("sha256")), files_seen, identifier, path)
+        parts.append((gates.rule_gate(gates.verification_summary(checked), {
+            c: (F.sum(c), 0) for c in ("missing", "zero_byte", "hash_mismatches")}), f"{name} content"))
+        facts.append(_fact(f"{name} content", gates.fingerprint(df, identifier, content), [F.lit("fingerprint")], "fingerprint"))
+    columns = ["part", "rule", "observed", "expected", "ok"]
+    rules = settled(_report(*[p.withColumn("part", F.lit(n)).select(columns) for p, n in parts]), "rules")
+    verdict = rules.agg(F.bool_and("ok").alias("ok")).select(
+        F.lit("verdict").alias("part"), F.lit("frozen").alias("rule"), F.col("ok").cast("string").alias("observed"), F.lit("true").alias("expected"), "ok")
+    return _report(rules, verdict, *facts).select(columns)
+
+
+def _fact(part: str, df: DataFrame, scope, value: str) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), _joined(scope).alias("rule"), text(value).alias("observed"),
+                     F.lit(None).cast("string").alias("expected"), F.lit(None).cast("boolean").alias("ok"))
 
 
 def publish(master: DataFrame, augmented: DataFrame, robustness: DataFrame, salt: str) -> dict[str, DataFrame]:
