@@ -209,7 +209,9 @@ DEALT = f"""dealt AS (
                                 ORDER BY sha256('42|' || sample_id), sample_id) - 1 AS pos
    FROM m WHERE split = 'train')))"""
 
-_DERIVED_COLUMNS = """language_type, label, source_dataset, split, group_id, generator, split AS parent_split,
+_DERIVED_COLUMNS = """language_type, label, source_dataset, split, group_id, generator, voice,
+ CASE WHEN lower(trim(gender)) = 'male' THEN 'male' WHEN lower(trim(gender)) LIKE 'female%' THEN 'female' ELSE 'unknown' END AS gender_normalized,
+ split AS parent_split, processed_file_path AS parent_processed_path, processed_duration AS parent_duration,
  c AS augmentation_condition, params AS augmentation_parameters, license, license_status,
  CASE WHEN license_status = 'UNVERIFIED' THEN 'false' ELSE 'true' END AS redistribution_allowed"""
 

@@ -175,8 +175,8 @@ _AUG_ROWS = shortcut_sql("SELECT s.scope, 'augmentation_condition' AS feature, a
 @query("i7_audit_shortcuts", with_(F1, LICENSED, AUGMENTED, ROBUSTNESS) + report(
     lines("master", f"WITH {_FEATURED.lstrip(', ')} {_MASTER_ROWS}", ("scope", "feature"), _STATS),
     lines("augmented", "WITH " + _AUG_ROWS.lstrip(", "), ("scope", "feature"), _STATS),
-    lines("balance", """SELECT d, v, augmentation_condition, count(*) AS n FROM aug, LATERAL (VALUES ('source_dataset', source_dataset), ('label', label), ('generator', generator)) u(d, v)
-      WHERE v IS NOT NULL GROUP BY 1, 2, 3""", ("d", "v", "augmentation_condition"), same("n")),
+    lines("balance", """SELECT d, v, augmentation_condition, count(*) AS n FROM aug, LATERAL (VALUES ('source_dataset', source_dataset), ('label', label), ('generator', generator), ('voice', voice), ('gender_normalized', gender_normalized)) u(d, v)
+      WHERE trim(v) <> '' GROUP BY 1, 2, 3""", ("d", "v", "augmentation_condition"), same("n")),
     lines("robustness", "SELECT count(*) AS total, bool_and(parent_split = 'test') AS all_parents_in_split, count(DISTINCT parent_sample_id) AS unique_parents FROM rob", (),
           same("total", "all_parents_in_split", "unique_parents")),
     lines("robustness by class", "SELECT augmentation_condition, label, count(*) AS n FROM rob GROUP BY 1, 2", ("augmentation_condition", "label"), same("n"))))
@@ -258,20 +258,43 @@ def _(spark, sf):
     return jobs.freeze(m, a, r, sizes, stored)
 
 
+def _published(spark, sf):
+    m, docs = licensed(spark, sf), f2(spark, sf)
+    external = docs.select("sample_id", "label", "source_dataset", F.lower("language_type").alias("source_model"), F.lit(None).cast("string").alias("spoof_type"),
+                           F.col("bytes").alias("duration"), F.lit("text").alias("codec"), F.concat(F.lit("./"), F.col("path")).alias("file_path"))
+    return jobs.publish(m, with_audio(derive.plan_train(m)), with_audio(derive.plan_robustness(m, strict=False)), "pepper",
+                        external, "Mixed", docs.where("doc_key % 3 <> 0").select("path", "sha256"))
+
+
 _PUBLIC = "'{n}' AS manifest, {i} AS sample_id, label, split, coalesce(generator, '') AS generator, substr(sha256('pepper|' || group_id), 1, 16) AS group_id, {p} AS path"
 
 
-@query("i9_publish", with_(F1, LICENSED, AUGMENTED, ROBUSTNESS) + report(
+@query("i9_publish", with_(F1, F2, LICENSED, AUGMENTED, ROBUSTNESS) + report(
     f"SELECT {_PUBLIC.format(n='development', i='sample_id', p='processed_file_path')} FROM m",
     f"SELECT {_PUBLIC.format(n='augmented', i='augmentation_id', p='augmented_file_path')} FROM aug",
-    f"SELECT {_PUBLIC.format(n='robustness', i='robustness_id', p='augmented_file_path')} FROM rob"))
+    f"SELECT {_PUBLIC.format(n='robustness', i='robustness_id', p='augmented_file_path')} FROM rob",
+    "SELECT 'external', sample_id, label, 'evaluation', coalesce(lower(language_type), ''), substr(sha256('pepper|' || sample_id), 1, 16), path FROM f2"))
 def _(spark, sf):
-    m = licensed(spark, sf)
-    made = jobs.publish(m, with_audio(derive.plan_train(m)), with_audio(derive.plan_robustness(m, strict=False)), "pepper")
+    made = _published(spark, sf)
     return reduce(lambda a, b: a.unionByName(b), [
         df.select(F.lit(n).alias("manifest"), "sample_id", "label", "split", "generator", "group_id", "path") for n, df in made.items()])
 
 
+@query("i9_check_published", with_(F1, F2, LICENSED, AUGMENTED, ROBUSTNESS) + """
+SELECT 'development' AS manifest, count(*) FILTER (WHERE split = 'test') AS missing, 0 AS out_of_date, count(*) FILTER (WHERE split = 'test') = 0 AS "current" FROM m
+UNION ALL SELECT 'augmented', 0, 0, true UNION ALL SELECT 'robustness', n, n, n = 0 FROM (SELECT count(*) AS n FROM rob WHERE label = 'fake')
+UNION ALL SELECT 'external', 0, count(*), count(*) = 0 FROM f2 WHERE doc_key % 4 = 0""")
+def _(spark, sf):
+    """Published without the test rows, with other codecs for fakes, and with documents that are no longer there."""
+    made = _published(spark, sf)
+    stale = f2(spark, sf).where("doc_key % 4 = 0").select("sample_id")
+    gone = made["external"].join(stale, "sample_id", "left_semi").withColumn("sample_id", F.concat("sample_id", F.lit("-old")))
+    return jobs.check_published(made, {
+        "development": made["development"].where("split <> 'test'"), "augmented": made["augmented"],
+        "robustness": made["robustness"].withColumn("codec", F.when(F.col("label") == "fake", "other").otherwise(F.col("codec"))),
+        "external": made["external"].unionByName(gone.select(made["external"].columns))})
+
+
 @query("i10_select_speech", "WITH RECURSIVE " + SEGMENTS + """,
  us AS (SELECT * FROM seg WHERE speaker_id IS NOT NULL AND transcript IS NOT NULL AND wav_name IS NOT NULL AND end_time - start_time BETWEEN 1 AND 30),
  rr AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY sha256('42|' || utt_id), utt_id) AS round FROM us),

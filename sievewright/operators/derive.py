@@ -12,6 +12,7 @@ from sievewright.operators.sampling import shuffled_rank, stratified_take
 
 STRATA = ["source_dataset", "label", "language_type"]
 INHERITED = ["language_type", "label", "source_dataset", "split", "group_id", "generator"]
+OPTIONAL = ["language", "voice"]
 
 
 def deal_conditions(df: DataFrame, strata=STRATA, conditions=fixed.TRAIN_CONDITIONS,
@@ -46,12 +47,18 @@ def cycle_params(condition, position) -> Column:
 
 
 def derive_manifest(plan: DataFrame, prefix: str, id_col: str, folder: str) -> DataFrame:
-    """One row per planned derivation; split, label and group come unchanged from the parent."""
+    """One row per planned derivation; split, label and group come unchanged from the parent.
+
+    Language and voice are inherited where the parent has them; the path and duration of
+    the parent's processed file are kept beside the derived path.
+    """
+    gender = F.col("gender_normalized") if "gender_normalized" in plan.columns else clean.normalize_category("gender")
     name = F.concat(F.lit(f"{prefix}_"), F.col("sample_id"), F.lit("__"), F.col("augmentation_condition"))
     return plan.select(
         name.alias(id_col), F.col("sample_id").alias("parent_sample_id"),
         F.concat(F.lit(f"{folder}/"), name, F.lit(".wav")).alias("augmented_file_path"),
-        *INHERITED, F.col("split").alias("parent_split"),
+        *INHERITED, *[c for c in OPTIONAL if c in plan.columns], gender.alias("gender_normalized"), F.col("split").alias("parent_split"),
+        F.col("processed_file_path").alias("parent_processed_path"), F.col("processed_duration").alias("parent_duration"),
         "augmentation_condition", "augmentation_parameters",
         "license", "license_status", clean.redistribution_flag("license_status").alias("redistribution_allowed"))
 

@@ -133,7 +133,7 @@ def audit_shortcuts(master: DataFrame, augmented: DataFrame, robustness: DataFra
     values = ["n", "distinct_values", "majority_accuracy", "cramers_v", "shared_values", "verdict"]
     aug = shortcuts.shortcut_audit(augmented, {"augmentation_condition": "augmentation_condition"},
                                    scopes="language_type")
-    dims = ["source_dataset", "label", "generator"]
+    dims = ["source_dataset", "label", "generator", "voice", "gender_normalized"]
     return _report(
         tidy(shortcuts.shortcut_audit(featured, named, scopes="language_type"), "master", ["scope", "feature"], values),
         tidy(aug, "augmented", ["scope", "feature"], values),
@@ -204,14 +204,25 @@ def _fact(part: str, df: DataFrame, scope, value: str) -> DataFrame:
                      F.lit(None).cast("string").alias("expected"), F.lit(None).cast("boolean").alias("ok"))
 
 
-def publish(master: DataFrame, augmented: DataFrame, robustness: DataFrame, salt: str) -> dict[str, DataFrame]:
-    """The redacted manifests, each refused if anything forbidden survived."""
+def publish(master: DataFrame, augmented: DataFrame, robustness: DataFrame, salt: str, external: DataFrame | None = None,
+            external_language: str = "Mixed", inventory: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The redacted manifests, each refused if anything forbidden survived.
+
+    The held-out set is `external`; its hashes come from `inventory`.
+    """
     made = {"development": conform.redact_master(master, salt),
             "augmented": conform.redact_derived(augmented, "augmentation_id", salt),
             "robustness": conform.redact_derived(robustness, "robustness_id", salt)}
+    if external is not None:
+        made["external"] = conform.redact_external(external, salt, external_language, inventory)
     return {name: conform.assert_publishable(settled(df, name)) for name, df in made.items()}
 
 
+def check_published(made: dict[str, DataFrame], published: dict[str, DataFrame]) -> DataFrame:
+    """`(manifest, missing, out_of_date, current)`: is what was published what a fresh build gives?"""
+    return _report(*[joins.check_current(made[name], df).select(F.lit(name).alias("manifest"), "*") for name, df in published.items()])
+
+
 def select_speech(segments: DataFrame, texts: DataFrame, speakers: DataFrame, wavs: DataFrame, n: int,
                   lo: float = 1.0, hi: float = 30.0, seed=fixed.SEED, strict: bool = True) -> DataFrame:
     """Assemble, filter, sample evenly over speakers, and split by speaker."""
