@@ -189,5 +189,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     rows = joined.withColumn("__take", F.explode("__takes"))
     shuffled = rows.repartition(mixer.shards, F.col("__take.shard")).sortWithinPartitions(
         "__take.shard", F.xxhash64(F.lit(mixer.seed), "__key", "__take.pass"))
-    part = F.when(F.col("__take.words") < F.col("__take.size"), first_words(F.col(f"`{text}`"), F.col("__take.words"))).otherwise(F.col(f"`{text}`"))
+    # only a text that is taken in part travels to the worker
+    cut = F.col("__take.words") < F.col("__take.size")
+    part = F.when(cut, first_words(F.when(cut, F.col(f"`{text}`")), F.col("__take.words"))).otherwise(F.col(f"`{text}`"))
     return shuffled.withColumn(text, part).select(*[F.col(f"`{c}`") for c in docs.columns])
