@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-1. Every document falls into one of BLOCKS blocks of its source by the hash of its
-   key, so a block is a random share and a hot source has many.
+1. Every document falls into one of its source's blocks by the hash of its key, so a block is a
+   random share. Blocks and shards are as many as the words ask for, so neither grows with the input.
 2. Targets fill by weight; no source goes beyond MAX_REPEAT times its size.
 3. A source gives whole passes over its blocks, then permuted blocks up to the
    rest of its target; in the block that crosses the target documents count one by
@@ -33,9 +33,10 @@ from pyspark.sql.types import StringType
 
 from sievewright.session import settled
 
-BLOCKS = 1024               # blocks a source
-SHARDS = 64                 # leaves of the tree
+BLOCKS, BLOCK_WORDS = 1024, 1_000_000       # blocks a source: at least so many, and none of many more words
+SHARDS, SHARD_WORDS = 64, 8_000_000         # leaves of the tree: likewise
 MAX_REPEAT = 3.0
+BROADCAST_SOURCES = 100_000         # tables of one row a source are broadcast up to so many sources
 WEIGHTS = (5.0, 2.0, 1.0)   # repeating, by the order of the sources
 
 _PLAIN = "[^\\x20\\x09-\\x0D]+"
@@ -93,35 +94,40 @@ class Mixer:
 
     def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 17,
                  weights=WEIGHTS, share: float = 1.0, shards: int = SHARDS, blocks: int = BLOCKS):
-        self.seed, self.shards, self.blocks, self.spark = seed, shards, blocks, docs.sparkSession
+        self.seed, self.spark = seed, docs.sparkSession
         place = self.place(text, id_col)
         self.docs = settled(docs.select(
             F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-            F.pmod(F.xxhash64(F.lit("block"), place), F.lit(blocks)).cast("int").alias("block"), place.alias("place")), "mix")
-        self._plan(weights, share)
+            place.alias("place")), "mix")
+        self._plan(weights, share, shards, blocks)
 
     def place(self, text: str, id_col: str) -> Column:
         """The hash of a document's id and text, which decides its block and its place in it."""
         return F.xxhash64(F.lit(self.seed), F.col(f"`{id_col}`").cast("string"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
-    def _plan(self, weights, share):
-        per_block = self.docs.groupBy("source", "block").agg(F.sum("size").alias("words"))
-        self.per_block = settled(per_block, "mixblocks")
-        rows = self.per_block.groupBy("source").agg(F.sum("words").alias("size")).collect()
+    def _plan(self, weights, share, shards, blocks):
+        rows = self.docs.groupBy("source").agg(F.sum("size").alias("size")).collect()
         rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
+        self.hint = F.broadcast if len(rows) <= BROADCAST_SOURCES else lambda df: df
         sizes = np.array([r["size"] for r in rows], np.int64)
         each = np.array([weights[i % len(weights)] for i in range(len(rows))])
         target = fill_targets(sizes, each, share) if len(rows) else np.zeros(0)
         whole = np.floor(np.divide(target, sizes, out=np.zeros(len(rows)), where=sizes > 0))
         self.sources = self.spark.createDataFrame(
             pd.DataFrame({"source": [r["source"] for r in rows], "source_size": sizes, "target": target,
-                          "passes": whole.astype(np.int64), "rest": target - whole * sizes}),
-            "source string, source_size long, target double, passes long, rest double")
+                          "passes": whole.astype(np.int64), "rest": target - whole * sizes,
+                          "blocks": np.maximum(blocks, -(-sizes // BLOCK_WORDS))}),
+            "source string, source_size long, target double, passes long, rest double, blocks long")
+        self.shards = max(shards, int(-(-target.sum() // SHARD_WORDS)))
+        about = self.hint(self.sources.select(F.col("source").alias("__s"), "blocks"))      # one row a source
+        block = F.pmod(F.xxhash64(F.lit("block"), "place"), F.col("blocks"))
+        self.blocked = self.docs.join(about, F.col("source").eqNullSafe(F.col("__s"))).withColumn("block", block).drop("__s", "blocks")
+        self.per_block = settled(self.blocked.groupBy("source", "block").agg(F.sum("size").alias("words")), "mixblocks")
         self._draws()
 
     def _draws(self):
         """One row a draw (source, draw, block, pass, room): `room` is the words left when the block is reached."""
-        blocks = self.per_block.join(F.broadcast(self.sources), self.per_block["source"].eqNullSafe(self.sources["source"])).select(
+        blocks = self.per_block.join(self.hint(self.sources), self.per_block["source"].eqNullSafe(self.sources["source"])).select(
             self.per_block["source"], "block", "words", "passes", "rest")
         passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
         order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(self.seed), "source", "pass", "block"), "block")
@@ -130,7 +136,7 @@ class Mixer:
         placed = placed.where((F.col("pass") < F.col("passes")) | (F.col("before") < F.col("rest")))
         sizes = self.per_block.groupBy("source").agg(F.count("*").alias("blocks")).withColumnRenamed("source", "__s")
         whole = F.col("pass") < F.col("passes")
-        self.draws = settled(placed.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("__s"))).select(
+        self.draws = settled(placed.join(self.hint(sizes), F.col("source").eqNullSafe(F.col("__s"))).select(
             "source", "block", "pass", (F.col("pass") * F.col("blocks") + F.col("at")).alias("draw"),
             F.when(~whole, F.col("rest") - F.col("before")).alias("room")), "mixdraws")
 
@@ -157,7 +163,7 @@ class Mixer:
                                 F.col("source").eqNullSafe(F.col("__s")) & (F.col("draw") == F.col("__d"))).select(
             F.col("source").alias("__s"), F.col("block").alias("__b"), "pass", "room", "shard")
         same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))
-        found = self.docs.join(draws, same)
+        found = self.blocked.join(draws, same)
         whole = found.where("room IS NULL").withColumn("words", F.col("size"))
         # the cut block of a source: documents in hashed order, the last one in part (repeated rows share alike)
         upto = F.sum("size").over(Window.partitionBy("source", "block").orderBy("place", "doc_id"))
@@ -174,7 +180,7 @@ class Mixer:
         joined = self.docs.join(takes, F.col("place").eqNullSafe(F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d"))
                                 & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
         about = self.sources.select(F.col("source").alias("__s"), "source_size", "target")
-        return joined.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__s"))).select(
+        return joined.join(self.hint(about), F.col("source").eqNullSafe(F.col("__s"))).select(
             "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
