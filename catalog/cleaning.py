@@ -202,9 +202,9 @@ def _(spark, sf):
 
 
 @query("b23_min_available", with_(F1) + """
-SELECT count(*) AS available, CAST(1000 AS BIGINT) AS quota, count(*) >= 1000 AS enough FROM f1 WHERE label = 'real'""")
+SELECT label, count(*) AS available, CAST(1000 AS BIGINT) AS quota, count(*) >= 1000 AS enough FROM f1 GROUP BY label""")
 def _(spark, sf):
-    return conform.availability(f1(spark, sf).where("label = 'real'"), 1000)
+    return conform.availability(f1(spark, sf), 1000, ["label"])
 
 
 @query("b24_format_ids", with_(F1) + """

@@ -108,6 +108,22 @@ def _(spark, sf):
     return gates.verification_summary(_verify(spark, sf))
 
 
+@query("d21_verified_fingerprint", with_(F2) + f"""
+, lines AS (SELECT CAST(length(sample_id) AS VARCHAR) || ':' || sample_id || ':' || sha256 AS line, count(*) AS n
+            FROM (SELECT sample_id, CASE WHEN doc_key % 13 = 0 THEN sha256(path) ELSE sha256 END AS sha256 FROM f2 WHERE {_STATE} = 'verified') GROUP BY 1),
+ leaf AS (SELECT substr(sha256(line), 1, 5) AS leaf, sum(n) AS n, sha256(string_agg(line || ':' || CAST(n AS VARCHAR) || chr(10), '' ORDER BY line)) AS d FROM lines GROUP BY 1),
+ branch AS (SELECT substr(leaf, 1, 2) AS branch, sum(n) AS n, sha256(string_agg(leaf || ':' || d || chr(10), '' ORDER BY leaf)) AS d FROM leaf GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(branch || ':' || d || chr(10), '' ORDER BY branch)) AS fingerprint FROM branch""")
+def _(spark, sf):
+    return gates.verified_fingerprint(_verify(spark, sf))
+
+
+@query("d21_mismatch_examples", with_(F2) + f"""
+SELECT sample_id, 'mismatch' AS state, sha256(path) AS actual_sha256 FROM f2 WHERE {_STATE} = 'mismatch' ORDER BY sample_id LIMIT 10""")
+def _(spark, sf):
+    return gates.mismatch_examples(_verify(spark, sf))
+
+
 @query("d22_artifact_hashes", """
 SELECT DISTINCT url AS path, strlen(html) AS length, sha256(html) AS sha256
 FROM documents JOIN pages ON page_id = doc_id WHERE source <> 'src3'""")

@@ -16,7 +16,7 @@ SELECT sample_id, source_dataset, transcript, coalesce(label, '') AS label FROM
 def _(spark, sf):
     path = scratch_path(spark, "manifest")
     manifests.write_manifest(f2(spark, sf), path, ["sample_id", "source_dataset", "transcript", "label"], fmt="csv")
-    return manifests.read_manifest(spark, path)
+    return manifests.read_manifest(spark, path, multiline=True)      # transcripts hold line breaks
 
 
 @query("a2_read_manifest_typed", with_(F1) + "SELECT sample_id, duration, original_sample_rate, generator FROM f1")

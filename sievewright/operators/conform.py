@@ -75,9 +75,10 @@ def exclude_upstream(df: DataFrame, label: str, sources, label_col: str = "label
     return df.where(~F.coalesce(hit, F.lit(False)))
 
 
-def availability(df: DataFrame, quota: int) -> DataFrame:
-    return df.agg(F.count("*").alias("available")).select(
-        "available", F.lit(quota).cast("bigint").alias("quota"), (F.col("available") >= quota).alias("enough"))
+def availability(df: DataFrame, quota: int, by=()) -> DataFrame:
+    """Rows against the quota, per group."""
+    return df.groupBy(*by).agg(F.count("*").alias("available")).select(
+        *by, "available", F.lit(quota).cast("bigint").alias("quota"), (F.col("available") >= quota).alias("enough"))
 
 
 def min_available(df: DataFrame, quota: int) -> DataFrame:

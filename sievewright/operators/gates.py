@@ -156,6 +156,16 @@ def verification_summary(verified: DataFrame) -> DataFrame:
                         F.count_if(F.col("state") == "mismatch").alias("hash_mismatches"))
 
 
+def verified_fingerprint(verified: DataFrame, identifier: str = "sample_id") -> DataFrame:
+    """The fingerprint of what was read and found unchanged."""
+    return fingerprint(verified.where("state = 'verified'"), identifier, "actual_sha256")
+
+
+def mismatch_examples(verified: DataFrame, identifier: str = "sample_id", n: int = 10) -> DataFrame:
+    """The first n rows by id whose content changed, for a report."""
+    return verified.where("state = 'mismatch'").orderBy(identifier).limit(n)
+
+
 def artifact_hashes(inventory: DataFrame, listed: DataFrame) -> DataFrame:
     """sha256 and size of the listed files that exist."""
     return listed.join(inventory.select("path", "length", "sha256"), "path")

@@ -241,16 +241,16 @@ def locate_with_guard(targets: DataFrame, records: DataFrame, block=("file", "bl
     """
     block = list(block)
     payload = [c for c in records.columns if c not in (*block, position, row_id)]
-    at = records.select(*block, position, F.col(row_id).alias("__at_id"),
-                        F.struct(*payload).alias("__at"), F.lit(True).alias("__hit"))
-    first = records.groupBy(*block, row_id).agg(
-        F.min_by(F.struct(position, *payload), position).alias("__by"))
+    narrow = records.select(*block, position, row_id)
+    at = narrow.withColumnRenamed(row_id, "__at_id")
+    first = narrow.groupBy(*block, row_id).agg(F.min(position).alias("__first"))
     found = targets.join(at, [*block, position]).join(first, [*block, row_id], "left")
     right_place = F.col("__at_id").eqNullSafe(F.col(row_id))
-    pick = F.when(right_place, F.col("__at")).otherwise(F.struct(*[F.col(f"__by.{p}").alias(p) for p in payload]))
-    kept = found.where(right_place | F.col("__by").isNotNull())
-    return kept.select(*targets.columns, right_place.alias("by_position"), pick.alias("__r")) \
-        .select(*targets.columns, "by_position", "__r.*")
+    placed = found.withColumns({"by_position": right_place, "__where": F.when(right_place, F.col(position)).otherwise(F.col("__first"))}) \
+        .where("__where IS NOT NULL")
+    # the payload is fetched once, for the positions that were chosen
+    stored = records.select(*block, F.col(position).alias("__where"), *payload)
+    return placed.join(stored, [*block, "__where"]).select(*targets.columns, "by_position", *payload)
 
 
 def shared_prefixes(a: DataFrame, b: DataFrame, col_a: str, col_b: str, pattern: str) -> DataFrame:

@@ -24,9 +24,10 @@ def _same(columns, others):
 
 
 def seeded_order(df: DataFrame, identifier: str, seed=fixed.SEED, n: int | None = None) -> DataFrame:
-    """Rows in shuffled order, optionally only the first n."""
-    shuffled = df.withColumn(_H, hkey(identifier, seed)).orderBy(_H, identifier)
-    return (shuffled.limit(n) if n is not None else shuffled).drop(_H)
+    """Rows in shuffled order, optionally only the first n; these are found by rank, so n may be large."""
+    if n is None:
+        return df.withColumn(_H, hkey(identifier, seed)).orderBy(_H, identifier).drop(_H)
+    return shuffled_rank(df, [], identifier, seed, "__rank").where(F.col("__rank") <= n).orderBy("__rank").drop("__rank")
 
 
 def shuffled_rank(df: DataFrame, by, identifier: str, seed=fixed.SEED, out: str = "rank") -> DataFrame:

@@ -7,18 +7,19 @@ from pyspark.sql.types import StructType
 
 from sievewright.operators.conform import id_sorted, select_existing
 
-CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 CSV_OUT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
            "ignoreTrailingWhiteSpace": False}
 
 
 def read_manifest(spark: SparkSession, path: str, schema: StructType | str | None = None, strings: bool = True,
-                  multiline: bool = True) -> DataFrame:
+                  multiline: bool = False) -> DataFrame:
     """CSV manifest.
 
     With `strings` every column is text and a blank stays ''; otherwise the schema
-    types the columns and a blank is NULL. Quoted line breaks need `multiline`,
-    which makes each file one task: switch it off, or use parquet, for large files.
+    types the columns and a blank is NULL. Files are split among tasks; quoted line
+    breaks need `multiline`, which makes each file one task. Without a schema the header is read in
+    a small job of its own.
     """
     reader = spark.read.options(**{**CSV, "multiLine": multiline})
     if strings:

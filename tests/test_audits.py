@@ -172,7 +172,7 @@ def test_string_manifest_keeps_blank_and_text(spark):
     rows = [("1", "", 'say "hi", ok'), ("2", "x", "two\nlines"), ("3", "NA", "back\\slash")]
     path = scratch_path(spark, "csv")
     manifests.write_manifest(spark.createDataFrame(rows, "sample_id string, a string, b string"), path, fmt="csv")
-    assert sorted(tuple(r) for r in manifests.read_manifest(spark, path).collect()) == rows
+    assert sorted(tuple(r) for r in manifests.read_manifest(spark, path, multiline=True).collect()) == rows
 
 
 def test_required_columns(spark):
