@@ -1,12 +1,13 @@
 """Exact ranks, running totals and quantiles that survive hot groups.
 
 `row_number() OVER (PARTITION BY g)` puts a group into one task, and one group
-may hold a third of all rows. The largest group is therefore counted first (one
-job over the group columns when the plan is built). While it fits a task, a
-plain window does. Otherwise every group is cut into cells whose borders respect
-the order: positions are counted inside a cell, and the sizes of the cells
-before it are added. The table of cell sizes is small, so the only large shuffle
-is by `(group, cell)`.
+may hold a third of all rows. Rows are therefore counted first (one job over the
+group columns when the plan is built), and every group is cut into cells whose
+borders respect the order, as many as the rows ask for: positions are counted inside
+a cell, and the sizes of the cells before it are added. Where one cell holds the largest
+group there is nothing to add, and the plain window is what is left of the plan. The
+table of cell sizes is small, so the only large shuffle is by `(group, cell)`. Tests run the queries
+with cells of a few rows as well.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from sievewright.functions.clean import number
 from sievewright.functions.keys import col
 
 CELL_ROWS = 1_000_000       # rows of a group one task may sort; session setting sievewright.cell.rows
-MAX_CELLS = 4096
 KEYS_PER_CELL = 16          # sampled order keys behind each border
 GROUP_LIMIT = 100           # up to this k every task may send its first k rows of a group
-HASH_DIGITS = 3
 
 _GROUP, _CELL, _KEY, _BORDERS = "__group", "__cell", "__key", "__borders"
 
@@ -57,18 +56,22 @@ def _borders(df: DataFrame, order, rows: int, cells: int) -> Column:
     return ordered.select(F.filter("k", lambda _, i: i % KEYS_PER_CELL == KEYS_PER_CELL - 1).alias("b")).scalar()
 
 
-def _with_cells(df: DataFrame, by, order, rows: int | None, keys_from: DataFrame) -> DataFrame:
-    """Add the group as a struct and the cell; without `rows` the first order column is a hash.
+def _with_cells(df: DataFrame, by, order, largest: int, rows: int, hashed: bool, keys_from: DataFrame) -> DataFrame:
+    """Add the group as a struct and the cell.
 
-    The cell is the number of borders up to the key. The binary search is one
+    Of a hash the leading digits are the cell, as many as the largest group needs.
+    Otherwise the cell is the number of borders up to the key. The binary search is one
     projection per step, which Spark compiles; a higher-order function would be
     interpreted and is ten times slower.
     """
     order = [col(o) for o in order]
     grouped = df.withColumn(_GROUP, _group_struct(by))
-    if rows is None:
-        return grouped.withColumn(_CELL, F.substring(order[0], 1, HASH_DIGITS))
-    cells = max(1, min(MAX_CELLS, rows // _cell_rows(df)))
+    if hashed:
+        digits = 2
+        while 16 ** digits * _cell_rows(df) < largest:
+            digits += 1
+        return grouped.withColumn(_CELL, F.substring(order[0], 1, digits))
+    cells = max(1, rows // _cell_rows(df))
     found = grouped.withColumns({_BORDERS: _borders(keys_from, order, rows, cells), _KEY: F.struct(*order), _CELL: F.lit(0)})
     for step in [1 << i for i in reversed(range((2 * cells).bit_length()))]:
         reached = F.get(_BORDERS, F.col(_CELL) + (step - 1)) <= F.col(_KEY)
@@ -81,8 +84,8 @@ def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool
     """Add inclusive running totals per group in the given ascending, total order.
 
     `hashed` says that the first order column is a uniform hexadecimal key, whose
-    leading digits then serve as cells and nothing need be counted first.
-    Otherwise groups are measured, and borders sampled, on `keys_from`: a cheaper
+    leading digits then serve as cells, without borders.
+    Groups are measured, and borders sampled, on `keys_from`: a cheaper
     frame with the same group and order columns and at least the rows of `df`.
     `totals` names columns for the group totals, `{new column: name in sums}`.
     """
@@ -90,15 +93,14 @@ def running_sums(df: DataFrame, by, order, sums: dict[str, Column], hashed: bool
     others = [F.col(f"`{c}`") for c in df.columns if c not in sums]
     ordered = [col(o) for o in order]
     upto = (Window.unboundedPreceding, 0)
-    measured, rows = keys_from or df, None
-    if not hashed:
-        largest, rows = _extent(measured, by)
-        if largest <= _cell_rows(df):
-            group = Window.partitionBy(*[col(b) for b in by])
-            plain = group.orderBy(*ordered).rowsBetween(*upto)
-            return df.select(*others, *[F.coalesce(F.sum(v).over(plain), F.lit(0)).alias(n) for n, v in sums.items()],
-                             *[F.sum(sums[n]).over(group).alias(t) for t, n in totals.items()])
-    cells = _with_cells(df, by, order, rows, measured)
+    measured = keys_from or df
+    largest, rows = _extent(measured, by)
+    if largest <= _cell_rows(df) and (by or not hashed):       # hashes cut the whole table into cells for nothing
+        group = Window.partitionBy(*[col(b) for b in by])
+        plain = group.orderBy(*ordered).rowsBetween(*upto)
+        return df.select(*others, *[F.coalesce(F.sum(v).over(plain), F.lit(0)).alias(n) for n, v in sums.items()],
+                         *[F.sum(sums[n]).over(group).alias(t) for t, n in totals.items()])
+    cells = _with_cells(df, by, order, largest, rows, hashed, measured)
     sizes = cells.groupBy(_GROUP, _CELL).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
     group = Window.partitionBy(_GROUP)
     earlier = group.orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)

@@ -29,3 +29,13 @@ def test_query(spark, con, name):
         assert df.columns and df.count() > 0
     else:
         assert checker.difference(con, df, sql) in (None, "EMPTY")
+
+
+# operators that rank or add up in order, each through many small cells as on large tables
+RANKED = ("b24", "d5_", "d18", "d26", "d39", "d40", "d41", "e1_", "e2_", "e3_", "e4_", "e5_", "e6_", "e8_", "e9_", "e11", "e13", "e14",
+          "e15", "e16", "e17", "e19", "e22", "i10", "i11")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith(RANKED) and n in entry.oracle_sql()))
+def test_query_in_small_cells(spark, con, small_cells, name):
+    assert checker.difference(con, entry.queries()[name](spark, SF), entry.oracle_sql()[name]) in (None, "EMPTY")

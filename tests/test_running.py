@@ -22,7 +22,7 @@ def test_rank(spark, small_cells, skewed):
 
 
 def test_cells_split_the_hot_group(spark, small_cells, skewed):
-    cells = running._with_cells(skewed, ["g"], ["v", "id"], 3000, skewed)
+    cells = running._with_cells(skewed, ["g"], ["v", "id"], 3000, 3000, False, skewed)
     assert cells.where("g = 'hot'").select("__cell").distinct().count() > 10
 
 
