@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievewright.llm.common import slices
+from sievewright.llm.common import low_keys, slices
 from sievewright.llm.tagger import Tagger
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -155,7 +155,8 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Tagger
     """Fit the tagger on the base spans of a bounded sample."""
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
     key = F.xxhash64(F.lit("pii"), F.col("id").cast("string"))
-    chosen = [r["id"] for r in named.select("id", key.alias("key")).orderBy("key", "id").limit(SAMPLE_DOCS).collect()]
+    few = named.select("id", key.alias("key")).where(low_keys(F.col("key"), SAMPLE_DOCS, named.count()))
+    chosen = [r["id"] for r in few.orderBy("key", "id").limit(SAMPLE_DOCS).collect()]
 
     def cut(batches):
         for batch in batches:
