@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievewright.llm.common import slices, text_buffers
+from sievewright.llm.common import low_keys, slices, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 AHEAD = max(WIDTHS)         # zero bytes that end every text
@@ -127,7 +127,10 @@ class ByteNet:
 def training_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The bounded sample: languages, windows, labels. `labelled` has id, text, lang."""
     key = F.xxhash64(F.lit("langid"), F.col("id").cast("string"))
-    ranked = labelled.select("id", "lang", key.alias("key")).withColumn(
+    sizes = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("rows"))
+    few = labelled.select("id", "lang", key.alias("key")).join(sizes, F.col("lang") == F.col("__lang")).where(
+        low_keys(F.col("key"), SAMPLE_PER_LANG, F.col("rows")))
+    ranked = few.select("id", "lang", "key").withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= SAMPLE_PER_LANG)
     chosen = [r["id"] for r in ranked.orderBy("rank", "key", "id").limit(SAMPLE_TOTAL).select("id").collect()]
 
