@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sievewright.llm.common import low_keys
 from sievewright.session import settled
 
 DIMS, CONFIDENCE = 8, 0.95
@@ -151,8 +152,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     rows = settled(valid_vectors(vectors, id_col, vector), "vectors")
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    points = numbered.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    sample = points.select("vector", F.xxhash64("vector").alias("key")).orderBy("key", "vector").limit(SAMPLE).toPandas()
+    points = settled(numbered.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct")
+    few = points.select("vector", F.xxhash64("vector").alias("key")).where(low_keys(F.col("key"), SAMPLE, points.count()))
+    sample = few.orderBy("key", "vector").limit(SAMPLE).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if sample.empty:
         return spark.createDataFrame([], schema)
