@@ -295,29 +295,68 @@ def _(spark, sf):
         "external": made["external"].unionByName(gone.select(made["external"].columns))})
 
 
-@query("i10_select_speech", "WITH RECURSIVE " + SEGMENTS + """,
+PICKED = "WITH RECURSIVE " + SEGMENTS + """,
  us AS (SELECT * FROM seg WHERE speaker_id IS NOT NULL AND transcript IS NOT NULL AND wav_name IS NOT NULL AND end_time - start_time BETWEEN 1 AND 30),
  rr AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY sha256('42|' || utt_id), utt_id) AS round FROM us),
- pk AS (SELECT * FROM rr ORDER BY round, sha256('42|' || speaker_id), speaker_id LIMIT 200)""" + greedy_sql("pk", "speaker_id", "''", _PERCENT) + """
-SELECT utt_id, speaker_id, round, f.split FROM pk JOIN f ON f.k = pk.speaker_id""")
+ pk AS (SELECT * FROM rr ORDER BY round, sha256('42|' || speaker_id), speaker_id LIMIT 200)""" + greedy_sql("pk", "speaker_id", "''", _PERCENT) + """,
+ chosen AS (SELECT pk.*, f.split FROM pk JOIN f ON f.k = pk.speaker_id)"""
+
+
+@query("i10_select_speech", PICKED + " SELECT utt_id, speaker_id, round, split FROM chosen")
 def _(spark, sf):
     return jobs.select_speech(*kaldi(spark, sf), 200, strict=False).select("utt_id", "speaker_id", "round", "split")
 
 
-@query("i11_select_external_eval", with_(F1) + """
+_LEAKS = ("SELECT key, count(*) FILTER (WHERE a AND b) AS train_validation, count(*) FILTER (WHERE a AND c) AS train_test, count(*) FILTER (WHERE b AND c) AS validation_test "
+          "FROM (SELECT u.key, u.value, bool_or(split = 'train') AS a, bool_or(split = 'validation') AS b, bool_or(split = 'test') AS c "
+          "FROM chosen, LATERAL (VALUES ('speaker_id', speaker_id), ('recording_id', recording_id)) u(key, value) GROUP BY 1, 2) GROUP BY 1")
+
+
+@query("i10_speech_report", PICKED + report(
+    " " + lines("slices", "SELECT count(*) AS segments, CAST(coalesce(sum(round_even(end_time * 10, 0) - round_even(start_time * 10, 0)), 0) AS BIGINT) AS frames, 0 AS empty FROM chosen", (),
+                same("segments", "frames", "empty")),
+    lines("leakage", _LEAKS, ("key",), same("train_validation", "train_test", "validation_test"))))
+def _(spark, sf):
+    """Ten frames a second; every turn of a conversation is covered to its end."""
+    frames = table(spark, sf, "conversations").select(
+        F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("recording"),
+        F.posexplode(F.sequence(F.lit(0), F.length("role") * 3)).alias("k", "value"), "turn").select(
+        "recording", (F.col("turn") * 25 + F.col("k")).cast("bigint").alias("frame"), F.col("value").cast("double").alias("value"))
+    frames = frames.dropDuplicates(["recording", "frame"])
+    return jobs.speech_report(jobs.select_speech(*kaldi(spark, sf), 200, strict=False), frames, 10)
+
+
+EXTERNAL = with_(F1) + """
 , kept AS (SELECT sample_id, order_key, label, session_id, source_dataset, coalesce(generator, 'unknown') AS g, coalesce(nullif(trim(voice), ''), 'unknown') AS v FROM f1
    WHERE NOT (label = 'real' AND coalesce(upstream_dataset, '') = 'corpus_b')),
  k AS (SELECT *, CASE WHEN label = 'real' THEN source_dataset ELSE g END AS g1, CASE WHEN label = 'real' THEN '' ELSE v END AS g2 FROM kept),
  a AS (SELECT *, row_number() OVER (PARTITION BY label, g1, g2, session_id ORDER BY order_key) AS turn FROM k),
  b AS (SELECT *, row_number() OVER (PARTITION BY label, g1, g2 ORDER BY turn, session_id) AS round FROM a),
- c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round, g1, g2) AS pos FROM b)
-SELECT sample_id, label AS project_label, round FROM c WHERE pos <= 600""")
-def _(spark, sf):
+ c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round, g1, g2) AS pos FROM b),
+ picked AS (SELECT sample_id, label AS project_label, round FROM c WHERE pos <= 600)"""
+
+
+def _external(spark, sf):
     index = f1(spark, sf).select("sample_id", "order_key", F.expr("CASE label WHEN 'real' THEN 'bonafide' ELSE 'spoof' END").alias("label"),
                                  F.col("upstream_dataset").alias("source_dataset"), F.col("source_dataset").alias("corpus"),
                                  "generator", "voice", "session_id")
-    picked = jobs.select_external_eval(index, 600, ["corpus_b"], {"real": ["corpus"], "fake": ["generator", "voice"]}, "session_id", ["order_key"], strict=False)
-    return picked.select("sample_id", "project_label", "round")
+    return jobs.select_external_eval(index, 600, ["corpus_b"], {"real": ["corpus"], "fake": ["generator", "voice"]}, "session_id", ["order_key"], strict=False)
+
+
+@query("i11_select_external_eval", EXTERNAL + "SELECT * FROM picked")
+def _(spark, sf):
+    return _external(spark, sf).select("sample_id", "project_label", "round")
+
+
+@query("i11_external_report", EXTERNAL + ", rules AS (SELECT 'rows' AS rule, CAST(count(*) AS VARCHAR) AS observed, '1200' AS expected FROM picked "
+       "UNION ALL SELECT 'repeated id', CAST(count(*) - count(DISTINCT sample_id) AS VARCHAR), '0' FROM picked "
+       "UNION ALL SELECT 'labels', CAST(count(DISTINCT project_label) = 2 AS VARCHAR), 'true' FROM picked) " + report(
+           lines("quota", "SELECT project_label, count(*) AS available, 600 AS quota, count(*) >= 600 AS enough FROM picked GROUP BY 1", ("project_label",),
+                 same("available", "quota", "enough")),
+           lines("rule", "SELECT *, observed = expected AS ok, (SELECT bool_and(observed = expected) FROM rules) AS frozen FROM rules", ("rule",),
+                 same("observed", "expected", "ok", "frozen"))))
+def _(spark, sf):
+    return jobs.external_report(_external(spark, sf), 600)
 
 
 _FEATURE_SQL = """sig AS (SELECT label, list_max(list_transform(w, lambda v: abs(v))) AS peak, 20 * log10(sqrt(list_sum(list_transform(w, lambda v: v * v)) / len(w))) AS rms_dbfs,

@@ -232,6 +232,25 @@ def select_speech(segments: DataFrame, texts: DataFrame, speakers: DataFrame, wa
     return splits.greedy_split(picked, "speaker_id")
 
 
+def speech_report(picked: DataFrame, frames: DataFrame, rate: int) -> DataFrame:
+    """What slicing the selected segments out of their recordings gives, and whether a speaker or recording straddles splits."""
+    spans = picked.select(F.col("utt_id").alias("segment_id"), F.col("recording_id").alias("recording"), "start_time", "end_time",
+                         F.lit(rate).alias("rate"))
+    sliced = joins.slice_report(spans, joins.slice_intervals(spans, frames)).agg(
+        F.count("*").alias("segments"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), F.count_if("empty_span").alias("empty"))
+    leak = [f"{a}_{b}" for a, b in gates.PAIRS]
+    return _report(tidy(sliced, "slices", (), ["segments", "frames", "empty"]),
+                   tidy(gates.multi_key_leakage(picked, ["speaker_id", "recording_id"]), "leakage", ["key"], leak))
+
+
+def external_report(picked: DataFrame, per_label: int) -> DataFrame:
+    """Rows of each label against its quota, and the rules an evaluation set has to keep."""
+    rules = gates.rule_gate(picked, {"rows": (F.count("*"), 2 * per_label), "repeated id": (gates.surplus("sample_id"), 0),
+                                     "labels": (gates.equals_set("project_label", ["real", "fake"]), True)})
+    return _report(tidy(conform.availability(picked, per_label, ["project_label"]), "quota", ["project_label"], ["available", "quota", "enough"]),
+                   tidy(rules, "rule", ["rule"], ["observed", "expected", "ok", "frozen"]))
+
+
 def select_external_eval(index: DataFrame, per_label: int, excluded, groups, spread: str, order, strict: bool = True) -> DataFrame:
     """Both labels sampled evenly over attack groups and voices; excluded sources left out of the real half."""
     labelled = index.withColumn("project_label", clean.map_label("label"))
