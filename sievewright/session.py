@@ -55,7 +55,7 @@ def settled(df, name: str = "table"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")     # nothing reads the shuffle files of this write again
     try:
         df.write.parquet(path)
