@@ -6,7 +6,7 @@ the largest response of each filter is kept, and a softmax over the known
 languages follows. A text's probability is the mean over all its windows, so
 whole texts count.
 
-Training: at most SAMPLE_PER_LANG documents a language and SAMPLE_TOTAL in all,
+Training: the LANGUAGES most frequent, at most SAMPLE_PER_LANG documents a language and SAMPLE_TOTAL in all,
 those whose id hashes lowest, at most SAMPLE_WINDOWS windows of each, spread over
 the whole text. This bounded sample is all that reaches the driver.
 Without labelled documents nothing is learned and every text is `und`.
@@ -25,6 +25,7 @@ from sievewright.llm.common import low_keys, slices, text_buffers
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 AHEAD = max(WIDTHS)         # zero bytes that end every text
 SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_WINDOWS = 400, 4000, 8
+LANGUAGES = 1000            # the most frequent ones are learned
 STEPS, BATCH, RATE = 500, 64, 4e-3
 UNKNOWN = "und"
 
@@ -127,9 +128,12 @@ class ByteNet:
 def training_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The bounded sample: languages, windows, labels. `labelled` has id, text, lang."""
     key = F.xxhash64(F.lit("langid"), F.col("id").cast("string"))
-    sizes = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("rows"))
-    few = labelled.select("id", "lang", key.alias("key")).join(sizes, F.col("lang") == F.col("__lang")).where(
-        low_keys(F.col("key"), SAMPLE_PER_LANG, F.col("rows")))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return [], np.zeros((0, WINDOW + AHEAD), np.uint8), np.zeros(0, np.int64)
+    rows = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["rows"])])
+    few = labelled.select("id", "lang", key.alias("key")).withColumn("rows", rows[F.col("lang")]).where(
+        F.col("rows").isNotNull() & low_keys(F.col("key"), SAMPLE_PER_LANG, F.col("rows")))
     ranked = few.select("id", "lang", "key").withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= SAMPLE_PER_LANG)
     chosen = [r["id"] for r in ranked.orderBy("rank", "key", "id").limit(SAMPLE_TOTAL).select("id").collect()]
