@@ -260,16 +260,21 @@ def select_external_eval(index: DataFrame, per_label: int, excluded, groups, spr
     return reduce(lambda a, b: a.unionByName(b), halves)
 
 
-def independent_audit(df: DataFrame, inventory: DataFrame, signal: DataFrame) -> DataFrame:
-    """Coverage, duplicates, text reuse, cross-label texts and acoustic shortcuts, measured from content."""
+def independent_audit(df: DataFrame, inventory: DataFrame, signal: DataFrame, referenced: DataFrame | None = None,
+                      on_disk: DataFrame | None = None) -> DataFrame:
+    """Coverage, duplicates, text reuse, cross-label texts and acoustic shortcuts, measured from content.
+
+    `referenced` and `on_disk` are the path lists of coverage if these are not those of `df` and `inventory`;
+    all other parts read `df` and `inventory` whole.
+    """
     m = settled(df, "manifest")
     groups = joins.content_duplicates(inventory, F.col("sha256"))
     cross = joins.cross_label_text(m).agg(F.count("*").alias("texts"), F.coalesce(F.sum("cross_split_pairs"), F.lit(0)).alias("pairs"))
     best = [tidy(shortcuts.best_threshold(signal, c), "threshold", (F.lit(c),), ["n", "best_accuracy", "auc"])
             for c in ("peak", "rms_dbfs", "leading_s", "trailing_s")]
     return _report(
-        tidy(joins.coverage(m, inventory), "coverage", (), ["referenced", "on_disk", "matched", "referenced_but_missing",
-                                                            "on_disk_but_unlabelled", "referenced_twice"]),
+        tidy(joins.coverage(m if referenced is None else referenced, inventory if on_disk is None else on_disk), "coverage", (),
+             ["referenced", "on_disk", "matched", "referenced_but_missing", "on_disk_but_unlabelled", "referenced_twice"]),
         tidy(groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("redundant"), F.lit(0)).alias("redundant")),
              "duplicates", (), ["groups", "redundant"]),
         tidy(counts.text_multiplicity(m, ["source_dataset"]), "text reuse", ["source_dataset"],

@@ -6,8 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sievewright.functions import signal
 from sievewright.operators import conform, counts, gates, joins, shortcuts, signals
+from sievewright.plans import jobs
 from sievewright.session import scratch_path
 from sievewright.sources import blocks, files, manifests
 
@@ -237,3 +239,25 @@ def test_repeated_keys_are_refused(spark, join):
     assert join(rows, once).count() == 3
     with pytest.raises(Exception, match="repeated key"):
         join(rows, once.union(spark.createDataFrame([("a", "5")], "k string, v string"))).collect()
+
+
+def test_independent_audit_reads_whole_tables(spark):
+    """Holes in the path lists of coverage hide nothing from the other parts."""
+    docs = spark.createDataFrame([("p0", "said twice", "real", "train", "s", 3, "h0"), ("p5", "Said  twice", "fake", "test", "s", 3, "h0"),
+                                  ("p1", "once", "real", "train", "s", 4, "h1")],
+                                 "path string, transcript string, label string, split string, source_dataset string, bytes long, sha256 string")
+    sounds = spark.createDataFrame([("real", 0.1, 0.2, 0.3, 0.4), ("fake", 0.2, 0.1, 0.4, 0.3)],
+                                   "label string, peak double, rms_dbfs double, leading_s double, trailing_s double")
+    inventory = docs.select("path", F.col("bytes").alias("length"), "sha256", F.col("source_dataset").alias("collection"))
+    report = jobs.independent_audit(docs, inventory, sounds, docs.where("path <> 'p5'").select("path"), docs.where("path <> 'p0'").select("path"))
+    found = {(r["metric"], r["item"]): r["value"] for r in report.collect() if r["metric"] != "threshold"}
+    assert [found["coverage", i] for i in ("matched", "referenced_but_missing", "on_disk_but_unlabelled")] == ["1", "1", "1"]
+    assert (found["duplicates", "groups"], found["duplicates", "redundant"]) == ("1", "1")
+    assert (found["text reuse", "clips"], found["text reuse", "max_reuse"]) == ("3", "2")
+    assert (found["cross-label texts", "texts"], found["cross-label texts", "pairs"]) == ("1", "1")
+
+
+def test_whole_audit_query_sees_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    report = entry.queries()["i12_independent_audit_whole"](spark, sf).where("metric = 'text reuse' AND item = 'clips'")
+    assert one(report.agg(F.sum(F.col("value").cast("long")).alias("n")))["n"] == spark.read.parquet(f"{sf}/documents.parquet").count()
