@@ -32,9 +32,10 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id stays (repeated rows stay together)."""
-    gone = ngram_join.jaccard_groups(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of near-duplicates the document with the smallest id stays (repeated rows stay together); other texts of a removed row's id stay."""
+    found = ngram_join.keyed_groups(docs).where("doc_id <> class_id")
+    gone = found.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

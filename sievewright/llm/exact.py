@@ -52,19 +52,28 @@ def merge_runs(runs: DataFrame, keep: str = "largest") -> DataFrame:
         left = -(-left // FAN_IN)
 
 
+def _grouped(docs: DataFrame, text: str, id_col: str, keep: str) -> DataFrame:
+    found = settled(digests(docs, text, id_col), "digests")
+    runs = found.select("run", *VERIFIED, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    merged = merge_runs(runs, keep)
+    return found.join(merged, VERIFIED).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row a document.
 
     A large group meets its merged row in a join that adaptive execution can split.
     """
-    found = settled(digests(docs, text, id_col), "digests")
-    runs = found.select("run", *VERIFIED, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    merged = merge_runs(runs, keep)
-    return found.join(merged, VERIFIED).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return _grouped(docs, text, id_col, keep).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
-    """The rows of `docs` that stay."""
-    gone = exact_groups(docs, text, id_col, keep).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of `docs` that stay; a row goes by its id and text, so other texts of its id stay."""
+    gone = _grouped(docs, text, id_col, keep).where(~F.col("kept")).select(
+        F.col("doc_id").alias("__gone"), *[F.col(c).alias(f"__{c}") for c in VERIFIED]).distinct()
+    normal = normalised(F.col(f"`{text}`").cast("string"))
+    own = [F.sha2(normal, 256), F.octet_length(normal), F.xxhash64(normal)]
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone"))
+    for name, value in zip(VERIFIED, own):
+        same = same & (value == F.col(f"__{name}"))
+    return docs.join(gone, same, "left_anti")

@@ -273,13 +273,13 @@ def _union(parent, i, j):
             parent[max(a, b)] = min(a, b)
 
 
-def jaccard_groups(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
-                   text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row a document: (doc_id, class_id, copy_of, copies, n_links).
+def keyed_groups(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                 text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row a document: (doc_id, text_key, class_id, copy_of, copies, n_links).
 
-    class_id: smallest id of all documents reachable over links; copy_of: smallest
-    id with the same set; copies: how many documents share the set; n_links: how many
-    other sets are at least as similar as the threshold.
+    text_key: hash of the text, which tells texts of one id apart; class_id: smallest id of all
+    documents reachable over links; copy_of: smallest id with the same set; copies: how many
+    documents share the set; n_links: how many other sets are at least as similar as the threshold.
     """
     sketches, counts, edges = links(docs, n, threshold, tolerance, text, id_col)
     roots = settled(components(edges), "roots")
@@ -289,8 +289,14 @@ def jaccard_groups(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD,
     first = about.where("root IS NOT NULL").groupBy("root").agg(F.min("copy_of").alias("first"))
     about = about.join(first, "root", "left").select(
         "cid", "copy_of", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "copy_of").alias("class_id"))
-    grouped = named.select("doc_id", "cid").join(about, "cid").select("doc_id", "class_id", "copy_of", "copies", "n_links")
+    grouped = named.select("doc_id", "text_key", "cid").join(about, "cid").select("doc_id", "text_key", "class_id", "copy_of", "copies", "n_links")
     alone = sketches.where("cid IS NULL OR doc_id IS NULL").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("copies"),
+        "doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("copies"),
         F.lit(0).cast("long").alias("n_links"))
     return grouped.unionByName(alone)
+
+
+def jaccard_groups(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
+                   text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The same without the hash of the text: (doc_id, class_id, copy_of, copies, n_links)."""
+    return keyed_groups(docs, n, threshold, tolerance, text, id_col).drop("text_key")

@@ -31,5 +31,11 @@ def test_dedup_keeps_whole_rows(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
 
 
+def test_dedup_keeps_other_texts_of_an_id(spark):
+    docs = cases.documents(spark, [(1, "A"), (2, "a"), (1, "clean"), (None, "a"), (None, "other"), (1, None)])
+    left = sorted(((r["doc_id"], r["text"]) for r in exact.dedup(docs).collect()), key=repr)
+    assert left == sorted([(2, "a"), (1, "clean"), (None, "other"), (1, None)], key=repr)
+
+
 def test_empty_table(spark):
     assert exact.exact_groups(cases.documents(spark, [])).count() == 0

@@ -75,3 +75,14 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "unused")
     assert docs.count() == 0
+
+
+def test_near_duplicates_go_by_id_and_text(spark):
+    """One id with a near copy of a smaller id and clean texts of its own loses the copy only."""
+    rng = random.Random(9)
+    body = cases.prose(rng, 80).split()
+    copy = " ".join([*body[:-1], "changed"])
+    clean = [cases.prose(rng, 40) for _ in range(3)]
+    rows = [(1, " ".join(body)), (7, copy), (7, copy), *[(7, t) for t in clean], (7, None), (None, copy)]
+    left = corpus_pipeline.one_of_each_group(spark, cases.documents(spark, rows), "unused")
+    assert sorted(pairs(left), key=repr) == sorted([rows[0], *rows[3:]], key=repr)
