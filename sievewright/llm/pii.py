@@ -65,7 +65,7 @@ def valid(kind: int, text: str) -> bool:
     if kind == 0:
         return True
     if kind == 1:
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in text.split(".")))
     digits = _digits(text)
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)

@@ -107,6 +107,13 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == brute_personal(text), text
 
 
+def test_address_parts_of_many_zeros():
+    """Python reads at most 4,300 digits as a number; a part of more zeros is 0."""
+    zeros = "0" * 5000
+    assert (0, 1, 5006) in pii.base_spans(f"{zeros}.1.2.3") and (0, 1, 5009) in pii.base_spans(f"{zeros}255.1.2.3")
+    assert not [s for s in pii.base_spans(f"1.2.{zeros}256.3") if s[1] == 1]
+
+
 def test_very_long_digit_runs():
     assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("." + "1" * 50_000 + "@") == []
 
