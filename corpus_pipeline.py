@@ -17,8 +17,15 @@ ORACLE_SQL = None       # a trained network, hashed draws and merge rounds are b
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language the network knows; texts that are null or have no letter go."""
+    """Documents whose text has a letter; null texts and texts without one go.
+
+    The network names the language but its score rejects nothing: a text with a single letter stays. Only a
+    language that the training rows themselves call `und` is rejected with the unknown. When no
+    language could be learned, every text with a letter passes.
+    """
     net = langid.train(docs.where(langid.fold() != 1))
+    if not net.languages:
+        return langid.with_letters(docs)
     return langid.predict(docs, net, lang_out="__lang", score_out="__score").where(
         F.col("__lang") != langid.UNKNOWN).select(docs.columns)
 

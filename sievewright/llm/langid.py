@@ -166,6 +166,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: s
     return net.fit(x, y) if len(languages) > 1 else net
 
 
+def lettered(texts: list) -> np.ndarray:
+    """Which texts are not null and have a letter."""
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text has a letter; needs no network."""
+    def run(batches):
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(lettered(batch.column(text).to_pylist()), pa.bool_()))
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def _scores(net: ByteNet, tables, column) -> tuple[list[str], np.ndarray]:
     texts = column.to_pylist()
     data, offsets = text_buffers(column)
@@ -178,7 +191,7 @@ def _scores(net: ByteNet, tables, column) -> tuple[list[str], np.ndarray]:
     sums = np.add.reduceat(p * weight[:, None], first[:-1], axis=0)
     mean = sums / np.maximum(1, np.diff(offsets))[:, None]
     best = mean.argmax(axis=1)
-    named = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+    named = lettered(texts)
     score = np.where(named, mean[np.arange(len(texts)), best].clip(0, 1), 0.0)
     return [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, named)], score
 

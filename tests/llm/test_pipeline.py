@@ -5,6 +5,7 @@ import random
 import cases
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_ngram_join import brute as brute_groups
 from tokenizers import Tokenizer
@@ -86,3 +87,11 @@ def test_near_duplicates_go_by_id_and_text(spark):
     rows = [(1, " ".join(body)), (7, copy), (7, copy), *[(7, t) for t in clean], (7, None), (None, copy)]
     left = corpus_pipeline.one_of_each_group(spark, cases.documents(spark, rows), "unused")
     assert sorted(pairs(left), key=repr) == sorted([rows[0], *rows[3:]], key=repr)
+
+
+def test_language_without_labels_keeps_letters(spark):
+    docs = cases.documents(spark, cases.awkward())
+    for table in (docs.withColumn("lang", F.lit(None).cast("string")), docs):
+        left = corpus_pipeline.known_language(spark, table, "unused")
+        assert left.columns == docs.columns
+        assert sorted(pairs(left), key=repr) == sorted((r[:2] for r in cases.awkward() if r[1] and any(map(str.isalpha, r[1]))), key=repr)
