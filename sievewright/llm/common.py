@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20       # text that one numpy step looks at; a longer single text is a step of its own
 
+HEAVY = 1024                # a class of at least one row in so many is thinned out before it is sampled
+
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -104,6 +107,74 @@ def grams(words: Words, n: int, seed: int = 23) -> tuple[np.ndarray, np.ndarray]
     return start, mix(name[start])
 
 
+def row_groups(batches, keys: int):
+    """Rows of sorted record batches as tuples, grouped by their first `keys` columns, across batch borders."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    return itertools.groupby(rows, key=lambda row: row[:keys])
+
+
+def in_batches(rows, names: list[str], types: list, most: int = 4096):
+    """Tuples as record batches of at most `most` rows."""
+    rows = iter(rows)
+    while chunk := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names=names)
+
+
+def numbered(df, by: list[str], order: list, out: str = "pos", size: str = "size", name: str = "numbered"):
+    """`df` with the 0-based position and the number of rows of each group, written once.
+
+    The table is range-partitioned by group and order and numbered part by part; the rows that a group
+    has in earlier parts are then added. So a group may be spread over any number of tasks. Rows that
+    are equal in the order must be interchangeable. Missing group values form groups of their own.
+    """
+    from pyspark.sql import Window, functions as F
+    from sievewright.session import settled
+    groups = [F.col(f"`{c}`") for c in by]
+    keys = [*groups, *order]
+    sorted_parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    marked = settled(sorted_parts.withColumn("__part", F.shiftright("__at", 33)), name)
+    per_part = marked.groupBy("__part", *groups).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    group = Window.partitionBy(*groups) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        F.col("__part").alias("__p"), *[c.alias(f"__g{i}") for i, c in enumerate(groups)], "__first",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias(size))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(groups):
+        same = same & c.eqNullSafe(F.col(f"__g{i}"))
+    return marked.join(offsets, same).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).select(
+        *[F.col(f"`{c}`") for c in df.columns], out, size)
+
+
+def row_sample(df, most: int, seed: str, by: str | None = None, total: int | None = None):
+    """At most `most` distinct rows (id, text), of every value of `by` if given, and at most `total` rows in all.
+
+    `df` has the columns id and text, further ones are kept. Rows go by the hash of id and text, so repeated ids are as
+    many rows as they have texts and repeated rows are one. Candidates are thinned out by
+    the approximate number of distinct rows before they are ranked; only classes that hold at least 1 in
+    HEAVY rows need that, of which there are at most HEAVY. No more than
+    `total` hashes reach the driver. Needs values of `by` that are not null.
+    """
+    from pyspark.sql import Window, functions as F
+    total = total or most
+    key = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text")
+    group = F.col(by) if by else F.lit("")
+    narrow = df.select(group.cast("string").alias("__by"), key.alias("__key"))
+    sizes = narrow.groupBy("__by").agg(F.approx_count_distinct("__key").alias("rows"))
+    whole = sizes.agg(F.sum("rows")).first()[0]
+    if not whole:
+        return df.limit(0)
+    heavy = sizes.where(F.col("rows") * HEAVY >= whole).collect()
+    rows = F.create_map(*[F.lit(x) for r in heavy for x in (r["__by"], r["rows"])])[F.col("__by")] if heavy else F.lit(None)
+    few = narrow.where(rows.isNull() | low_keys(F.col("__key"), most, rows)).distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("__by").orderBy("__key"))).where(F.col("rank") <= most)
+    chosen = [r["__key"] for r in ranked.orderBy("rank", "__key").limit(total).select("__key").collect()]
+    found = df.withColumn("__key", key).where(F.col("__key").isin(chosen))
+    others = [c for c in df.columns]
+    return found.groupBy("__key").agg(*[F.min_by(c, F.struct(*[o for o in others if o not in ("id", "text")], F.lit(0))).alias(c)
+                                        for c in others]).drop("__key")
+
+
 def low_keys(key, wanted: int, rows):
     """Condition that leaves about twice the `wanted` lowest of `rows` uniform 64-bit keys.
 

@@ -130,3 +130,57 @@ def op8_substring_dedup(spark, sf_dir):
     """What removing copied windows of twenty words leaves of every document."""
     from sievewright.llm import recompression
     return recompression.dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text."""
+    return (f"xor(4294967295::BIGINT, list_reduce(list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT), lambda crc, b: "
+            "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, xor(crc, b)), "
+            "4294967295::BIGINT))")
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query(f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+               CASE WHEN {crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 AND text IS NOT NULL THEN {_leaf_sql("replace(text, chr(10), '')")} END AS new
+        FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                      count(*) OVER (PARTITION BY source) AS n FROM leaves),
+    tree AS (SELECT 0 AS lvl, source, pos, n, leaf AS digest FROM placed
+             UNION ALL
+             SELECT lvl + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1
+             GROUP BY lvl, source, pos // 3, n),
+    subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at FROM tree WHERE n = 1),
+    upper AS (SELECT 0 AS lvl, at AS pos, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
+              UNION ALL
+              SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n),
+    low AS (SELECT doc_id, source, pos AS start, 0 AS lvl, pos, n, coalesce(new, leaf) AS cur, '' AS path FROM placed
+            UNION ALL
+            SELECT f.doc_id, f.source, f.start, f.lvl + 1, f.pos // 3, (f.n + 2) // 3,
+                   sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.cur ELSE t.digest END, '' ORDER BY t.pos)),
+                   f.path || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+            FROM low f JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.lvl = f.lvl AND t.pos // 3 = f.pos // 3
+            WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.start, f.lvl, f.pos, f.n, f.cur, f.path),
+    high AS (SELECT l.doc_id, l.source, l.start, s.subroot, 0 AS lvl, s.at AS pos, (SELECT count(*) FROM subroots) AS n, l.cur, l.path
+             FROM low l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source WHERE l.n = 1
+             UNION ALL
+             SELECT f.doc_id, f.source, f.start, f.subroot, f.lvl + 1, f.pos // 3, (f.n + 2) // 3,
+                    sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.cur ELSE t.digest END, '' ORDER BY t.pos)),
+                    f.path || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+             FROM high f JOIN upper t ON t.lvl = f.lvl AND t.pos // 3 = f.pos // 3
+             WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.start, f.subroot, f.lvl, f.pos, f.n, f.cur, f.path)
+    SELECT h.doc_id, p.leaf, h.subroot, r.digest AS root, sha256(h.path) AS proof_sha256, h.cur AS folded_root, h.cur = r.digest AS verified
+    FROM high h JOIN placed p ON p.source IS NOT DISTINCT FROM h.source AND p.pos = h.start, (SELECT digest FROM upper WHERE n = 1) r WHERE h.n = 1
+""")
+def op12_merkle_manifest(spark, sf_dir):
+    """Proof and tampering check of every document."""
+    from sievewright.llm import merkle
+    return merkle.proofs(table(spark, sf_dir, "documents")).drop("copied")
