@@ -158,8 +158,8 @@ def _leaf_sql(text: str) -> str:
              UNION ALL
              SELECT lvl + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1
              GROUP BY lvl, source, pos // 3, n),
-    subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at FROM tree WHERE n = 1),
-    upper AS (SELECT 0 AS lvl, at AS pos, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
+    subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM tree WHERE n = 1),
+    upper AS (SELECT 0 AS lvl, place AS pos, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
               UNION ALL
               SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n),
     low AS (SELECT doc_id, source, pos AS start, 0 AS lvl, pos, n, coalesce(new, leaf) AS cur, '' AS path FROM placed
@@ -169,7 +169,7 @@ def _leaf_sql(text: str) -> str:
                    f.path || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
             FROM low f JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.lvl = f.lvl AND t.pos // 3 = f.pos // 3
             WHERE f.n > 1 GROUP BY f.doc_id, f.source, f.start, f.lvl, f.pos, f.n, f.cur, f.path),
-    high AS (SELECT l.doc_id, l.source, l.start, s.subroot, 0 AS lvl, s.at AS pos, (SELECT count(*) FROM subroots) AS n, l.cur, l.path
+    high AS (SELECT l.doc_id, l.source, l.start, s.subroot, 0 AS lvl, s.place AS pos, (SELECT count(*) FROM subroots) AS n, l.cur, l.path
              FROM low l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source WHERE l.n = 1
              UNION ALL
              SELECT f.doc_id, f.source, f.start, f.subroot, f.lvl + 1, f.pos // 3, (f.n + 2) // 3,
