@@ -184,3 +184,72 @@ def op12_merkle_manifest(spark, sf_dir):
     """Proof and tampering check of every document."""
     from sievewright.llm import merkle
     return merkle.proofs(table(spark, sf_dir, "documents")).drop("copied")
+
+
+def _plus(cell: str, cost: str, edit: str) -> str:
+    return f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || {edit}}}"
+
+
+def _inserted(c: list[str]) -> str:
+    """Struct of the four states after the insertions that help: none yet, system, user and assistant last."""
+    u = f"least({c[2]}, {_plus(c[0], '5', chr(39) + 'I' + chr(39))}, {_plus(c[1], '5', chr(39) + 'I' + chr(39))}, {_plus(c[3], '5', chr(39) + 'I' + chr(39))})"
+    a = f"least({c[3]}, {_plus(c[2], '5', chr(39) + 'I' + chr(39))}, {_plus(c[0], '10', chr(39) + 'II' + chr(39))}, {_plus(c[1], '10', chr(39) + 'II' + chr(39))})"
+    return f"{c[0]} AS s0, {c[1]} AS s1, {u} AS s2, {a} AS s3"
+
+
+_LOST = "{'c': 1000000000, 'a': ''}"
+_OLD = ["p.s0", "p.s1", "p.s2", "p.s3"]
+
+
+def _stay(cell: str, target: str) -> str:
+    edit = f"CASE WHEN o.initial = '{target}' THEN 'K' ELSE 'R' END"
+    return _plus(cell, f"CASE WHEN o.gone THEN 1000000000 WHEN o.initial = '{target}' THEN 0 ELSE 1 END + o.extra", edit)
+
+
+_STEP = ", ".join([
+    f"{_plus('p.s0', '2', chr(39) + 'D' + chr(39))} AS t0",
+    f"least({_plus('p.s1', '2', chr(39) + 'D' + chr(39))}, {_plus('p.s0', 'CASE WHEN o.gone OR o.initial <> ' + chr(39) + 's' + chr(39) + ' THEN 1000000000 ELSE o.extra END', chr(39) + 'K' + chr(39))}) AS t1",
+    f"least({_plus('p.s2', '2', chr(39) + 'D' + chr(39))}, {_stay('p.s0', 'u')}, {_stay('p.s1', 'u')}, {_stay('p.s3', 'u')}) AS t2",
+    f"least({_plus('p.s3', '2', chr(39) + 'D' + chr(39))}, {_stay('p.s2', 'a')}) AS t3"])
+
+
+@query(f"""
+    WITH RECURSIVE given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+    hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                    unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS again FROM given WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen
+               FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt)),
+    o AS (SELECT *, left(role, 1) AS initial, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra,
+                 CASE WHEN i > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS odd
+          FROM (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+                               WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed)),
+    p AS (SELECT conv_id, 0::BIGINT AS i, {_inserted(["{'c': 0, 'a': ''}", _LOST, _LOST, _LOST])} FROM (SELECT DISTINCT conv_id FROM o)
+          UNION ALL
+          SELECT conv_id, i, {_inserted(["t0", "t1", "t2", "t3"])} FROM (
+              SELECT o.conv_id, o.i, {_STEP} FROM p JOIN o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i + 1)),
+    counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, sum(odd)::BIGINT AS illegal
+               FROM o GROUP BY conv_id),
+    chosen AS (SELECT c.*, least(p.s0, p.s3).c::BIGINT AS cost, least(p.s0, p.s3).a AS audit
+               FROM counts c JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n),
+    edits AS (SELECT conv_id, pos, edit, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i
+              FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS pos FROM chosen)),
+    stays AS (SELECT e.conv_id, e.pos, e.edit, CASE WHEN edit = 'I' THEN '' ELSE o.role END AS role, CASE WHEN edit = 'I' THEN '' ELSE o.text END AS text,
+                     row_number() OVER (PARTITION BY e.conv_id ORDER BY pos) AS place
+              FROM edits e JOIN o ON o.conv_id IS NOT DISTINCT FROM e.conv_id AND o.i = e.i WHERE edit <> 'D'),
+    turns AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM stays),
+    lines AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                                || ':' || text, chr(10) ORDER BY place)) AS digest FROM turns GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM e.conv_id
+""")
+def op13_conversation_repair(spark, sf_dir):
+    """Faults of every damaged conversation and its cheapest repair."""
+    from sievewright.llm import repair
+    given = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(given), given)
