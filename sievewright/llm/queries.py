@@ -253,3 +253,14 @@ def op13_conversation_repair(spark, sf_dir):
     from sievewright.llm import repair
     given = table(spark, sf_dir, "conversations")
     return repair.repair_report(repair.damaged(given), given)
+
+
+@query()
+def op11_toxicity(spark, sf_dir):
+    """Toxicity of every document; trained on labelled documents outside the held-out fold."""
+    from pyspark.sql import functions as F
+    from sievewright.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.train(docs.where(toxicity.fold() != 2), table(spark, sf_dir, "labels"))
+    folded = docs.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "text")
+    return toxicity.score_texts(folded, field, keep=("doc_id", "held_out"))
