@@ -5,10 +5,11 @@ first three to eight and last three to five bytes, hashed. The field has the tag
 
 Labels are those of documents, so tokens are labelled first: a token is toxic if it stands in a toxic document and has a
 feature that the toxic documents of the sample show far more often than the clean ones (log-likelihood ratio above
-EVIDENCE, at least ODDS times as often). The field is fitted to these labelled tokens by gradients of its
+EVIDENCE), so that at the shares of all labelled rows at least PURITY of the documents that have it are toxic, and no token of the document has
+much stronger evidence (RIVAL); what only keeps company with toxic words is clean. The field is fitted to these labelled tokens by gradients of its
 log-likelihood, from forward-backward. Forward-backward over whole texts then gives every token's probability of being toxic
 and the probability that no token of the text is; the document score is a logistic function of both and of the largest
-token's, fitted on the same sample. Offending offsets are runs of tokens whose probability is at least SPAN.
+token's, fitted on the same sample and moved to the share of toxic documents among all labelled rows. Offending offsets are runs of tokens whose probability is at least SPAN.
 
 The sample: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, those whose id and text hash lowest, at most SAMPLE_WINDOWS
 windows of WINDOW tokens of each, spread over the whole text. This bound is all that reaches the driver; scoring
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from sievewright.llm.common import mix, row_sample, slices, stream, text_buffers
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS, WINDOW = 2000, 4000, 6, 64
-EVIDENCE, ODDS = 24.0, 8.0
+EVIDENCE, PURITY, RIVAL = 14.0, 0.8, 0.4
 BUCKETS = 1 << 20
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4, 5)
 FEATURES = 1 + len(PREFIXES) + len(SUFFIXES)
 ROUNDS, RATE, SHRINK = 30, 0.7, 1e-4
 CHUNK = 256
-THRESHOLD, SPAN = 0.3, 0.5
+THRESHOLD, SPAN, FLOOR = 0.3, 0.5, 0.3
 
 
 # ---- tokens and features ----
@@ -187,19 +188,23 @@ def marginals(unary: np.ndarray, first: np.ndarray, transitions: np.ndarray, ope
 
 
 def document_features(toxic: np.ndarray, stay_clean: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: log-odds of any toxic token, log-odds of the likeliest one, log of the expected number; with a constant."""
+    """Per text: log-odds of any toxic token, log-odds of the likeliest one, log of the expected number; with a constant.
+
+    Tokens below FLOOR do not add up, so that length alone makes no text toxic.
+    """
     count = len(first) - 1
     full = np.flatnonzero(first[:-1] < first[1:])
     out = np.zeros((count, 4))
     out[:, 0], out[:, 1], out[:, 2], out[:, 3] = 1, -12, -12, -12
     if len(full):
         heads = first[:-1][full]
-        none = np.add.reduceat(np.log(np.maximum(stay_clean, 1e-30)), heads)
+        counts = toxic >= FLOOR
+        none = np.add.reduceat(np.where(counts, np.log(np.maximum(stay_clean, 1e-30)), 0.0), heads)
         any_odds = np.log(np.maximum(-np.expm1(np.minimum(none, -1e-12)), 1e-12)) - np.maximum(none, -12)
         top = np.clip(np.maximum.reduceat(toxic, heads), 1e-6, 1 - 1e-6)
         out[full, 1] = np.clip(any_odds, -12, 12)
         out[full, 2] = np.log(top / (1 - top))
-        out[full, 3] = np.log(np.maximum(np.add.reduceat(toxic, heads), 6e-6))
+        out[full, 3] = np.log(np.maximum(np.add.reduceat(np.where(counts, toxic, 0.0), heads), 6e-6))
     return out
 
 
@@ -214,7 +219,7 @@ def scores(field: Field, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- training ----
 
-def label_tokens(found: Tokens, toxic_doc: np.ndarray) -> np.ndarray:
+def label_tokens(found: Tokens, toxic_doc: np.ndarray, share: float) -> np.ndarray:
     """Which tokens of toxic documents have a feature that tells toxic documents from clean ones."""
     pairs = np.unique(np.repeat(found.doc, FEATURES).astype(np.int64) * (FEATURES * BUCKETS)
                       + (found.features.astype(np.int64) + np.arange(FEATURES) * BUCKETS).ravel())
@@ -226,10 +231,15 @@ def label_tokens(found: Tokens, toxic_doc: np.ndarray) -> np.ndarray:
     a, b = with_toxic[used], with_clean[used]
     expected = (a + b) * n[1] / n.sum()
     ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(a + b - expected, 1e-9)), 0))
-    odds = (a / n[1]) / ((b + 0.5) / n[0])
-    telling = np.zeros(FEATURES * BUCKETS, bool)
-    telling[used[(ratio > EVIDENCE) & (odds > ODDS)]] = True
-    return telling[found.features + np.arange(FEATURES) * BUCKETS].any(axis=1) & toxic_doc[found.doc]
+    odds = (a / n[1]) / ((b + 0.5) / n[0]) * share / (1 - share)
+    telling = np.zeros(FEATURES * BUCKETS)
+    pure = (ratio > EVIDENCE) & (odds > PURITY / (1 - PURITY))
+    telling[used[pure]] = ratio[pure]
+    evidence = telling[found.features + np.arange(FEATURES) * BUCKETS].max(axis=1) * toxic_doc[found.doc]
+    strongest = np.zeros(len(found.first) - 1)
+    full = np.flatnonzero(found.first[:-1] < found.first[1:])
+    strongest[full] = np.maximum.reduceat(evidence, found.first[:-1][full])
+    return (evidence > 0) & (evidence >= RIVAL * strongest[found.doc])
 
 
 def gradients(unary, first, transitions, opening, tags):
@@ -243,14 +253,15 @@ def gradients(unary, first, transitions, opening, tags):
     return by_token, seen - pairs, by_token[opens].sum()
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray) -> Field:
-    """The field and the document weights of labelled texts."""
-    share = float(toxic_doc.mean()) if len(toxic_doc) else 0.0
+def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray, share: float | None = None) -> Field:
+    """The field and the document weights of labelled texts; `share` is that of toxic documents where the texts were drawn, if theirs is another."""
+    drawn = float(toxic_doc.mean()) if len(toxic_doc) else 0.0
+    share = drawn if share is None else share
     nothing = Field(np.zeros(1), 0.0, np.zeros((2, 2)), 0.0, None, share)
     found = tokens(data, offsets)
     if not len(found.start) or toxic_doc.all() or not toxic_doc.any():
         return nothing
-    tags = label_tokens(found, toxic_doc).astype(float)
+    tags = label_tokens(found, toxic_doc, share).astype(float)
     _, heads, which = np.unique(found.features.astype(np.uint64) @ (stream(41, FEATURES) | np.uint64(1)), return_index=True, return_inverse=True)
     words, which, n = found.features[heads], which.ravel(), len(tags)
     weights, bias, transitions, opening = np.zeros(BUCKETS), -6.0, np.zeros((2, 2)), 0.0
@@ -274,6 +285,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray) -> Field:
         p = 1 / (1 + np.exp(-np.clip(x @ document, -40, 40)))
         ridge = 1e-2 * np.eye(4)
         document = document + np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ document)
+    document[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return Field(weights.astype(np.float32), bias, transitions, opening, document, share)
 
 
@@ -294,13 +306,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
                 pieces.append(b"\n".join(data[found.start[heads[k]]:found.end[min(heads[k] + WINDOW, b) - 1]].tobytes() for k in chosen))
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pieces, pa.binary())], names=["label", "piece"])
 
+    rows = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = rows.get(1, 0) / max(1, sum(rows.values()))
     found = [row_sample(known.where(F.col("label") == k), most, "toxicity").select(F.col("label").cast("int"), "text")
              for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = found[0].unionByName(found[1]).mapInArrow(cut, "label int, piece binary").toPandas()
     sample = sample.sort_values(["label", "piece"], kind="stable")
     pieces = list(sample["piece"])
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
-    return fit(np.frombuffer(b"".join(pieces), np.uint8), offsets, sample["label"].to_numpy(dtype=bool))
+    return fit(np.frombuffer(b"".join(pieces), np.uint8), offsets, sample["label"].to_numpy(dtype=bool), share)
 
 
 # ---- scoring ----
