@@ -146,20 +146,27 @@ def numbered(df, by: list[str], order: list, out: str = "pos", size: str = "size
         *[F.col(f"`{c}`") for c in df.columns], out, size)
 
 
-def row_sample(df, most: int, seed: str, by: str | None = None, total: int | None = None):
+def row_key(seed: str):
+    """The hash by which a row (id, text) is sampled."""
+    from pyspark.sql import functions as F
+    return F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text")
+
+
+def row_sample(df, most: int, seed: str, by: str | None = None, total: int | None = None, among=None):
     """At most `most` distinct rows (id, text), of every value of `by` if given, and at most `total` rows in all.
 
     `df` has the columns id and text, further ones are kept. Rows go by the hash of id and text, so repeated ids are as
     many rows as they have texts and repeated rows are one. Candidates are thinned out by
     the approximate number of distinct rows before they are ranked; only classes that hold at least 1 in
     HEAVY rows need that, of which there are at most HEAVY. No more than
-    `total` hashes reach the driver. Needs values of `by` that are not null.
+    `total` hashes reach the driver. Needs values of `by` that are not null. `among` restricts the sample to the row keys in
+    its column __key, so that a condition on other tables need not move texts.
     """
     from pyspark.sql import Window, functions as F
     total = total or most
-    key = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text")
+    key = row_key(seed)
     group = F.col(by) if by else F.lit("")
-    narrow = df.select(group.cast("string").alias("__by"), key.alias("__key"))
+    narrow = df.select(group.cast("string").alias("__by"), key.alias("__key")) if among is None else among.select(F.lit("").alias("__by"), "__key")
     sizes = narrow.groupBy("__by").agg(F.approx_count_distinct("__key").alias("rows"))
     whole = sizes.agg(F.sum("rows")).first()[0]
     if not whole:

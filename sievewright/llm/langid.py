@@ -6,11 +6,13 @@ the largest response of each filter is kept, and a softmax over the known
 languages follows. A text's probability is the mean over all its windows, so
 whole texts count.
 
-Training: the LANGUAGES most frequent, at most SAMPLE_PER_LANG documents a language and SAMPLE_TOTAL in all,
-those whose id hashes lowest, at most SAMPLE_WINDOWS windows of each, spread over
-the whole text. This bounded sample is all that reaches the driver.
+Training: at most SAMPLE_PER_LANG documents a language and SAMPLE_TOTAL in all (first one
+of every language, then a second one), those whose id and text hash lowest, at most SAMPLE_WINDOWS windows of each, spread over
+the whole text. This bounded sample is all that reaches the driver. Repeated ids are as many documents as they have texts,
+repeated rows count once in it. A text with labels of several languages may stand for each.
 Without labelled documents nothing is learned and every text is `und`.
-Null texts and texts without a letter are `und` with score 0. Ties go to the
+Null texts and texts without a letter are `und` with score 0; very long texts are read whole, window by window; repeated rows
+are scored alike; an empty table gives no rows. Ties go to the
 language that sorts first. Further columns are left alone.
 """
 
@@ -18,14 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sievewright.llm.common import low_keys, slices, text_buffers
+from sievewright.llm.common import row_sample, slices, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 AHEAD = max(WIDTHS)         # zero bytes that end every text
 SAMPLE_PER_LANG, SAMPLE_TOTAL, SAMPLE_WINDOWS = 400, 4000, 8
-LANGUAGES = 1000            # the most frequent ones are learned
 STEPS, BATCH, RATE = 500, 64, 4e-3
 UNKNOWN = "und"
 
@@ -127,17 +128,6 @@ class ByteNet:
 
 def training_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The bounded sample: languages, windows, labels. `labelled` has id, text, lang."""
-    key = F.xxhash64(F.lit("langid"), F.col("id").cast("string"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return [], np.zeros((0, WINDOW + AHEAD), np.uint8), np.zeros(0, np.int64)
-    rows = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["rows"])])
-    few = labelled.select("id", "lang", key.alias("key")).withColumn("rows", rows[F.col("lang")]).where(
-        F.col("rows").isNotNull() & low_keys(F.col("key"), SAMPLE_PER_LANG, F.col("rows")))
-    ranked = few.select("id", "lang", "key").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= SAMPLE_PER_LANG)
-    chosen = [r["id"] for r in ranked.orderBy("rank", "key", "id").limit(SAMPLE_TOTAL).select("id").collect()]
-
     def cut(batches):
         for batch in slices(batches):
             padded, first = windows(*text_buffers(batch.column("text")))
@@ -148,9 +138,9 @@ def training_windows(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.nda
                     key.append(lang[row])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    sample = labelled.where(F.col("id").isin(chosen)).select("text", "lang").mapInArrow(cut, "lang string, window binary").toPandas() \
-        if chosen else None
-    if sample is None or sample.empty:
+    chosen = row_sample(labelled, SAMPLE_PER_LANG, "langid", "lang", SAMPLE_TOTAL).select("text", "lang")
+    sample = chosen.mapInArrow(cut, "lang string, window binary").toPandas()
+    if sample.empty:
         return [], np.zeros((0, WINDOW + AHEAD), np.uint8), np.zeros(0, np.int64)
     sample = sample.sort_values(["lang", "window"], kind="stable")
     languages = sorted(set(sample["lang"]))

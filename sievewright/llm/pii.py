@@ -10,7 +10,7 @@ longer than a window. A decoded span is added if it passes the check of its
 kind and no base span of the kind overlaps it.
 
 Every span of these kinds holds a digit or an @; windows without either have none and
-are not decoded. The sample: SAMPLE_DOCS documents whose ids hash lowest, SAMPLE_WINDOWS
+are not decoded. The sample: SAMPLE_DOCS distinct rows whose id and text hash lowest, SAMPLE_WINDOWS
 windows of each. Without any base span in it there is no tagger and nothing is added.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Repeated
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievewright.llm.common import low_keys, slices
+from sievewright.llm.common import row_key, row_sample, slices
 from sievewright.llm.tagger import Tagger
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -153,10 +153,8 @@ def _labelled(text: str, rng):
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Tagger | None:
     """Fit the tagger on the base spans of a bounded sample."""
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
-    key = F.xxhash64(F.lit("pii"), F.col("id").cast("string"))
-    few = named.select("id", key.alias("key")).where(low_keys(F.col("key"), SAMPLE_DOCS, named.count()))
-    chosen = [r["id"] for r in few.orderBy("key", "id").limit(SAMPLE_DOCS).collect()]
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    key = row_key("pii")
 
     def cut(batches):
         for batch in batches:
@@ -164,9 +162,7 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Tagger
                 found = list(_labelled(words or "", np.random.default_rng(abs(number))))
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c, _ in found], pa.binary()),
                                                   pa.array([t.tobytes() for _, t in found], pa.binary())], names=["codes", "tags"])
-    if not chosen:
-        return None
-    sample = named.where(F.col("id").isin(chosen)).select(key.alias("key"), "text").mapInArrow(cut, "codes binary, tags binary").toPandas()
+    sample = row_sample(named, SAMPLE_DOCS, "pii").select(key.alias("key"), "text").mapInArrow(cut, "codes binary, tags binary").toPandas()
     sample = sample.sort_values(["codes", "tags"], kind="stable")
     x = np.frombuffer(b"".join(sample["codes"]), np.uint8).reshape(-1, WINDOW)
     y = np.frombuffer(b"".join(sample["tags"]), np.int8).reshape(-1, WINDOW)

@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievewright.llm.common import mix, row_sample, slices, stream, text_buffers
+from sievewright.llm.common import mix, row_key, row_sample, slices, stream, text_buffers
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS, WINDOW = 2000, 4000, 6, 64
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS, WINDOW = 1500, 2500, 4, 64
 EVIDENCE, PURITY, RIVAL = 14.0, 0.8, 0.4
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4, 5)
 FEATURES = 1 + len(PREFIXES) + len(SUFFIXES)
 ROUNDS, RATE, SHRINK = 30, 0.7, 1e-4
@@ -221,21 +221,21 @@ def scores(field: Field, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 def label_tokens(found: Tokens, toxic_doc: np.ndarray, share: float) -> np.ndarray:
     """Which tokens of toxic documents have a feature that tells toxic documents from clean ones."""
-    pairs = np.unique(np.repeat(found.doc, FEATURES).astype(np.int64) * (FEATURES * BUCKETS)
-                      + (found.features.astype(np.int64) + np.arange(FEATURES) * BUCKETS).ravel())
-    doc, feature = pairs // (FEATURES * BUCKETS), pairs % (FEATURES * BUCKETS)
     n = np.array([(~toxic_doc).sum(), toxic_doc.sum()], float)
-    with_toxic = np.bincount(feature[toxic_doc[doc]], minlength=FEATURES * BUCKETS).astype(float)
-    with_clean = np.bincount(feature[~toxic_doc[doc]], minlength=FEATURES * BUCKETS).astype(float)
-    used = np.flatnonzero(with_toxic)
-    a, b = with_toxic[used], with_clean[used]
-    expected = (a + b) * n[1] / n.sum()
-    ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(a + b - expected, 1e-9)), 0))
-    odds = (a / n[1]) / ((b + 0.5) / n[0]) * share / (1 - share)
-    telling = np.zeros(FEATURES * BUCKETS)
-    pure = (ratio > EVIDENCE) & (odds > PURITY / (1 - PURITY))
-    telling[used[pure]] = ratio[pure]
-    evidence = telling[found.features + np.arange(FEATURES) * BUCKETS].max(axis=1) * toxic_doc[found.doc]
+    evidence = np.zeros(len(found.start))
+    for column in found.features.T:         # one kind of feature at a time: a document counts once a bucket
+        pairs = np.unique(found.doc * BUCKETS + column)
+        hit = toxic_doc[pairs // BUCKETS]
+        with_toxic = np.bincount(pairs[hit] % BUCKETS, minlength=BUCKETS)
+        used = np.flatnonzero(with_toxic)
+        a, b = with_toxic[used].astype(float), np.bincount(pairs[~hit] % BUCKETS, minlength=BUCKETS)[used].astype(float)
+        expected = (a + b) * n[1] / n.sum()
+        ratio = 2 * (a * np.log(a / expected) + np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(a + b - expected, 1e-9)), 0))
+        odds = (a / n[1]) / ((b + 0.5) / n[0]) * share / (1 - share)
+        telling = np.zeros(BUCKETS)
+        telling[used] = np.where((ratio > EVIDENCE) & (odds > PURITY / (1 - PURITY)), ratio, 0)
+        np.maximum(evidence, telling[column], out=evidence)
+    evidence *= toxic_doc[found.doc]
     strongest = np.zeros(len(found.first) - 1)
     full = np.flatnonzero(found.first[:-1] < found.first[1:])
     strongest[full] = np.maximum.reduceat(evidence, found.first[:-1][full])
@@ -292,8 +292,9 @@ def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray, share: flo
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Field:
     """Fit on the labelled rows of `docs`; see the module for the bounds of the sample."""
     marked = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL").join(
-        marked, F.col("id") == F.col("__id")).select("id", "text", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"))
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    known = named.select("id", row_key("toxicity").alias("__key")).join(marked, F.col("id") == F.col("__id")).select(
+        "__key", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"))
 
     def cut(batches):
         for batch in slices(batches):
@@ -308,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
     rows = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = rows.get(1, 0) / max(1, sum(rows.values()))
-    found = [row_sample(known.where(F.col("label") == k), most, "toxicity").select(F.col("label").cast("int"), "text")
+    found = [row_sample(named, most, "toxicity", among=known.where(F.col("label") == k)).select(F.lit(k).alias("label"), "text")
              for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = found[0].unionByName(found[1]).mapInArrow(cut, "label int, piece binary").toPandas()
     sample = sample.sort_values(["label", "piece"], kind="stable")
