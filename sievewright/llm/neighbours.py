@@ -12,7 +12,8 @@ most, and the search stops.
    dealt into blocks, one of more than CELL_QUERIES queries into parts.
 3. Each query searches its own cell, which gives a first d_k; it then visits exactly the cells that the
    stopping radius reaches. In a block the lower levels of the tree are built, leaves are taken by
-   their projected distance, and points are verified on the original vectors in double precision.
+   their projected distance, and points are verified on the original vectors in double precision (times powers of two, so
+   that very large and very small components keep their cosines).
 
 Vectors that are null, empty, zero, hold null or non-finite components, or have not the most frequent
 length take no part, nor do rows with a null id. A row with a query's own id is never its
@@ -48,8 +49,14 @@ def chi_square_quantile(p: float, m: int) -> float:
     return high
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, their largest component between 1/2 and 1: no square over- or underflows and no cosine changes."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
@@ -167,7 +174,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     def placed(batches):
         for batch in batches:
             if batch.num_rows:
-                values = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+                values = scaled(batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1))
                 cells = tree.leaf_of(unit(values) @ projection)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column(0), pa.array([v.tobytes() for v in values], pa.binary())],
                                                  names=["cell", batch.schema.names[0], "vector"])

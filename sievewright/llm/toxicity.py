@@ -8,8 +8,8 @@ feature that the toxic documents of the sample show far more often than the clea
 EVIDENCE), so that at the shares of all labelled rows at least PURITY of the documents that have it are toxic, and no token of the document has
 much stronger evidence (RIVAL); what only keeps company with toxic words is clean. The field is fitted to these labelled tokens by gradients of its
 log-likelihood, from forward-backward. Forward-backward over whole texts then gives every token's probability of being toxic
-and the probability that no token of the text is; the document score is a logistic function of both and of the largest
-token's, fitted on the same sample and moved to the share of toxic documents among all labelled rows. Offending offsets are runs of tokens whose probability is at least SPAN.
+and the probability that no token of the text is; the document score is a logistic function of the latter and of the largest
+token's probability, fitted on the same sample and moved to the share of toxic documents among all labelled rows. Offending offsets are runs of tokens whose probability is at least SPAN.
 
 The sample: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, those whose id and text hash lowest, at most SAMPLE_WINDOWS
 windows of WINDOW tokens of each, spread over the whole text. This bound is all that reaches the driver; scoring
@@ -188,14 +188,14 @@ def marginals(unary: np.ndarray, first: np.ndarray, transitions: np.ndarray, ope
 
 
 def document_features(toxic: np.ndarray, stay_clean: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: log-odds of any toxic token, log-odds of the likeliest one, log of the expected number; with a constant.
+    """Per text: a constant, the log-odds of any toxic token, and those of the likeliest one.
 
     Tokens below FLOOR do not add up, so that length alone makes no text toxic.
     """
     count = len(first) - 1
     full = np.flatnonzero(first[:-1] < first[1:])
-    out = np.zeros((count, 4))
-    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = 1, -12, -12, -12
+    out = np.full((count, 3), -12.0)
+    out[:, 0] = 1
     if len(full):
         heads = first[:-1][full]
         counts = toxic >= FLOOR
@@ -204,7 +204,6 @@ def document_features(toxic: np.ndarray, stay_clean: np.ndarray, first: np.ndarr
         top = np.clip(np.maximum.reduceat(toxic, heads), 1e-6, 1 - 1e-6)
         out[full, 1] = np.clip(any_odds, -12, 12)
         out[full, 2] = np.log(top / (1 - top))
-        out[full, 3] = np.log(np.maximum(np.add.reduceat(np.where(counts, toxic, 0.0), heads), 6e-6))
     return out
 
 
@@ -253,6 +252,23 @@ def gradients(unary, first, transitions, opening, tags):
     return by_token, seen - pairs, by_token[opens].sum()
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression with a ridge: Newton steps, halved while they do not raise the penalised likelihood."""
+    def value(w):
+        z = x @ w
+        return float((y * z - np.logaddexp(0, z)).sum() - ridge / 2 * w @ w)
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        while value(w + step) < value(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray, share: float | None = None) -> Field:
     """The field and the document weights of labelled texts; `share` is that of toxic documents where the texts were drawn, if theirs is another."""
     drawn = float(toxic_doc.mean()) if len(toxic_doc) else 0.0
@@ -280,11 +296,9 @@ def fit(data: np.ndarray, offsets: np.ndarray, toxic_doc: np.ndarray, share: flo
         transitions, bias, opening = transitions + step[:4].reshape(2, 2), bias + step[4], opening + step[5]
     toxic, stay, _ = marginals((weights[words].sum(axis=1) + bias)[which], found.first, transitions, opening)
     x, y = document_features(toxic, stay, found.first), toxic_doc.astype(float)
-    document = np.array([0.0, 0.5, 0.0, 0.0])
-    for _ in range(30):         # Newton steps of a logistic regression with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ document, -40, 40)))
-        ridge = 1e-2 * np.eye(4)
-        document = document + np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ document)
+    told = ~toxic_doc       # toxic documents whose windows show no toxic token say nothing about the score of those that do
+    told[found.doc[tags > 0]] = True
+    document = logistic(x[told], y[told])
     document[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     return Field(weights.astype(np.float32), bias, transitions, opening, document, share)
 

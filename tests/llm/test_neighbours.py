@@ -64,3 +64,17 @@ def test_empty_table(spark):
 
 def test_quantile():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-320])
+def test_extreme_components(spark, size):
+    """Finite vectors whose squares are not have scores like any other."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(120, 6)).round(1 if size < 1e-300 else 6)
+    plain[plain == 0] = 0.5
+    rows = [(k, (plain[k] * (size if k % 2 else 1.0)).tolist()) for k in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    reference = [(k, (np.array(v) / np.abs(v).max()).tolist()) for k, v in rows]
+    found = neighbours.nearest(table, every=10).collect()
+    assert all(r["score"] is not None and abs(r["score"]) <= 1 + 1e-12 for r in found)
+    assert recall(found, brute(reference, every=10)) >= 0.9

@@ -12,7 +12,7 @@ from sievewright.llm.common import text_buffers
 
 import pyarrow as pa
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 BAD = ["scum", "vileword", "Ärgö"]
 
 
@@ -141,9 +141,10 @@ def test_tokens_follow_letters_and_case():
 
 
 def test_held_out_documents(spark):
+    """On the larger tables, since the smallest have a dozen held-out toxic documents."""
     found = queries.QUERIES["op11_toxicity"](spark, SF)
     rows = found.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     right = sum(r["predicted"] and r["toxic"] for r in held)
-    assert right / max(1, sum(r["predicted"] for r in held)) >= 0.9 and right / sum(r["toxic"] for r in held) >= 0.5
+    assert right / max(1, sum(r["predicted"] for r in held)) >= 0.85 and right / sum(r["toxic"] for r in held) >= 0.85
