@@ -17,6 +17,15 @@ def _(spark, sf):
     return splits.group_shuffle_split(rows, "speaker_id").select("sample_id", "split")
 
 
+@query("e13_hash_split", with_(F1) + """
+, v AS (SELECT sample_id, CASE WHEN order_key % 29 = 0 THEN 'UNKNOWN_SPEAKER' ELSE speaker_id END AS g FROM f1),
+ h AS (SELECT sample_id, ('0x' || left(sha256('42|' || g), 13))::BIGINT::HUGEINT AS point FROM v)
+SELECT sample_id, CASE WHEN point * 100 < 70 * 16::HUGEINT ** 13 THEN 'train' WHEN point * 100 < 85 * 16::HUGEINT ** 13 THEN 'validation' ELSE 'test' END AS split FROM h""")
+def _(spark, sf):
+    rows = f1(spark, sf).selectExpr("sample_id", "CASE WHEN order_key % 29 = 0 THEN NULL ELSE speaker_id END AS speaker_id")
+    return splits.hash_split(rows, "speaker_id").select("sample_id", "split")
+
+
 @query("e16_row_split", with_(F1) + """
 , r AS (SELECT sample_id, row_number() OVER (ORDER BY sha256('42|' || sample_id), sample_id) AS rn, count(*) OVER () AS n FROM f1)
 SELECT sample_id, CASE WHEN rn <= n * 70 // 100 THEN 'train' WHEN rn <= n * 70 // 100 + n * 15 // 100 THEN 'validation' ELSE 'test' END AS split FROM r""")
@@ -62,44 +71,38 @@ def _(spark, sf):
     return splits.greedy_assignment(f1(spark, sf), "speaker_id", {"train": 1700, "validation": 600, "test": 300}, "source_dataset")
 
 
-def multi_sql(frame, key, attributes, shares) -> str:
-    """Sequential placement by (fit - overshoot / 2, fewer rows held), one group per recursion step.
-
-    Neither table leaves a split without a value, so the supplying pass has nothing to do.
-    """
-    names, n = list(shares), range(len(attributes))
+def multi_sql(frame, key, attributes, percent) -> str:
+    """Strata by rarest value, dealing in a cycle, settling of the excess by running sums."""
+    n, names = range(len(attributes)), list(percent)
     counts_ = ", ".join(f"count(*) FILTER (WHERE generator = '{a}') AS c{i}" for i, a in enumerate(attributes))
-    goals = ", ".join(f"sum(c{i}) OVER () * {p} AS g{s}{i}" for s, p in shares.items() for i in n)
-    state = [f"h{s}{i}" for s in names for i in n]
-    score = {s: "(" + " + ".join(f"least(c{i}, greatest(0.0, g{s}{i} - h{s}{i}))" for i in n) + ") - 0.5 * ("
-             + " + ".join(f"greatest(0.0, h{s}{i} + c{i} - g{s}{i})" for i in n) + ")" for s in names}
-    load = {s: " + ".join(f"h{s}{i}" for i in n) for s in names}
-    held = ", ".join(state)
-    after = ", ".join(f"h{s}{i} + CASE WHEN split = '{s}' THEN c{i} ELSE 0 END AS h{s}{i}" for s in names for i in n)
-    # a later split wins only with a strictly better (score, -load)
-    first, second, third = names
-    better = lambda a, b: f"(s{b} > s{a} OR (s{b} = s{a} AND l{b} < l{a}))"
-    pick = (f"CASE WHEN {better(first, second)} THEN CASE WHEN {better(second, third)} THEN '{third}' ELSE '{second}' END "
-            f"WHEN {better(first, third)} THEN '{third}' ELSE '{first}' END AS split")
-    scored = ", ".join(f"{score[s]} AS s{s}, {load[s]} AS l{s}" for s in names)
-    columns = f"k, i, total, {', '.join(f'c{j}' for j in n)}, {', '.join(f'g{s}{j}' for s in names for j in n)}, {held}"
+    held = ", ".join(f"count(*) FILTER (WHERE c{i} > 0) OVER () AS h{i}" for i in n)
+    rarest = "list_min([" + ", ".join(f"{{'h': CASE WHEN c{i} > 0 THEN h{i} ELSE 1000000000 + {len(attributes)} END, 'i': CASE WHEN c{i} > 0 THEN {i} ELSE {len(attributes)} END}}" for i in n) + "])"
+    cycle = splits.deal_cycle(percent)
+    rows_ = " ".join(f"WHEN '{s}' THEN {p}" for s, p in percent.items())
+    number = " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(names))
     return f""", g AS (SELECT {key} AS k, count(*) AS total, {counts_} FROM {frame} GROUP BY 1),
- o AS (SELECT *, row_number() OVER (ORDER BY total DESC, {', '.join(f'c{j}' for j in n)}, k NULLS FIRST) AS i, {goals} FROM g),
- f AS (SELECT {columns}, {pick} FROM (SELECT *, {scored} FROM (SELECT *, {', '.join(f'0 AS {h}' for h in state)} FROM o WHERE i = 1))
-  UNION ALL SELECT {columns}, {pick} FROM (SELECT *, {scored} FROM (
-   SELECT o.*, {', '.join(f'p.{h}' for h in state)} FROM (SELECT i, {after} FROM f) p JOIN o ON o.i = p.i + 1)))
-SELECT k AS group_key, total, split AS new_split FROM f"""
-
-
-SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+ s AS (SELECT *, {rarest} AS stratum FROM (SELECT *, {held} FROM g)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY total DESC, {', '.join(f'c{i}' for i in n)}, k NULLS FIRST) AS place FROM s),
+ d AS (SELECT *, {cycle}[(place - 1) % {len(cycle)} + 1] AS split FROM p),
+ x AS (SELECT v.split, CASE v.split {number} END AS num, 100 * coalesce(sum(total), 0) - CASE v.split {rows_} END * (SELECT sum(total) FROM d) AS excess
+       FROM (SELECT unnest({names}) AS split) v LEFT JOIN d USING (split) GROUP BY v.split),
+ y AS (SELECT *, coalesce(sum(greatest(excess, 0)) OVER w, 0) AS base, coalesce(sum(greatest(-excess, 0)) OVER w, 0) AS lo FROM x
+       WINDOW w AS (ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT d.*, y.excess, y.base, place > {len(names)} AND 100 * total <= excess AS free FROM d JOIN y USING (split)),
+ u AS (SELECT *, sum(CASE WHEN free THEN total ELSE 0 END) OVER (PARTITION BY split ORDER BY place DESC, stratum) AS upto FROM f),
+ m AS (SELECT *, free AND 100 * upto <= excess AS moved, base + 100 * upto - 100 * total // 2 AS mid FROM u)
+SELECT k AS group_key, total, CASE WHEN moved THEN (SELECT arg_max(y.split, y.num) FROM y WHERE y.excess < 0 AND y.lo <= m.mid) ELSE split END AS new_split FROM m"""
+
+
+SHARES = {"train": 70, "validation": 15, "test": 15}
 MANY = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("e15_greedy_split_multi", "WITH RECURSIVE " + F3 + multi_sql("f3", "entity", ["A", "N", "R"], SHARES))
+@query("e15_greedy_split_multi", "WITH " + F3 + multi_sql("f3", "entity", ["A", "N", "R"], SHARES))
 def _(spark, sf):
     return splits.greedy_split_multi(f3(spark, sf), "entity", "generator", ["A", "N", "R"])
 
 
-@query("e15_greedy_split_multi_many", "WITH RECURSIVE " + F1 + multi_sql("f1", "speaker_id", MANY, SHARES))
+@query("e15_greedy_split_multi_many", "WITH " + F1 + multi_sql("f1", "speaker_id", MANY, SHARES))
 def _(spark, sf):
     return splits.greedy_split_multi(f1(spark, sf), "speaker_id", "generator", MANY)

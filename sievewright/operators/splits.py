@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from fractions import Fraction
-from math import lcm
+from math import ceil, gcd, lcm
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sievewright import fixed_values as fixed
-from sievewright.functions.keys import text
-from sievewright.operators.running import rank
+from sievewright.functions.keys import hkey, text
+from sievewright.operators.running import rank, running_sums
 from sievewright.operators.sampling import shuffled_rank
+from sievewright.session import settled
 
 def group_shuffle_split(df: DataFrame, group: str, seed=fixed.SEED, missing: str = "UNKNOWN_SPEAKER",
                         out: str = "split") -> DataFrame:
@@ -28,6 +29,25 @@ def group_shuffle_split(df: DataFrame, group: str, seed=fixed.SEED, missing: str
     return keyed.join(placed.select("__grp", split.alias(out)), "__grp").drop("__grp")
 
 
+def hash_split(df: DataFrame, group: str, percent: dict = fixed.SPLIT_PERCENT, seed=fixed.SEED, missing: str = "UNKNOWN_SPEAKER",
+               out: str = "split") -> DataFrame:
+    """Each group to the split in whose share of the hash range its key falls; missing keys form one group.
+
+    Needs neither a shuffle nor the other groups: a table may grow, or be split a part at a time, and no group
+    moves. Shares hold in expectation, by groups and not by rows. The hash is the first 52 bits
+    of the seeded key, so shares may be fractions of a percent.
+    """
+    point = F.conv(F.substring(hkey(F.coalesce(text(group), F.lit(missing)), seed), 1, 13), 16, 10).cast("bigint")
+    scale, reach, split = Fraction(16 ** 13, sum(Fraction(str(p)) for p in percent.values())), Fraction(0), F.lit(list(percent)[-1])
+    borders = []
+    for name, share in percent.items():
+        reach += Fraction(str(share))
+        borders.append((name, ceil(reach * scale)))
+    for name, border in reversed(borders[:-1]):
+        split = F.when(point < border, name).otherwise(split)
+    return df.withColumn(out, split)
+
+
 def row_split(df: DataFrame, identifier: str, percent: dict = fixed.SPLIT_PERCENT, seed=fixed.SEED,
               out: str = "split") -> DataFrame:
     """Shuffled rows: the first floor(n*f) to train, the next to validation, the rest to test."""
@@ -124,115 +144,65 @@ def greedy_split(df: DataFrame, group: str, targets: dict | None = None, by: str
         .withColumn(out, F.col("__new")).drop("__st", "__grp", "__new")
 
 
-# ---- greedy over several attributes ----
-
-class _Placement:
-    """Splits being filled with groups that count in several attributes.
-
-    All amounts are integers in hundredths of a row, so that no score is rounded.
-    """
-
-    def __init__(self, sums: list[int], percent: list[int]):
-        self.goals = [[total * p for total in sums] for p in percent]
-        self.held = [[0] * len(sums) for _ in percent]
-
-    def merit(self, split: int, vector: tuple, before: int = 0):
-        """What a group is worth to a split that took `before` more like it: (fit - overshoot / 2, fewer rows), doubled."""
-        fit = over = load = 0
-        for goal, held, amount in zip(self.goals[split], self.held[split], vector):
-            held += before * amount
-            fit += min(100 * amount, max(0, goal - 100 * held))
-            over += max(0, 100 * (held + amount) - goal)
-            load += held
-        return 2 * fit - over, -load
-
-    def run(self, vector: tuple, count: int) -> tuple[int, int]:
-        """The split that takes the next group of this vector, and how many it takes in a row.
-
-        Taking a group lowers a split's own merit and no other's, so the length of
-        the row is found by bisection.
-        """
-        merits = [self.merit(s, vector) for s in range(len(self.goals))]
-        best = max(range(len(merits)), key=lambda s: (merits[s], -s))
-        rivals = [(merits[s], -s) for s in range(len(merits)) if s != best]
-        low, high = 1, count
-        while low < high:
-            middle = (low + high + 1) // 2
-            if all((self.merit(best, vector, middle - 1), -best) > r for r in rivals):
-                low = middle
-            else:
-                high = middle - 1
-        self.add(best, vector, low)
-        return best, low
-
-    def add(self, split: int, vector: tuple, times: int):
-        self.held[split] = [h + times * v for h, v in zip(self.held[split], vector)]
-
-
-def _lend(placement: _Placement, vectors: list[tuple], pieces: list[list]) -> None:
-    """Give every split that holds nothing of an attribute one group from a split that keeps some.
-
-    The lender is the smallest class (by total, then vector) that can spare a
-    group, from its earliest split; the last group of the class there moves.
-    """
-    smallest = sorted(range(len(vectors)), key=lambda c: vectors[c])
-    for split, attribute in ((s, a) for s in range(len(placement.held)) for a in range(len(placement.held[0]))):
-        if placement.held[split][attribute]:
-            continue
-        offers = ((c, piece) for c in smallest if vectors[c][1 + attribute] for piece in sorted(pieces[c], key=lambda p: (p[2], -p[1]))
-                  if piece[2] != split and placement.held[piece[2]][attribute] > vectors[c][1 + attribute])
-        found = next(offers, None)
-        if found is None:
-            continue
-        c, piece = found
-        placement.add(piece[2], vectors[c][1:], -1)
-        placement.add(split, vectors[c][1:], 1)
-        piece[1] -= 1
-        pieces[c].append([piece[1], piece[1] + 1, split])
-
-
-def _fold_vectors(columns, percent):
-    def fold(classes: pd.DataFrame) -> pd.DataFrame:
-        classes = classes.sort_values(["total", *columns], ascending=[False] + [True] * len(columns))
-        vectors = list(classes[["total", *columns]].itertuples(index=False, name=None))
-        members = classes["members"].tolist()
-        placement = _Placement([sum(v[1 + a] * m for v, m in zip(vectors, members)) for a in range(len(columns))], list(percent.values()))
-        pieces: list[list] = []
-        for vector, count in zip(vectors, members):
-            at, mine = 0, []
-            while at < count:
-                split, length = placement.run(vector[1:], count - at)
-                mine.append([at, at + length, split])
-                at += length
-            pieces.append(mine)
-        _lend(placement, vectors, pieces)
-        names = list(percent)
-        return pd.DataFrame([(*v, a, b, names[s]) for v, mine in zip(vectors, pieces) for a, b, s in mine if a < b],
-                            columns=["total", *columns, "start", "end", "new_split"])
+# ---- dealing over several attributes ----
 
-    return fold
+def deal_cycle(percent: dict) -> list[str]:
+    """The splits in the order in which equal groups are dealt: each once, then always the one furthest below its share."""
+    whole = gcd(*percent.values())
+    quota = {s: p // whole for s, p in percent.items()}
+    cycle = list(quota)
+    while len(cycle) < sum(quota.values()):
+        step = len(cycle) + 1
+        open_ = [s for s in quota if cycle.count(s) < quota[s]]
+        cycle.append(max(open_, key=lambda s: (quota[s] * step - cycle.count(s) * sum(quota.values()), -list(quota).index(s))))
+    return cycle
 
 
 def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
                        percent: dict = fixed.SPLIT_PERCENT) -> DataFrame:
     """`(group_key, total, new_split)`: whole groups placed so that each attribute value nears its share.
 
-    Groups go by total descending, then by their counts of the values, then by
-    key; each to the split with the best (fit - overshoot / 2, fewer rows), ties to the
-    earlier split. A last pass supplies splits that lack a value. Rows without a group
-    form one group with a NULL key. Groups with equal counts are interchangeable, so the fold
-    runs over distinct vectors of counts, of which N rows have at most about
-    N^((k + 1) / (k + 2)) for k values; each group finds its split from its place in its class.
+    Groups are not placed one after the other but dealt. A group belongs to the stratum of the rarest value
+    it holds (fewest groups, ties to the earlier value; groups without any come last). In a stratum, groups go by total
+    descending, then by their counts of the values, then by key, and are dealt in `deal_cycle`: neighbours
+    are alike, so every value is spread by its shares, and any stratum of at least as many groups
+    as splits reaches every split. Uneven sizes are then settled: a split with rows too many gives the smallest of its groups,
+    last places first over all strata, up to its excess, to the splits with rows too few in turn; the first group that a
+    split got in a stratum stays. Rows without a group form one group with a NULL key.
+
+    Both steps are running sums, so no group table sits in one task. Two rows of counts reach the driver: groups by value and rows by split.
     """
     columns = [f"a{i}" for i in range(len(values))]
-    groups = df.groupBy(text(group).alias("group_key")).agg(
-        F.count("*").alias("total"), *[F.count_if(F.col(attribute) == v).alias(c) for v, c in zip(values, columns)])
-    vector = ["total", *columns]
-    classes = groups.groupBy(*vector).agg(F.count("*").alias("members"))
-    kinds = ", ".join(f"{c} bigint" for c in vector)
-    pieces = classes.withColumn("pool", F.lit(0)).groupBy("pool").applyInPandas(
-        _fold_vectors(columns, percent), f"{kinds}, start bigint, end bigint, new_split string")
-    patterns = pieces.groupBy(*vector).agg(F.collect_list(F.struct("start", "end", "new_split")).alias("pieces"))
-    placed = rank(groups, vector, [F.col("group_key").isNotNull(), F.col("group_key")], "__place").join(patterns, vector)
-    piece = F.filter("pieces", lambda p: (p["start"] < F.col("__place")) & (F.col("__place") <= p["end"]))[0]
-    return placed.select("group_key", "total", piece["new_split"].alias("new_split"))
+    names, n = list(percent), len(percent)
+    groups = settled(df.groupBy(text(group).alias("group_key")).agg(
+        F.count("*").alias("total"), *[F.count_if(F.col(attribute) == v).alias(c) for v, c in zip(values, columns)]), "groups")
+    held = groups.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns]).first() if columns else ()
+    rarest = sorted(range(len(columns)), key=lambda i: (held[i], i))
+    stratum = F.coalesce(*[F.when(F.col(columns[i]) > 0, at) for at, i in enumerate(rarest)], F.lit(len(columns)))
+    order = [-F.col("total"), *columns, F.col("group_key").isNotNull(), F.col("group_key")]
+    placed = rank(groups.withColumn("stratum", stratum), ["stratum"], order, "place")
+    cycle = deal_cycle(percent)
+    dealt = settled(placed.select("group_key", "total", "stratum", "place", F.element_at(
+        F.array(*[F.lit(s) for s in cycle]), ((F.col("place") - 1) % len(cycle) + 1).cast("int")).alias("split")), "dealt")
+    rows = {r["split"]: r["n"] for r in dealt.groupBy("split").agg(F.sum("total").alias("n")).collect()}
+    # excess in hundredths of a row
+    whole, hundred = sum(rows.values()), sum(percent.values())
+    excess = {s: hundred * rows.get(s, 0) - percent[s] * whole for s in names}
+    givers, takers = [s for s in names if excess[s] > 0], [s for s in names if excess[s] < 0]
+    if not givers:
+        return dealt.select("group_key", "total", F.col("split").alias("new_split"))
+    limit, base, before = F.lit(0), F.lit(0), 0
+    for s in givers:
+        limit = F.when(F.col("split") == s, excess[s]).otherwise(limit)
+        base = F.when(F.col("split") == s, before).otherwise(base)
+        before += excess[s]
+    free = (F.col("place") > n) & (hundred * F.col("total") <= limit)
+    summed = running_sums(dealt.withColumn("free", free), ["split"], [-F.col("place"), "stratum"],
+                          {"upto": F.when(F.col("free"), F.col("total")).otherwise(0)})
+    at = base + hundred * F.col("upto") - F.floor(hundred * F.col("total") / 2)
+    taker, reach = F.lit(takers[-1]), sum(-excess[s] for s in takers[:-1])
+    for s in reversed(takers[:-1]):
+        taker = F.when(at < reach, s).otherwise(taker)
+        reach += excess[s]
+    moved = F.col("free") & (hundred * F.col("upto") <= limit)
+    return summed.select("group_key", "total", F.when(moved, taker).otherwise(F.col("split")).alias("new_split"))

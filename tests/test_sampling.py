@@ -147,27 +147,40 @@ def test_greedy_split_of_many_equal_groups(spark, small_cells):
     assert got == want
 
 
-def test_greedy_multi_equals_sequential(spark):
+def test_greedy_multi_spreads_every_value(spark, small_cells):
+    """Shares of rows and of every value, over groups of very different sizes, one with a fifth of all rows."""
     rng = random.Random(3)
-    rows = [(f"p{rng.randrange(40):02d}", rng.choice("ab") if rng.random() < 0.9 else "a") for _ in range(500)]
+    rows = [("big", rng.choice("ab")) for _ in range(1200)]
+    for k in range(300):
+        mostly = rng.choice("aab")
+        rows += [(f"p{k:03d}", mostly if rng.random() < 0.8 else rng.choice("abc")) for _ in range(rng.randrange(1, 30))]
     df = spark.createDataFrame(rows, "g string, a string")
-    counts = defaultdict(Counter)
-    for g, a in rows:
-        counts[g][a] += 1
-    totals = Counter(a for _, a in rows)
-    shares = {"train": Fraction(7, 10), "validation": Fraction(3, 20), "test": Fraction(3, 20)}
-    held, out = {s: Counter() for s in shares}, {}
-    for g in sorted(counts, key=lambda g: (-sum(counts[g].values()), counts[g]["a"], counts[g]["b"], g)):
-        def score(s):
-            fit = sum(min(counts[g][a], max(0, totals[a] * shares[s] - held[s][a])) for a in "ab")
-            over = sum(max(0, held[s][a] + counts[g][a] - totals[a] * shares[s]) for a in "ab")
-            return fit - over / 2, -sum(held[s].values())
-        best = max(shares, key=score)
-        out[g] = best
-        held[best].update(counts[g])
-    assert all(held[s][a] > 0 for s in shares for a in "ab")
-    got = {r.group_key: r.new_split for r in splits.greedy_split_multi(df, "g", "a", ["a", "b"]).collect()}
-    assert got == out
+    split = {r.group_key: r.new_split for r in splits.greedy_split_multi(df, "g", "a", ["a", "b", "c"]).collect()}
+    assert set(split) == {g for g, _ in rows}
+    got = Counter((split[g], a) for g, a in rows)
+    by_split, by_value = Counter(split[g] for g, _ in rows), Counter(a for _, a in rows)
+    for name, share in (("train", .7), ("validation", .15), ("test", .15)):
+        assert abs(by_split[name] / len(rows) - share) < 0.01
+        for value in "abc":
+            assert got[name, value] > 0 and abs(got[name, value] / by_value[value] - share) < 0.12
+
+
+def test_deal_cycle():
+    cycle = splits.deal_cycle({"train": 70, "validation": 15, "test": 15})
+    assert cycle[:3] == ["train", "validation", "test"] and Counter(cycle) == {"train": 14, "validation": 3, "test": 3}
+    assert splits.deal_cycle({"a": 50, "b": 50}) == ["a", "b"]
+
+
+def test_hash_split_moves_no_group_when_the_table_grows(spark):
+    small = spark.range(4000).selectExpr("CAST(id % 900 AS STRING) AS g")
+    large = spark.range(40000).selectExpr("CAST(IF(id % 31 = 0, NULL, id % 9000) AS STRING) AS g")
+    before = {r.g: r.split for r in splits.hash_split(small, "g").distinct().collect()}
+    after = {r.g: r.split for r in splits.hash_split(large, "g").distinct().collect()}
+    assert all(after[g] == s for g, s in before.items()) and None in after
+    share = Counter(after.values())
+    assert abs(share["train"] - 6300) < 200 and abs(share["test"] - 1350) < 150
+    thirds = Counter(r.split for r in splits.hash_split(large, "g", {"a": 1, "b": 1.5, "c": 0.5}).select("g", "split").distinct().collect())
+    assert abs(thirds["b"] - 4500) < 200 and abs(thirds["c"] - 1500) < 150
 
 
 def test_greedy_multi_at_many_groups(spark):
