@@ -84,14 +84,15 @@ def multi_sql(frame, key, attributes, percent) -> str:
  s AS (SELECT *, {rarest} AS stratum FROM (SELECT *, {held} FROM g)),
  p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY total DESC, {', '.join(f'c{i}' for i in n)}, k NULLS FIRST) AS place FROM s),
  d AS (SELECT *, {cycle}[(place - 1) % {len(cycle)} + 1] AS split FROM p),
- x AS (SELECT v.split, CASE v.split {number} END AS num, 100 * coalesce(sum(total), 0) - CASE v.split {rows_} END * (SELECT sum(total) FROM d) AS excess
-       FROM (SELECT unnest({names}) AS split) v LEFT JOIN d USING (split) GROUP BY v.split),
+ x AS (SELECT stratum, v.split, CASE v.split {number} END AS num, 100 * coalesce(sum(total) FILTER (d.split = v.split), 0) - CASE v.split {rows_} END * sum(total) AS excess
+       FROM d, (SELECT unnest({names}) AS split) v GROUP BY stratum, v.split),
  y AS (SELECT *, coalesce(sum(greatest(excess, 0)) OVER w, 0) AS base, coalesce(sum(greatest(-excess, 0)) OVER w, 0) AS lo FROM x
-       WINDOW w AS (ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- f AS (SELECT d.*, y.excess, y.base, place > {len(names)} AND 100 * total <= excess AS free FROM d JOIN y USING (split)),
- u AS (SELECT *, sum(CASE WHEN free THEN total ELSE 0 END) OVER (PARTITION BY split ORDER BY place DESC, stratum) AS upto FROM f),
+       WINDOW w AS (PARTITION BY stratum ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT d.*, y.excess, y.base, place > {len(names)} AND 100 * total <= excess AS free FROM d JOIN y ON y.split = d.split AND y.stratum = d.stratum),
+ u AS (SELECT *, sum(CASE WHEN free THEN total ELSE 0 END) OVER (PARTITION BY stratum, split ORDER BY place DESC) AS upto FROM f),
  m AS (SELECT *, free AND 100 * upto <= excess AS moved, base + 100 * upto - 100 * total // 2 AS mid FROM u)
-SELECT k AS group_key, total, CASE WHEN moved THEN (SELECT arg_max(y.split, y.num) FROM y WHERE y.excess < 0 AND y.lo <= m.mid) ELSE split END AS new_split FROM m"""
+SELECT k AS group_key, total,
+  CASE WHEN moved THEN (SELECT arg_max(y.split, y.num) FROM y WHERE y.stratum = m.stratum AND y.excess < 0 AND y.lo <= m.mid) ELSE split END AS new_split FROM m"""
 
 
 SHARES = {"train": 70, "validation": 15, "test": 15}

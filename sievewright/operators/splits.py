@@ -166,11 +166,11 @@ def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
     it holds (fewest groups, ties to the earlier value; groups without any come last). In a stratum, groups go by total
     descending, then by their counts of the values, then by key, and are dealt in `deal_cycle`: neighbours
     are alike, so every value is spread by its shares, and any stratum of at least as many groups
-    as splits reaches every split. Uneven sizes are then settled: a split with rows too many gives the smallest of its groups,
-    last places first over all strata, up to its excess, to the splits with rows too few in turn; the first group that a
-    split got in a stratum stays. Rows without a group form one group with a NULL key.
+    as splits reaches every split. Uneven sizes are then settled in each stratum: a split with rows too many gives the smallest of its groups,
+    last places first, up to its excess, to the splits with rows too few in turn; the first round of dealing
+    stays. Rows without a group form one group with a NULL key.
 
-    Both steps are running sums, so no group table sits in one task. Two rows of counts reach the driver: groups by value and rows by split.
+    Both steps are running sums, so no group table sits in one task. Counts by value and by stratum and split reach the driver.
     """
     columns = [f"a{i}" for i in range(len(values))]
     names, n = list(percent), len(percent)
@@ -184,25 +184,33 @@ def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
     cycle = deal_cycle(percent)
     dealt = settled(placed.select("group_key", "total", "stratum", "place", F.element_at(
         F.array(*[F.lit(s) for s in cycle]), ((F.col("place") - 1) % len(cycle) + 1).cast("int")).alias("split")), "dealt")
-    rows = {r["split"]: r["n"] for r in dealt.groupBy("split").agg(F.sum("total").alias("n")).collect()}
-    # excess in hundredths of a row
-    whole, hundred = sum(rows.values()), sum(percent.values())
-    excess = {s: hundred * rows.get(s, 0) - percent[s] * whole for s in names}
-    givers, takers = [s for s in names if excess[s] > 0], [s for s in names if excess[s] < 0]
-    if not givers:
+    rows = {(r["stratum"], r["split"]): r["n"] for r in dealt.groupBy("stratum", "split").agg(F.sum("total").alias("n")).collect()}
+    hundred = sum(percent.values())
+    limits, bases, reaches = [], [], []
+    for at in sorted({k for k, _ in rows}):
+        whole = sum(rows.get((at, s), 0) for s in names)
+        excess = {s: hundred * rows.get((at, s), 0) - percent[s] * whole for s in names}      # in hundredths of a row
+        before = reach = 0
+        takers = []
+        for s in names:
+            if excess[s] > 0:
+                limits += [F.lit(f"{at} {s}"), F.lit(excess[s])]
+                bases += [F.lit(f"{at} {s}"), F.lit(before)]
+                before += excess[s]
+            elif excess[s] < 0:
+                reach -= excess[s]
+                takers.append(F.struct(F.lit(reach).cast("bigint").alias("reach"), F.lit(s).alias("split")))
+        if takers:
+            reaches += [F.lit(at), F.array(*takers)]
+    if not limits:
         return dealt.select("group_key", "total", F.col("split").alias("new_split"))
-    limit, base, before = F.lit(0), F.lit(0), 0
-    for s in givers:
-        limit = F.when(F.col("split") == s, excess[s]).otherwise(limit)
-        base = F.when(F.col("split") == s, before).otherwise(base)
-        before += excess[s]
+    cell = F.concat_ws(" ", "stratum", "split")
+    limit, base = (F.coalesce(F.create_map(*m)[cell], F.lit(0)) for m in (limits, bases))
     free = (F.col("place") > n) & (hundred * F.col("total") <= limit)
-    summed = running_sums(dealt.withColumn("free", free), ["split"], [-F.col("place"), "stratum"],
+    summed = running_sums(dealt.withColumn("free", free), ["stratum", "split"], [-F.col("place")],
                           {"upto": F.when(F.col("free"), F.col("total")).otherwise(0)})
-    at = base + hundred * F.col("upto") - F.floor(hundred * F.col("total") / 2)
-    taker, reach = F.lit(takers[-1]), sum(-excess[s] for s in takers[:-1])
-    for s in reversed(takers[:-1]):
-        taker = F.when(at < reach, s).otherwise(taker)
-        reach += excess[s]
+    middle = base + hundred * F.col("upto") - F.floor(hundred * F.col("total") / 2)
+    takers = F.create_map(*reaches)[F.col("stratum")]
+    taker = F.coalesce(F.get(F.filter(takers, lambda t: middle < t["reach"]), F.lit(0)), F.element_at(takers, -1))["split"]
     moved = F.col("free") & (hundred * F.col("upto") <= limit)
     return summed.select("group_key", "total", F.when(moved, taker).otherwise(F.col("split")).alias("new_split"))
