@@ -6,7 +6,7 @@ from catalog import query
 from catalog.cleaning import BIN, norm
 from catalog.fixtures import (AUGMENTED, DEALT, F1, F2, F3, F4, F5, LICENSED, ROBUSTNESS, f1, f2, f3, f4, f5, licensed, table, with_)
 from sievewright.functions import clean
-from sievewright.operators import counts, derive, shortcuts, signals
+from sievewright.operators import counts, derive, shortcuts, signals, sketches
 
 
 @query("d1_value_counts", with_(F1) + """
@@ -246,6 +246,23 @@ def _(spark, sf):
     return counts.entity_counts(f1(spark, sf), "voice")
 
 
+@query("d25_entity_sketches", with_(F1) + """
+SELECT language_type, count(*) AS rows, count(DISTINCT speaker_id) AS entities FROM f1 WHERE trim(speaker_id) <> '' GROUP BY 1""")
+def _(spark, sf):
+    """Sketches of eight parts, merged; exact while a group has fewer entities than a sketch has entries."""
+    parts = f1(spark, sf).withColumn("part", F.col("order_key") % 8)
+    kept = sketches.entity_sketches(parts, ["part", "language_type"], "speaker_id")
+    return sketches.merged_entities(kept, ["language_type"]).withColumn("entities", F.round("entities").cast("bigint"))
+
+
+@query("d30_shared_sketches", with_(F1) + """
+SELECT '1-URGENT' AS left_value, '5-LOW' AS right_value, count(*) AS shared FROM
+ (SELECT speaker_id FROM f1 WHERE source_dataset = '1-URGENT' INTERSECT SELECT speaker_id FROM f1 WHERE source_dataset = '5-LOW')""")
+def _(spark, sf):
+    kept = sketches.entity_sketches(f1(spark, sf).withColumn("part", F.col("order_key") % 8), ["part", "source_dataset"], "speaker_id")
+    return sketches.shared_estimate(kept, "source_dataset", "1-URGENT", "5-LOW").withColumn("shared", F.round("shared").cast("bigint"))
+
+
 @query("d26_concentration", with_(F3) + """
 SELECT generator, min(n) AS min_clips, round(median(n), 6) AS median_clips, round(avg(n), 6) AS mean_clips, max(n) AS max_clips, count(*) AS entities
 FROM (SELECT generator, entity, count(*) AS n FROM f3 GROUP BY 1, 2) GROUP BY 1""")
@@ -389,6 +406,15 @@ def _(spark, sf):
     return found.select("label", "n", *[F.round(c, 6).alias(c) for c in ("q_min", "q10", "q50", "q90", "q_max")])
 
 
+@query("d41_quantile_sketches", with_(F1) + """
+SELECT label, count(*) AS n, quantile_disc(duration, 0.1) AS q10, quantile_disc(duration, 0.5) AS q50, quantile_disc(duration, 0.9) AS q90 FROM f1 GROUP BY 1""")
+def _(spark, sf):
+    """Sketches of eight parts, merged; exact while a group has fewer values than the sketch's k."""
+    parts = f1(spark, sf).withColumn("part", F.col("order_key") % 8)
+    kept = sketches.quantile_sketches(parts, ["part", "label"], "duration", 65535)
+    return sketches.merged_quantiles(kept, ["label"], {"q10": 0.1, "q50": 0.5, "q90": 0.9}, 65535)
+
+
 @query("d41_quantiles_beside_nan", with_(F1) + """
 , v AS (SELECT label, duration AS x FROM f1 WHERE order_key % 5 <> 0)
 SELECT label, count(*) AS n, round(min(x), 6) AS q_min, round(quantile_cont(x, 0.1), 6) AS q10, round(quantile_cont(x, 0.5), 6) AS q50,

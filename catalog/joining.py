@@ -6,6 +6,7 @@ from catalog import query
 from catalog.cleaning import norm
 from catalog.fixtures import (DEALT, F1, F2, F4, LICENSED, f1, f2, f4, licensed, table, with_)
 from sievewright.operators import derive, joins
+from sievewright.session import scratch_path
 
 # conversations as recordings: one segment per turn, some keys left out on each side
 SEGMENTS = """seg AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS utt_id, 'r' || CAST(conv_id AS VARCHAR) AS recording_id,
@@ -352,3 +353,16 @@ def _(spark, sf):
     new = m.where("source_dataset = '5-LOW' AND order_key % 2 = 0").selectExpr(
         "'new_' || sample_id AS sample_id", "source_dataset", "'fake' AS label")
     return joins.replace_partition(m.drop("order_key"), new, "source_dataset", "5-LOW")
+
+
+@query("f5_overwrite_partitions", with_(F1) + """
+SELECT sample_id, source_dataset, label FROM f1 WHERE source_dataset <> '5-LOW'
+UNION ALL SELECT 'new_' || sample_id, source_dataset, 'fake' FROM f1 WHERE source_dataset = '5-LOW' AND order_key % 2 = 0""")
+def _(spark, sf):
+    """The same replacement in a stored table, whose other partitions are not rewritten."""
+    path = scratch_path(spark, "partitioned")
+    m = f1(spark, sf).select("sample_id", "source_dataset", "label", "order_key")
+    m.drop("order_key").repartition("source_dataset").write.partitionBy("source_dataset").parquet(path)
+    joins.overwrite_partitions(m.where("source_dataset = '5-LOW' AND order_key % 2 = 0").selectExpr(
+        "'new_' || sample_id AS sample_id", "source_dataset", "'fake' AS label"), path, "source_dataset")
+    return spark.read.schema(m.drop("order_key").schema).parquet(path).select("sample_id", "source_dataset", "label")

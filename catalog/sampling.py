@@ -65,7 +65,7 @@ def _(spark, sf):
 SELECT sample_id, round FROM p WHERE before + pos <= 700""")
 def _(spark, sf):
     docs = f2(spark, sf).select("sample_id", "doc_key", "source_dataset", "transcript")
-    picked = sampling.group_top_up(docs, clean.normalize_text("transcript"), "source_dataset", 700, ["doc_key"])
+    picked = sampling.group_top_up(docs, clean.normalize_text("transcript"), "source_dataset", 700, ["doc_key"], strict=False)
     return picked.select("sample_id", "round")
 
 
@@ -77,7 +77,22 @@ def _(spark, sf):
 SELECT sample_id, round FROM p WHERE before + pos <= 4321""")
 def _(spark, sf):
     rows = f1(spark, sf).select("sample_id", "order_key", "speaker_id", "language_type")
-    return sampling.group_top_up(rows, "speaker_id", "language_type", 4321, ["order_key"]).select("sample_id", "round")
+    return sampling.group_top_up(rows, "speaker_id", "language_type", 4321, ["order_key"], strict=False).select("sample_id", "round")
+
+
+@query("e4_top_up_shortfall", with_(F2) + "SELECT count(*) + 29 AS wanted, count(*) AS got FROM f2")
+def _(spark, sf):
+    """Twenty-nine documents more are asked for than there are."""
+    docs = f2(spark, sf)
+    return sampling.shortfall(docs, [], docs.agg((F.count("*") + 29).alias("quota")))
+
+
+@query("e5_quota_shortfall", with_(F3) + """
+, s AS (SELECT generator, entity, count(*) AS n FROM f3 GROUP BY 1, 2)
+SELECT generator, CAST(9000 AS BIGINT) AS wanted, CAST(sum(least(n, 50)) AS BIGINT) AS got FROM s GROUP BY 1 HAVING sum(least(n, 50)) < 9000""")
+def _(spark, sf):
+    """Entities may give fifty rows each."""
+    return sampling.shortfall(f3(spark, sf), "generator", 9000, ("entity", 50))
 
 
 @query("e5_capped_quota", with_(F3) + f"""
@@ -85,7 +100,7 @@ def _(spark, sf):
  b AS (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY {F3_ORDER_SQL}) AS position FROM a WHERE entity_rank <= 120)
 SELECT row_key, generator, entity_rank, position FROM b WHERE position <= 9000""")
 def _(spark, sf):
-    return sampling.capped_quota(f3(spark, sf), "entity", 120, 9000, "generator", F3_ORDER) \
+    return sampling.capped_quota(f3(spark, sf), "entity", 120, 9000, "generator", F3_ORDER, strict=False) \
         .select("row_key", "generator", "entity_rank", "position")
 
 
@@ -144,10 +159,22 @@ SELECT sample_id, speaker_id, seen, entities, position FROM p WHERE position <=
 def _(spark, sf):
     rows = f1(spark, sf).selectExpr("sample_id", "order_key", "CASE WHEN order_key % 31 = 0 THEN '' ELSE speaker_id END AS speaker_id",
                                     "CASE WHEN order_key % 4 <> 3 THEN file_path END AS payload")
-    return sampling.arrival_capped_sample(rows, "speaker_id", 2500, ["order_key"], "payload") \
+    return sampling.arrival_capped_sample(rows, "speaker_id", 2500, ["order_key"], "payload", strict=False) \
         .select("sample_id", "speaker_id", "seen", "entities", "position")
 
 
+@query("e9_arrival_shortfall", with_(F1) + """
+, s AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY order_key) AS seen FROM f1),
+ e AS (SELECT *, count(*) FILTER (WHERE seen = 1) OVER (ORDER BY order_key) AS entities FROM s),
+ n AS (SELECT count(*) + 1 AS wanted FROM f1),
+ p AS (SELECT count(*) AS got FROM e, n WHERE seen <= greatest(1, ceil(wanted / entities)))
+SELECT wanted, got FROM n, p WHERE got < wanted""")
+def _(spark, sf):
+    """One row more than there are is asked for; how many the rule takes depends on it."""
+    rows = f1(spark, sf).select("sample_id", "order_key", "speaker_id")
+    return sampling.arrival_shortfall(rows, "speaker_id", rows.count() + 1, ["order_key"])
+
+
 @query("e10_best_per_group", with_(PROFILE_SQL) + """
 SELECT user_id, block, num_rows FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY num_rows DESC, file, block) AS rn FROM p) WHERE rn = 1""")
 def _(spark, sf):

@@ -296,6 +296,11 @@ def replace_partition(df: DataFrame, new: DataFrame, by: str, value) -> DataFram
     return df.where(~F.col(by).eqNullSafe(F.lit(value))).unionByName(new, allowMissingColumns=True)
 
 
+def overwrite_partitions(new: DataFrame, path: str, by: str) -> None:
+    """Replace the partitions that `new` has rows of, in a table stored by `by`; the files of all others stay as they are."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def check_current(fresh: DataFrame, published: DataFrame) -> DataFrame:
     """Rows missing from and stale in a published table; identical iff both are 0."""
     columns = sorted(fresh.columns)

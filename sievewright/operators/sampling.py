@@ -137,12 +137,13 @@ def nested_round_robin(df: DataFrame, groups, spread: str, n: int, order, strict
     return take_rounds(position, keys, "round", n, sizes_from=turn).drop("__turn", "__spread", *keys)
 
 
-def group_top_up(df: DataFrame, group, domain: str, need: int, order, seed=fixed.SEED) -> DataFrame:
+def group_top_up(df: DataFrame, group, domain: str, need: int, order, seed=fixed.SEED, strict: bool = True) -> DataFrame:
     """Whole groups, one per domain and round, until `need` rows; the last group is trimmed.
 
     A group belongs to the domain of its first record, and is known by its shuffle
-    key, so long keys such as texts are not moved around.
+    key, so long keys such as texts are not moved around. Fewer than `need` rows are an error; if not strict all are taken.
     """
+    _require(strict, lambda: shortfall(df, [], need))
     records = df.withColumn("__grp", hkey(group, seed))
     table = settled(records.groupBy("__grp").agg(
         F.count("*").alias("__size"), F.min_by(F.col(domain), F.struct(*order)).alias("__dom")), "groups")
@@ -163,8 +164,12 @@ def initial_cap(quota: int, groups, limit: int = fixed.INITIAL_ENTITY_CAP):
     return F.least(F.lit(limit), F.greatest(F.lit(1), F.ceil(F.lit(quota) / col(groups)).cast("int")))
 
 
-def capped_quota(df: DataFrame, entity: str, cap: int, quota: int, by: str, order) -> DataFrame:
-    """At most `cap` rows per entity, then at most `quota` per `by`, both in the given order."""
+def capped_quota(df: DataFrame, entity: str, cap: int, quota: int, by: str, order, strict: bool = True) -> DataFrame:
+    """At most `cap` rows per entity, then at most `quota` per `by`, both in the given order.
+
+    A group that its capped entities leave short of the quota is an error; if not strict it gives what it has.
+    """
+    _require(strict, lambda: shortfall(df, by, quota, (entity, cap)))
     capped = settled(first_per_group(df.where(F.col(entity).isNotNull()), [by, entity], order, cap, "entity_rank"), "capped")
     return rank(capped, [by], order, "position").where(F.col("position") <= quota)
 
@@ -218,14 +223,8 @@ def quota_sample(df: DataFrame, by: str, quotas: DataFrame, order, strict: bool
     return rank(wanted, [by], order, "position").where(F.col("position") <= F.col("quota")).drop("quota")
 
 
-def arrival_capped_sample(df: DataFrame, entity: str, n: int, order, payload: str | None = None) -> DataFrame:
-    """One pass in arrival order, in closed form.
-
-    A row is taken when it is the first usable one of its entity, or while the
-    rows seen of the entity are at most max(1, ceil(n / entities taken so far));
-    the first n taken rows are the sample. Entities taken so far are a running
-    count of first rows, so three running sums replace the sequential pass.
-    """
+def _arrivals(df: DataFrame, entity: str, n: int, order, payload: str | None) -> tuple[DataFrame, DataFrame]:
+    """All rows that the arrival rule would take without an end, and a frame to measure ranks on."""
     named = df.withColumn(entity, F.coalesce(F.nullif(text(entity), F.lit("")), F.lit("UNKNOWN")))
     usable = F.col(payload).isNotNull() if payload else F.lit(True)
     seen = settled(running_sums(named, [entity], order, {
@@ -233,7 +232,25 @@ def arrival_capped_sample(df: DataFrame, entity: str, n: int, order, payload: st
     first = usable & (F.col("usable_seen") == 1)
     taken = running_sums(seen, [], order, {"entities": first.cast("bigint")})
     allowed = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.greatest(F.lit(1), F.col("entities"))))
-    picked = taken.where(usable & (first | ((F.col("usable_seen") > 1) & (F.col("seen") <= allowed))))
+    return taken.where(usable & (first | ((F.col("usable_seen") > 1) & (F.col("seen") <= allowed)))), seen
+
+
+def arrival_shortfall(df: DataFrame, entity: str, n: int, order, payload: str | None = None) -> DataFrame:
+    """`(wanted, got)` if the arrival rule takes fewer than n rows, else no row."""
+    return shortfall(_arrivals(df, entity, n, order, payload)[0], [], n)
+
+
+def arrival_capped_sample(df: DataFrame, entity: str, n: int, order, payload: str | None = None, strict: bool = True) -> DataFrame:
+    """One pass in arrival order, in closed form.
+
+    A row is taken when it is the first usable one of its entity, or while the
+    rows seen of the entity are at most max(1, ceil(n / entities taken so far));
+    the first n taken rows are the sample. Entities taken so far are a running
+    count of first rows, so three running sums replace the sequential pass. Fewer than n rows are an
+    error; if not strict they are the sample.
+    """
+    picked, seen = _arrivals(df, entity, n, order, payload)
+    _require(strict, lambda: shortfall(picked, [], n))
     return rank(picked, [], order, "position", keys_from=seen).where(F.col("position") <= n).drop("usable_seen")
 
 
