@@ -112,6 +112,34 @@ def _(spark, sf):
     return files.probe(listed, files.row_inventory(pages, "url", "html"))
 
 
+def _as_files(spark, sf):
+    """Every text of benchmark in a file of its own; Spark ends it with a line feed."""
+    path = scratch_path(spark, "files")
+    table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text").repartition("item_id") \
+        .write.partitionBy("item_id").text(path)
+    return f"{path}/*/*.txt"
+
+
+def _item():
+    return F.regexp_extract("path", "item_id=([^/]*)/", 1).alias("item")
+
+
+@query("a10_inventory_of_files", "SELECT item_id::VARCHAR AS item, strlen(text) + 1 AS length, sha256(text || chr(10)) AS sha256 FROM benchmark")
+def _(spark, sf):
+    return files.file_inventory(spark, _as_files(spark, sf)).select(_item(), "length", "sha256")
+
+
+@query("a10_probe_of_files", """
+SELECT item_id::VARCHAR AS item, gone, NOT gone AS "exists", CASE WHEN gone THEN 0 ELSE strlen(text) + 1 END AS length,
+ CASE WHEN NOT gone THEN sha256(text || chr(10)) END AS sha256 FROM benchmark CROSS JOIN (VALUES (false), (true)) AS v(gone)""")
+def _(spark, sf):
+    """Each path is looked up in a task, beside one where no file is."""
+    listed = files.file_inventory(spark, _as_files(spark, sf), hashed=False).select(
+        F.explode(F.array(F.struct("path", F.lit(False).alias("gone")), F.struct(F.concat("path", F.lit(".gone")).alias("path"), F.lit(True).alias("gone")))).alias("e"))
+    probed = files.probe_paths(listed.select("e.path", "e.gone"))
+    return probed.select(_item(), "gone", "exists", "length", "sha256")
+
+
 @query("a10_probe", with_(F2) + """
 SELECT sample_id, coalesce(bytes, 0) AS file_bytes, sha256, doc_key % 3 <> 0 AS "exists"
 FROM (SELECT sample_id, doc_key, CASE WHEN doc_key % 3 <> 0 THEN bytes END AS bytes,
