@@ -3,15 +3,19 @@
 Texts are cut into words by the tokenizer's own pattern. The distinct words of a
 slice lie in one flat symbol array; every round looks all neighbouring pairs up
 by binary search over the sorted pair keys, and each word merges its pair of
-lowest rank. A word whose pairs have no rank left is done.
+lowest rank. A word whose pairs have no rank left is done. A word of more than LONG_WORD bytes
+would need as many rounds as it has ranks, each over its whole length; its pairs wait in a queue by rank and place instead.
 
-Null and empty texts have no tokens and decode to the empty text. The vocabulary
+Null and empty texts have no tokens and decode to the empty text. Very long texts are a
+slice of their own; repeated rows are encoded alike; an empty table gives no rows. Further columns are ignored by `encode` and the digests,
+and kept by `decode` but for one that has the name of its result. The vocabulary
 file is a parameter and has to be readable at the same path on every executor;
 nothing is trained.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import json
 import re
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sievewright.llm.common import sha256_hex, slices
 
+LONG_WORD = 512             # bytes beyond which a word is merged by a queue of pairs
 CACHE_WORDS = 400_000       # words whose ids a task keeps; beyond, it starts afresh
 
 #: The tokenizer's pattern, with its white space spelled out, and the end-of-word mark.
@@ -62,7 +67,7 @@ class WordBpe:
         self.last = np.array([vocab[s + END] for s in symbols])
         pairs = np.array([(vocab[a] * self.size + vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         order = np.argsort(pairs[:, 0], kind="stable")
-        self.keys, self.rank, self.made = pairs[order, 0], order, pairs[order, 1]
+        self.keys, self.rank, self.made, self.merge = pairs[order, 0], order, pairs[order, 1], None
         self.pattern, self.low = regex.compile(PATTERN), re.compile(LOW_PATTERN)
         self.high = re.compile("[^\x00-\u017f]")
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
@@ -96,9 +101,45 @@ class WordBpe:
         text = text.lower()
         return (self.pattern if self.high.search(text) else self.low).findall(text)
 
+    def encode_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one word, by a queue of its pairs: lowest rank first, then leftmost."""
+        if self.merge is None:
+            self.merge = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        symbol = self.inner[np.frombuffer(raw, np.uint8)].tolist()
+        symbol[-1] = int(self.last[raw[-1]])
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(*found, i, key) for i, key in enumerate(a * self.size + b for a, b in zip(symbol, symbol[1:])) if (found := self.merge.get(key))]
+        queue = [(rank, i, key, made) for rank, made, i, key in queue]
+        heapq.heapify(queue)
+        while queue:
+            _, i, key, made = heapq.heappop(queue)
+            j = after[i]
+            if symbol[i] < 0 or j >= n or symbol[i] * self.size + symbol[j] != key:
+                continue        # one of the two has been merged since
+            symbol[i], symbol[j], after[i] = made, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n:
+                    key = symbol[k] * self.size + symbol[after[k]]
+                    if found := self.merge.get(key):
+                        heapq.heappush(queue, (found[0], k, key, found[1]))
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, flat, and the number of ids of each word."""
         raw = [w.encode() for w in words]
+        long = {k: self.encode_long(r) for k, r in enumerate(raw) if len(r) > LONG_WORD}
+        if long:
+            others = [k for k in range(len(raw)) if k not in long]
+            ids, count = self._encode_short([raw[k] for k in others])
+            parts = dict(zip(others, np.split(ids, np.cumsum(count)[:-1]))) | long
+            return np.concatenate([parts[k] for k in range(len(raw))]), np.array([len(parts[k]) for k in range(len(raw))], np.int64)
+        return self._encode_short(raw)
+
+    def _encode_short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = raw
         length = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbol = self.inner[data]
@@ -172,14 +213,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The text of every list of ids, beside all other columns; a null list gives a null text."""
+    """The text of every list of ids, beside all other columns but one named `out`; a null list gives a null text."""
+    others = [c for c in tokens.columns if c != out]
+    fields = [tokens.schema[c] for c in others]
+
     def run(batches):
         bpe = WordBpe(vocabulary)
         for batch in batches:
-            column = [None if x is None else " ".join(bpe.token[i] for i in x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.string())], names=[*batch.schema.names, out])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + f", `{out}` string"
-    return tokens.mapInArrow(run, schema)
+            column = [None if x is None else " ".join(bpe.token[i] for i in x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(column, pa.string())], names=[*others, out])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` string"
+    return tokens.select(F.col(f"`{ids}`").alias("__given_ids"), *[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema.lstrip(", "))
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import cases
 import numpy as np
@@ -58,3 +59,34 @@ def test_encode_then_decode(spark, library):
 
 def test_empty_table(spark):
     assert bpe.round_trip_digests(cases.documents(spark, []), vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 5, bpe.LONG_WORD])
+def test_queue_of_pairs_equals_the_library(library, monkeypatch, most):
+    """Long words take another path than short ones; the ids are those of the library, beside short words and special tokens."""
+    monkeypatch.setattr(bpe, "LONG_WORD", most)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("aabcdestrem éß文") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += ["a" * 3001, "ab" * 2000, "".join(rng.choice("etaoinshrdlu") for _ in range(20000)), "<|endoftext|> word " + "x" * 700]
+    mine = bpe.WordBpe(vocabulary())
+    ids, first = mine.encode(texts)
+    for k, found in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[first[k]:first[k + 1]].tolist() == found.ids, texts[k][:80]
+
+
+def test_a_word_of_a_million_letters(library):
+    rng = random.Random(12)
+    text = "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=1_000_000))
+    start = time.time()
+    ids, _ = bpe.WordBpe(vocabulary()).encode([text])
+    assert time.time() - start < 60
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_decode_replaces_a_column_of_its_name(spark, library):
+    docs = cases.documents(spark, [(1, "some words"), (2, None)])
+    tokens = bpe.encode(docs, vocabulary()).selectExpr("doc_id", "'old' AS decoded", "ids")
+    found = {r["doc_id"]: r["decoded"] for r in bpe.decode(tokens, vocabulary()).collect()}
+    assert found == {1: library.decode(library.encode("some words", add_special_tokens=False).ids, skip_special_tokens=False), 2: ""}
+    again = bpe.decode(tokens.drop("decoded"), vocabulary(), out="ids")
+    assert again.columns == ["doc_id", "ids"]
