@@ -384,25 +384,8 @@ def _labelled_sounds(spark, sf):
     return signals.features(frames, 0.2, 0.4, 16).withColumn("label", F.split_part("recording", F.lit("|"), F.lit(2)))
 
 
-@query("i12_independent_audit", with_(F2, F5, _FEATURE_SQL, f"""lab AS (SELECT *, CASE WHEN doc_key % 2 = 0 THEN 'real' ELSE 'fake' END AS l, {norm('transcript')} AS k FROM f2)""") + report(
-    lines("coverage", """SELECT count(*) FILTER (WHERE doc_key % 5 <> 0) AS a, count(*) FILTER (WHERE doc_key % 3 <> 0) AS b, count(*) FILTER (WHERE doc_key % 5 <> 0 AND doc_key % 3 <> 0) AS c,
-      count(*) FILTER (WHERE doc_key % 5 <> 0 AND doc_key % 3 = 0) AS d, count(*) FILTER (WHERE doc_key % 5 = 0 AND doc_key % 3 <> 0) AS e FROM f2""", (),
-          {"referenced": "z.a", "on_disk": "z.b", "matched": "z.c", "referenced_but_missing": "z.d", "on_disk_but_unlabelled": "z.e", "referenced_twice": "0"}),
-    lines("duplicates", """SELECT count(*) AS "groups", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS redundant FROM (SELECT sha256, count(*) AS n FROM f2 WHERE doc_key % 3 <> 0 GROUP BY 1) WHERE n > 1""", (),
-          same("groups", "redundant")),
-    lines("text reuse", """SELECT source_dataset, CAST(sum(n) AS BIGINT) AS clips, count(*) AS unique_texts, max(n) AS max_reuse, sum(n) = count(*) AS vacuous
-      FROM (SELECT source_dataset, k, count(*) AS n FROM lab WHERE doc_key % 5 <> 0 GROUP BY 1, 2) GROUP BY 1""", ("source_dataset",), same("clips", "unique_texts", "max_reuse", "vacuous")),
-    lines("cross-label texts", """SELECT count(*) AS texts, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs FROM (SELECT k, (SELECT count(*) FROM lab a JOIN lab b ON a.k = b.k AND a.l = 'real' AND b.l = 'fake' AND a.split <> b.split
-       AND a.doc_key % 5 <> 0 AND b.doc_key % 5 <> 0 WHERE a.k = lab.k) AS pairs FROM lab WHERE doc_key % 5 <> 0 GROUP BY k HAVING count(DISTINCT l) = 2)""", (), same("texts", "pairs")),
-    lines("threshold", """SELECT s.c, CAST(any_value(pa + qa) AS BIGINT) AS n, round(max(greatest(qu + pa - pu, pu + qa - qu, pa, qa)) / any_value(pa + qa), 6) AS best_accuracy,
-      round((any_value(mr) - (any_value(pa) + 1) / 2) / any_value(qa), 6) AS auc FROM s JOIN r ON r.c = s.c GROUP BY s.c""", ("c",), same("n", "best_accuracy", "auc"))))
-def _(spark, sf):
-    docs, sounds = _labelled_docs(spark, sf), _labelled_sounds(spark, sf)
-    return jobs.independent_audit(docs.where("doc_key % 5 <> 0"), _inventory(docs.where("doc_key % 3 <> 0")), sounds)
-
-
-# the same over whole tables; only the path lists of coverage have holes
-@query("i12_independent_audit_whole", with_(F2, F5, _FEATURE_SQL, f"""lab AS (SELECT *, CASE WHEN doc_key % 2 = 0 THEN 'real' ELSE 'fake' END AS l, {norm('transcript')} AS k FROM f2)""") + report(
+# both names read whole tables; only the path lists of coverage have holes
+INDEPENDENT = with_(F2, F5, _FEATURE_SQL, f"""lab AS (SELECT *, CASE WHEN doc_key % 2 = 0 THEN 'real' ELSE 'fake' END AS l, {norm('transcript')} AS k FROM f2)""") + report(
     lines("coverage", """SELECT count(*) FILTER (WHERE doc_key % 5 <> 0) AS a, count(*) FILTER (WHERE doc_key % 3 <> 0) AS b, count(*) FILTER (WHERE doc_key % 5 <> 0 AND doc_key % 3 <> 0) AS c,
       count(*) FILTER (WHERE doc_key % 5 <> 0 AND doc_key % 3 = 0) AS d, count(*) FILTER (WHERE doc_key % 5 = 0 AND doc_key % 3 <> 0) AS e FROM f2""", (),
           {"referenced": "z.a", "on_disk": "z.b", "matched": "z.c", "referenced_but_missing": "z.d", "on_disk_but_unlabelled": "z.e", "referenced_twice": "0"}),
@@ -413,7 +396,11 @@ def _(spark, sf):
     lines("cross-label texts", """SELECT count(*) AS texts, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs FROM (SELECT k, (SELECT count(*) FROM lab a JOIN lab b ON a.k = b.k AND a.l = 'real' AND b.l = 'fake' AND a.split <> b.split WHERE a.k = lab.k) AS pairs
       FROM lab GROUP BY k HAVING count(DISTINCT l) = 2)""", (), same("texts", "pairs")),
     lines("threshold", """SELECT s.c, CAST(any_value(pa + qa) AS BIGINT) AS n, round(max(greatest(qu + pa - pu, pu + qa - qu, pa, qa)) / any_value(pa + qa), 6) AS best_accuracy,
-      round((any_value(mr) - (any_value(pa) + 1) / 2) / any_value(qa), 6) AS auc FROM s JOIN r ON r.c = s.c GROUP BY s.c""", ("c",), same("n", "best_accuracy", "auc"))))
+      round((any_value(mr) - (any_value(pa) + 1) / 2) / any_value(qa), 6) AS auc FROM s JOIN r ON r.c = s.c GROUP BY s.c""", ("c",), same("n", "best_accuracy", "auc")))
+
+
+@query("i12_independent_audit", INDEPENDENT)
+@query("i12_independent_audit_whole", INDEPENDENT)
 def _(spark, sf):
     docs = _labelled_docs(spark, sf)
     return jobs.independent_audit(docs, _inventory(docs), _labelled_sounds(spark, sf), docs.where("doc_key % 5 <> 0").select("path"),

@@ -265,9 +265,11 @@ def independent_audit(df: DataFrame, inventory: DataFrame, signal: DataFrame, re
     """Coverage, duplicates, text reuse, cross-label texts and acoustic shortcuts, measured from content.
 
     `referenced` and `on_disk` are the path lists of coverage if these are not those of `df` and `inventory`;
-    all other parts read `df` and `inventory` whole.
+    all other parts read `df` and `inventory` whole. Texts are digested once and the digests settled in their
+    place, so no text is written, sorted or sent again.
     """
-    m = settled(df, "manifest")
+    m = settled(df.select("path", "source_dataset", "label", "split", clean.text_digest("transcript").alias("transcript")), "manifest")
+    inventory = settled(inventory.select("path", "length", "sha256", "collection"), "inventory")
     groups = joins.content_duplicates(inventory, F.col("sha256"))
     cross = joins.cross_label_text(m).agg(F.count("*").alias("texts"), F.coalesce(F.sum("cross_split_pairs"), F.lit(0)).alias("pairs"))
     best = [tidy(shortcuts.best_threshold(signal, c), "threshold", (F.lit(c),), ["n", "best_accuracy", "auc"])
