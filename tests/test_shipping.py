@@ -8,11 +8,12 @@ from pyspark import cloudpickle
 
 from sievewright.operators import splits
 from sievewright.sources import files
+from sievewright.streaming import collect
 
 LOAD = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read()); assert 'sievewright' not in sys.modules"
 
 
 @pytest.mark.parametrize("function", [splits._fold_classes([0.7, 0.3], False),
-                                      splits._fold_vectors(["a"], {"train": 70, "test": 30}), files._probe_batch])
+                                      collect._quota(3, ["id"], None), files._probe_batch])
 def test_worker_functions_travel_by_value(function, tmp_path):
     subprocess.run([sys.executable, "-c", LOAD], input=cloudpickle.dumps(function), cwd=tmp_path, check=True, timeout=60)
