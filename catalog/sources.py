@@ -107,9 +107,10 @@ def _(spark, sf):
 SELECT url || gone AS path, gone = '' AS "exists", CASE WHEN gone = '' THEN strlen(html) ELSE 0 END AS file_bytes,
  CASE WHEN gone = '' THEN sha256(html) END AS sha256 FROM pages CROSS JOIN (VALUES ('', ), ('.gone', )) AS v(gone)""")
 def _(spark, sf):
+    """Pages of one url are files of their own, told apart by the page's number."""
     pages = table(spark, sf, "pages")
-    listed = pages.select(F.explode(F.array("url", F.concat("url", F.lit(".gone")))).alias("path"))
-    return files.probe(listed, files.row_inventory(pages, "url", "html"))
+    listed = pages.select("page_id", F.explode(F.array("url", F.concat("url", F.lit(".gone")))).alias("path"))
+    return files.probe(listed, files.row_inventory(pages, "url", "html", ["page_id"]), by=["page_id"]).drop("page_id")
 
 
 def _as_files(spark, sf):
