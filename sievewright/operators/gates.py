@@ -166,6 +166,10 @@ def mismatch_examples(verified: DataFrame, identifier: str = "sample_id", n: int
     return verified.where("state = 'mismatch'").orderBy(identifier).limit(n)
 
 
-def artifact_hashes(inventory: DataFrame, listed: DataFrame) -> DataFrame:
-    """sha256 and size of the listed files that exist."""
-    return listed.join(inventory.select("path", "length", "sha256"), "path")
+def artifact_hashes(inventory: DataFrame, listed: DataFrame, by=()) -> DataFrame:
+    """sha256 and size of the listed files that exist, once each.
+
+    Where a path alone names no file, `by` lists the columns of both tables that tell the files of a path apart.
+    """
+    found = listed.select("path", *by).distinct().join(inventory.select("path", *by, "length", "sha256"), ["path", *by])
+    return found.select("path", "length", "sha256").distinct()

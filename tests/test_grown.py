@@ -34,3 +34,8 @@ REPEATED = "SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'http://u/' || page_i
 
 def test_pages_of_one_url_are_probed_apart(spark, changed):
     assert agrees(spark, changed(pages=REPEATED), "a10_probe_paths")
+
+
+def test_only_the_listed_page_of_a_url_counts(spark, changed):
+    docs = "SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'src3' ELSE 'src1' END AS source) FROM documents"
+    assert agrees(spark, changed(pages=REPEATED, documents=docs), "d22_artifact_hashes")
