@@ -26,10 +26,19 @@ def _joined(columns) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(text(c), F.lit("")) for c in columns]) if columns else F.lit("all")
 
 
+def _rounded(value: str) -> Column:
+    """A double at six decimals as text: plain from 0.0001 to 10^16, where Spark's own cast turns to 1.0E-4 and 1.0E7; 1e-05 below."""
+    shown, size = F.round(value, 6), F.abs(F.round(value, 6))
+    plain = F.regexp_replace(shown.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = F.regexp_replace(F.regexp_replace(text(shown), r"\.0E", "E"), "E-", "e-0")
+    return (F.when((size >= 1e-4) & (size < 1e-3) | (size >= 1e7) & (size < 1e16), plain)
+            .when((size > 0) & (size < 1e-4), small).otherwise(text(shown)))
+
+
 def tidy(df: DataFrame, metric: str, scope=(), values=()) -> DataFrame:
     """One report line per scope and value column; doubles with six decimals."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
-    items = F.array(*[F.struct(F.lit(v).alias("item"), text(F.round(v, 6) if v in doubles else v).alias("value"))
+    items = F.array(*[F.struct(F.lit(v).alias("item"), (_rounded(v) if v in doubles else text(v)).alias("value"))
                       for v in values])
     return df.select(F.lit(metric).alias("metric"), _joined(scope).alias("scope"), F.inline(items))
 
