@@ -72,8 +72,9 @@ _G = "language_type, label, source_dataset"
     lines("distribution", "SELECT label, split, count(*) AS n FROM m GROUP BY ALL", ("'label+split'", "label", "''", "''", "split"), same("n")),
     lines("reconcile", f"""SELECT {_G}, count(*) AS actual, count(*) + CASE WHEN label = 'real' THEN 1 ELSE 0 END AS expected, label <> 'real' AS matches FROM m GROUP BY {_G}""",
           ("language_type", "label", "source_dataset"), same("expected", "actual", "matches")),
-    lines("duration", f"""SELECT {_G}, count(*) AS n, round(sum(duration) / 3600, 6) AS hours, round(min(duration), 6) AS min_s, round(median(duration), 6) AS median_s,
-      round(avg(duration), 6) AS mean_s, round(max(duration), 6) AS max_s FROM m GROUP BY {_G}""", ("language_type", "label", "source_dataset"),
+    lines("duration", f"""SELECT {_G}, n, (2 * s + 3600000) // 7200000 / 1e6::DOUBLE AS hours, round(min_s, 6) AS min_s, CAST(CAST(CAST(median_s AS DECIMAL(28,9)) AS DECIMAL(28,6)) AS DOUBLE) AS median_s,
+      (2 * s + 1000 * n) // (2000 * n) / 1e6::DOUBLE AS mean_s, round(max_s, 6) AS max_s FROM (SELECT {_G}, count(*)::HUGEINT AS n, sum(CAST(round(duration * 1e9::DOUBLE) AS HUGEINT)) AS s,
+       min(duration) AS min_s, median(duration) AS median_s, max(duration) AS max_s FROM m GROUP BY {_G})""", ("language_type", "label", "source_dataset"),
           same("n", "hours", "min_s", "median_s", "mean_s", "max_s")),
     lines("short", "SELECT count(*) FILTER (WHERE duration < 2) AS under_2, count(*) FILTER (WHERE duration < 1) AS under_1 FROM m", (), same("under_2", "under_1")),
     lines("declared", """SELECT count(*) FILTER (WHERE declared_sample_rate IS NOT NULL AND TRY_CAST(declared_sample_rate AS DOUBLE) IS DISTINCT FROM original_sample_rate) AS rate_mismatch,

@@ -70,11 +70,21 @@ def crosstab(df: DataFrame, rows: str, column: str, values, ratio: str | None =
     return table.withColumn(f"share_{ratio}", F.round(F.col(f"n_{ratio}") / F.col("n"), 6))
 
 
+def _quotient(whole: str, unit: str, plain: Column) -> Column:
+    """whole / unit of whole billionths, at six decimals, halves away from zero; `plain` where values had no whole billionths."""
+    sized = f"CAST(sign({whole}) AS INT) * ((abs({whole}) * 2 + 1000 * {unit}) div (2000 * {unit}))"
+    return F.when(F.col("__odd") == 0, F.expr(sized) / 1e6).otherwise(F.round(plain, 6))
+
+
 def duration_summary(df: DataFrame, by, value: str = "duration") -> DataFrame:
-    by = list(by)
+    """Hours and mean come from exact sums of whole billionths of a second, so neither the order of rows nor a half decides a digit by chance."""
+    by, seconds = list(by), F.col(value).cast("double")
+    whole = F.abs(seconds) < 1e12       # neither NaN nor beyond all durations
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.round(F.sum(value) / 3600, 6).alias("hours"), F.min(value).alias("min_s"),
-        F.round(F.avg(value), 6).alias("mean_s"), F.max(value).alias("max_s"))
+        F.sum(F.when(whole, F.round(seconds * 1e9)).cast("decimal(28,0)")).alias("__sum"), F.count("*").alias("__n"),
+        F.count_if(~whole).alias("__odd"), F.sum(value).alias("__total"), F.min(value).alias("min_s"), F.max(value).alias("max_s"))
+    stats = stats.select(*by, _quotient("__sum", "3600", F.col("__total") / 3600).alias("hours"), "min_s",
+                         _quotient("__sum", "__n", F.col("__total") / F.col("__n")).alias("mean_s"), "max_s")
     medians = exact_quantiles(df, by, value, {"median_s": 0.5})
     return _beside(stats, medians, by)
 

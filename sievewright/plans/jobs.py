@@ -73,7 +73,7 @@ def audit_master(master: DataFrame, expected: DataFrame) -> DataFrame:
         tidy(counts.distribution(m, [GROUP, ["split"], ["label", "split"]]), "distribution",
              ("scope", *sorted({*GROUP, "split"})), ["n"]),
         tidy(counts.reconcile(m, expected, GROUP), "reconcile", GROUP, ["expected", "actual", "matches"]),
-        tidy(counts.duration_summary(m, GROUP), "duration", GROUP, ["n", "hours", "min_s", "median_s", "mean_s", "max_s"]),
+        tidy(counts.duration_summary(m, GROUP).withColumn("median_s", F.round("median_s", 9)), "duration", GROUP, ["n", "hours", "min_s", "median_s", "mean_s", "max_s"]),
         tidy(counts.threshold_counts(m, "duration", [2, 1]), "short", (), ["under_2", "under_1"]),
         tidy(counts.declared_vs_actual(m), "declared", (), ["rate_mismatch", "duration_mismatch"]),
         tidy(counts.entity_counts(m), "speakers", ["source_dataset"], ["rows_with_entity", "unique_entities"]),
