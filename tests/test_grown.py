@@ -79,3 +79,8 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len([f for f in os.listdir(f"{tmp_path}/lineitem-parts") if f.endswith(".parquet")]) == 8
+
+
+def test_licences_are_joined_without_a_shuffle_by_source(spark):
+    plan = fixtures.licensed(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 4
