@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 from math import ceil, gcd, lcm
 
 import pandas as pd
@@ -144,6 +145,131 @@ def greedy_split(df: DataFrame, group: str, targets: dict | None = None, by: str
         .withColumn(out, F.col("__new")).drop("__st", "__grp", "__new")
 
 
+# ---- greedy over several attributes ----
+
+CLASS_ROWS = 100_000        # classes of equal groups one task places in turn; session setting sievewright.fold.rows
+
+
+class _Placement:
+    """Splits being filled with groups that count in several attributes.
+
+    All amounts are integers in hundredths of a row, so that no score is rounded.
+    """
+
+    def __init__(self, sums: list[int], percent: list[int], held: list[list[int]] | None = None):
+        self.goals = [[total * p for total in sums] for p in percent]
+        self.held = [list(h) for h in held] if held else [[0] * len(sums) for _ in percent]
+
+    def merit(self, split: int, vector: tuple, before: int = 0):
+        """What a group is worth to a split that took `before` more like it: (fit - overshoot / 2, fewer rows), doubled."""
+        fit = over = load = 0
+        for goal, held, amount in zip(self.goals[split], self.held[split], vector):
+            held += before * amount
+            fit += min(100 * amount, max(0, goal - 100 * held))
+            over += max(0, 100 * (held + amount) - goal)
+            load += held
+        return 2 * fit - over, -load
+
+    def run(self, vector: tuple, count: int) -> tuple[int, int]:
+        """The split that takes the next group of this vector, and how many it takes in a row.
+
+        Taking a group lowers a split's own merit and no other's, so the length of
+        the row is found by bisection.
+        """
+        merits = [self.merit(s, vector) for s in range(len(self.goals))]
+        best = max(range(len(merits)), key=lambda s: (merits[s], -s))
+        rivals = [(merits[s], -s) for s in range(len(merits)) if s != best]
+        low, high = 1, count
+        while low < high:
+            middle = (low + high + 1) // 2
+            if all((self.merit(best, vector, middle - 1), -best) > r for r in rivals):
+                low = middle
+            else:
+                high = middle - 1
+        self.add(best, vector, low)
+        return best, low
+
+    def add(self, split: int, vector: tuple, times: int):
+        self.held[split] = [h + times * v for h, v in zip(self.held[split], vector)]
+
+
+def _fold_block(columns, percent, sums, held):
+    """pandas function: pieces of the classes of one block, in order; a last row a split holds what the split has then."""
+    def fold(classes: pd.DataFrame) -> pd.DataFrame:
+        placement, out = _Placement(sums, list(percent.values()), held), []
+        for _, _, count, *vector in classes.sort_values("turn")[["block", "turn", "members", "total", *columns]].itertuples(index=False, name=None):
+            at = 0
+            while at < count:
+                split, length = placement.run(tuple(vector[1:]), count - at)
+                out.append((*vector, at, at + length, split))
+                at += length
+        out += [(None, *h, None, None, s) for s, h in enumerate(placement.held)]
+        return pd.DataFrame(out, columns=["total", *columns, "start", "end", "split"]).astype("Int64")
+
+    return fold
+
+
+def _lent(pieces: DataFrame, columns, placement: _Placement) -> DataFrame:
+    """Every split that holds nothing of an attribute gets one group from a split that keeps some.
+
+    The lender is the smallest class (by total, then vector) that can spare a group, from its earliest
+    split; the last group of the class there moves.
+    """
+    vector = ["total", *columns]
+    for split, at in ((s, a) for s in range(len(placement.held)) for a in range(len(columns))):
+        if placement.held[split][at]:
+            continue
+        spare = F.create_map(*[F.lit(x) for s, h in enumerate(placement.held) for x in (s, h[at])])[F.col("split").cast("int")]
+        offer = pieces.where((F.col(columns[at]) > 0) & (F.col("split") != split) & (F.col("start") < F.col("end")) & (spare > F.col(columns[at]))) \
+            .orderBy(*vector, "split", F.desc("end")).first()
+        if offer is None:
+            continue
+        amounts = tuple(offer[c] for c in columns)
+        placement.add(offer["split"], amounts, -1)
+        placement.add(split, amounts, 1)
+        same = F.struct(*vector, "start", "split") == F.struct(*[F.lit(offer[c]).cast("bigint").alias(c) for c in (*vector, "start", "split")])
+        moved = pieces.where(same).withColumns({"start": F.col("end") - 1, "split": F.lit(split).cast("bigint")})
+        pieces = pieces.withColumn("end", F.when(same, F.col("end") - 1).otherwise(F.col("end"))).unionByName(moved)
+    return pieces
+
+
+def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
+                       percent: dict = fixed.SPLIT_PERCENT) -> DataFrame:
+    """`(group_key, total, new_split)`: whole groups placed so that each attribute value nears its share.
+
+    Groups go by total descending, then by their counts of the values, then by key; each to the split with the best
+    (fit - overshoot / 2, fewer rows), ties to the earlier split. A last pass supplies splits that lack a value. Rows without a
+    group form one group with a NULL key. Groups with equal counts are interchangeable, so the placement runs over classes
+    of equal groups, and each group finds its split from its place in its class.
+
+    The rule is sequential. Classes are cut in order into blocks of `sievewright.fold.rows`; a task places one block,
+    and only what the splits hold then goes on, through the driver, to the next. So memory and reads of a task are
+    bounded and the time grows with the number of classes.
+    """
+    columns = [f"a{i}" for i in range(len(values))]
+    vector, names = ["total", *columns], list(percent)
+    groups = settled(df.groupBy(text(group).alias("group_key")).agg(
+        F.count("*").alias("total"), *[F.count_if(F.col(attribute) == v).alias(c) for v, c in zip(values, columns)]), "groups")
+    size = int(df.sparkSession.conf.get("sievewright.fold.rows", str(CLASS_ROWS)))
+    classes = rank(groups.groupBy(*vector).agg(F.count("*").alias("members")), [], [-F.col("total"), *columns], "turn")
+    classes = settled(classes.withColumn("block", F.floor((F.col("turn") - 1) / size)), "classes")
+    found = classes.agg(F.coalesce(F.max("block"), F.lit(-1)).alias("last"), *[F.coalesce(F.sum(F.col(c) * F.col("members")), F.lit(0)).alias(c) for c in columns]).first()
+    sums = [found[c] for c in columns]
+    placement, made = _Placement(sums, list(percent.values())), []
+    schema = ", ".join(f"{c} bigint" for c in (*vector, "start", "end", "split"))
+    for block in range(found["last"] + 1):
+        fold = _fold_block(columns, percent, sums, placement.held)
+        part = settled(classes.where(F.col("block") == block).groupBy("block").applyInPandas(fold, schema), "pieces")
+        state = {r["split"]: [r[c] for c in columns] for r in part.where("total IS NULL").collect()}
+        placement.held = [state[s] for s in range(len(names))]
+        made.append(part.where("total IS NOT NULL"))
+    pieces = reduce(DataFrame.unionByName, made) if made else df.sparkSession.createDataFrame([], schema)
+    patterns = _lent(pieces, columns, placement).groupBy(*vector).agg(F.collect_list(F.struct("start", "end", "split")).alias("pieces"))
+    placed = rank(groups, vector, [F.col("group_key").isNotNull(), F.col("group_key")], "__place").join(patterns, vector)
+    piece = F.filter("pieces", lambda p: (p["start"] < F.col("__place")) & (F.col("__place") <= p["end"]))[0]
+    return placed.select("group_key", "total", F.element_at(F.array(*[F.lit(s) for s in names]), (piece["split"] + 1).cast("int")).alias("new_split"))
+
+
 # ---- dealing over several attributes ----
 
 def deal_cycle(percent: dict) -> list[str]:
@@ -158,11 +284,11 @@ def deal_cycle(percent: dict) -> list[str]:
     return cycle
 
 
-def greedy_split_multi(df: DataFrame, group: str, attribute: str, values,
+def dealt_split_multi(df: DataFrame, group: str, attribute: str, values,
                        percent: dict = fixed.SPLIT_PERCENT) -> DataFrame:
     """`(group_key, total, new_split)`: whole groups placed so that each attribute value nears its share.
 
-    Groups are not placed one after the other but dealt. A group belongs to the stratum of the rarest value
+    Unlike those of `greedy_split_multi`, groups are not placed one after the other but dealt. A group belongs to the stratum of the rarest value
     it holds (fewest groups, ties to the earlier value; groups without any come last). In a stratum, groups go by total
     descending, then by their counts of the values, then by key, and are dealt in `deal_cycle`: neighbours
     are alike, so every value is spread by its shares, and any stratum of at least as many groups
