@@ -78,3 +78,48 @@ def test_extreme_components(spark, size):
     found = neighbours.nearest(table, every=10).collect()
     assert all(r["score"] is not None and abs(r["score"]) <= 1 + 1e-12 for r in found)
     assert recall(found, brute(reference, every=10)) >= 0.9
+
+
+def test_queries_share_leaves_and_units(spark, monkeypatch):
+    """A search gives the same rows whichever queries are compared together and however cells share units."""
+    sf = "/root/testdata/sf0.1"
+    whole = sorted(map(tuple, queries.QUERIES["op7_nearest"](spark, sf).collect()))
+    monkeypatch.setattr(neighbours, "TOGETHER", 3)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 2)
+    monkeypatch.setattr(neighbours, "UNITS", 7)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    assert sorted(map(tuple, queries.QUERIES["op7_nearest"](spark, sf).collect())) == whole
+
+
+def test_units(monkeypatch):
+    """Neighbouring cells share a unit up to its size; a large cell has units of its own."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    first, blocks = neighbours.units_of([4, 5, 2, 35, 1, 0, 9, 1], 64)
+    assert first.tolist() == [0, 0, 1, 2, 6, 6, 6, 7] and blocks.tolist() == [1, 1, 1, 4, 1, 1, 1, 1]
+    monkeypatch.setattr(neighbours, "UNITS", 2)
+    assert neighbours.units_of([8] * 8, 64)[0].tolist() == [0, 0, 0, 0, 1, 1, 1, 1]
+    monkeypatch.setattr(neighbours, "UNIT_BYTES", 16 * 8 * 64)
+    assert neighbours.units_of([8] * 8, 64)[0].tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_each_vector_is_shuffled_once(spark, monkeypatch):
+    """Points are made by one shuffle; a visit sends points and queries by one; its results need one more."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    sound = neighbours.sound_vectors(table, "vec_id", "embedding")
+    plan = neighbours.distinct_points(sound, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    plan = neighbours.nearest(table)._jdf.queryExecution().executedPlan().toString()
+    results, visit = plan[:plan.index("MapInArrow")], plan[plan.index("MapInArrow"):]
+    assert results.count("Exchange ") == 1 and visit.count("Exchange hashpartitioning(unit") == 1
+    assert "CoGroup" not in plan and "explode" not in plan      # no copies of points for parts of the queries
+
+
+def test_rows_whose_vectors_differ_in_length_only(spark):
+    """An identifier with a vector and twice that vector is one neighbour and one query."""
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(60, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(plain)] + [(k, (2 * v).tolist()) for k, v in enumerate(plain)]
+    found = sorted(map(tuple, neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()))
+    expected = brute(rows[:60], every=10)
+    assert [(q, i) for q, _, i, _ in found] == [(q, i) for q in sorted(expected) for _, i in expected[q]]
